@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.llm import decontaminate as _decontaminate
+from threadlens.llm import quality as _quality
+from threadlens.llm import secrets as _secrets
 from threadlens.llm import simhash as _simhash
 
 
@@ -17,8 +20,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.digest(_secrets.secret_spans(_read(spark, sf_dir, "documents")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = _quality.quality_verdicts(_read(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", *_quality.BASE, "base_failed", "kept")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op7_quality": op7_quality, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
