@@ -73,6 +73,12 @@ def consistency(support: float, k: int) -> float:
     return support / ((low + high) / 2)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """`df` behind an explode of arrays of one row each: what stands above, filters above all, is not pushed below it, where each
+    use of a column would work the whole chain of expressions out once more."""
+    return df.select(F.explode(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).alias("r")).select("r.*")
+
+
 def base_counts(df: DataFrame, keep: list[Column], text: Column) -> DataFrame:
     """`keep` and the counts of BASE, with n_lines, n_capitals and n_letters, for each row of `df`.
 
@@ -105,7 +111,7 @@ def base_counts(df: DataFrame, keep: list[Column], text: Column) -> DataFrame:
     step = step.select(*ours, *counts, found.alias("p"))
     span = lambda i, j: F.least(F.lit(WINDOW_WORDS), F.coalesce(F.get("p", j + 1) - i, F.lit(WINDOW_WORDS)))
     covered = F.aggregate(F.transform("p", span), F.lit(0).cast("long"), lambda a, x: a + x)
-    return step.select(*ours, *counts, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    return _settled(step.select(*ours, *counts, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words")))
 
 
 def base_failed() -> Column:
@@ -193,7 +199,7 @@ def score(counted: DataFrame, model: DataFrame, rule: OutlierRule = OutlierRule(
     """Adds base_failed, distance (null for documents that fail the base rule or whose group is too small for an estimate) and kept."""
     model = model.withColumnRenamed("lang", "m_lang").withColumnRenamed("source", "m_source").withColumnRenamed("n", "m_n")
     joined = counted.join(model, counted.lang.eqNullSafe(F.col("m_lang")) & counted.source.eqNullSafe(F.col("m_source")), "left")
-    joined = _distance(joined.withColumns(statistic_vector() | {"base_failed": base_failed()}), "d2")
+    joined = _settled(_distance(_settled(joined.withColumns(statistic_vector() | {"base_failed": base_failed()})), "d2"))
     enough = ~F.col("base_failed") & (F.col("m_n") >= rule.min_rows * rule.support - 1)
     out = joined.withColumn("distance", F.when(enough, F.sqrt("d2")))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") > chi_square_quantile(1 - rule.cut, len(FLOORS)), F.lit(False)) | (~F.col("base_failed") & F.col("distance").isNull())

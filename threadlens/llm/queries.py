@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import decontaminate as _decontaminate
+from threadlens.llm import packing as _packing
 from threadlens.llm import quality as _quality
 from threadlens.llm import secrets as _secrets
 from threadlens.llm import simhash as _simhash
+from threadlens.llm import warc as _warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.digest(_secrets.secret_spans(_read(spark, sf_dir, "documents")))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = _quality.quality_verdicts(_read(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", *_quality.BASE, "base_failed", "kept")
@@ -33,9 +39,30 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _warc.round_trip(_read(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OPERATORS = (op1_simhash, op2_secrets, op5_packing, op7_quality, op9_decontamination, op10_warc)
+
+#: Base 32 from the 40 hex digits of SHA-1, five digits (20 bits, 4 letters) at a time.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::INT >> {15 - 5 * k}) & 31) + 1, 1)" for i in range(8) for k in range(4)
+)
+OP10_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM p JOIN first USING (h)
+"""
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op7_quality": op7_quality, "op9_decontamination": op9_decontamination}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, stem: str) -> str:
+    """A new folder in the one that the cluster shares, as a URI."""
+    top = ensure_checkpoint_dir(spark)
+    return f"{top if ':' in top else 'file://' + top}/{stem}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes `df` to the shared checkpoint folder and cuts its lineage, so a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)

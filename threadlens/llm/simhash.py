@@ -218,11 +218,10 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     groups = near_duplicate_groups(df, id_col, text_col, radius).select(F.col(id_col).alias("g_id"), "component_id").distinct()
     first = groups.where("g_id <=> component_id").select("g_id")
     kept = df.join(first, F.col(id_col).eqNullSafe(F.col("g_id")), "left_semi")
-    # rows that share the id: one of them stays for each group
-    once = kept.withColumn(order, F.struct(F.xxhash64(text_col), F.length(text_col)))
-    repeated = once.groupBy(id_col).agg(F.count("*").alias("n"), F.min(order).alias("low")).where("n > 1")
-    if repeated.isEmpty():
+    if df.groupBy(id_col).count().where("count > 1").isEmpty():
         return kept
-    low = repeated.select(F.col(id_col).alias("r_id"), F.col("low"))
-    same = once.join(low, F.col(id_col).eqNullSafe(F.col("r_id")), "left").where(f"low is null or {order} = low")
+    # rows that share an id: one of them stays
+    once = kept.withColumn(order, F.struct(F.xxhash64(text_col), F.length(text_col)))
+    low = once.groupBy(id_col).agg(F.min(order).alias("low")).select(F.col(id_col).alias("r_id"), "low")
+    same = once.join(low, F.col(id_col).eqNullSafe(F.col("r_id")) & (F.col(order) == F.col("low")), "left_semi")
     return same.dropDuplicates([id_col, order]).select(*df.columns)
