@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import decontaminate as _decontaminate
+from threadlens.llm import language as _language
 from threadlens.llm import packing as _packing
+from threadlens.llm import pii as _pii
 from threadlens.llm import quality as _quality
 from threadlens.llm import secrets as _secrets
 from threadlens.llm import simhash as _simhash
+from threadlens.llm import toxicity as _toxicity
 from threadlens.llm import warc as _warc
 
+#: Where the public vocabularies are.
+TOKENIZERS = os.environ.get("THREADLENS_TOKENIZERS", "/opt/tokenizers")
+#: The pseudonyms' key of the registered query; a real one is kept elsewhere.
+PSEUDONYM_KEY = os.environ.get("THREADLENS_PSEUDONYM_KEY", "threadlens example key")
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,15 +36,30 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.digest(_secrets.secret_spans(_read(spark, sf_dir, "documents")))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.predict_languages(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii.pseudonymised(_read(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = _quality.quality_verdicts(_read(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", *_quality.BASE, "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0)
+    labels = _read(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    return _toxicity.grade_documents(_read(spark, sf_dir, "documents"), labels)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -44,7 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OPERATORS = (op1_simhash, op2_secrets, op5_packing, op7_quality, op9_decontamination, op10_warc)
+OPERATORS = (op1_simhash, op2_secrets, op3_language, op5_packing, op6_pseudonyms, op7_quality, op8_toxicity, op9_decontamination, op10_warc)
 
 #: Base 32 from the 40 hex digits of SHA-1, five digits (20 bits, 4 letters) at a time.
 _BASE32 = " || ".join(
