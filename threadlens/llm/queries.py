@@ -14,6 +14,7 @@ from threadlens.llm import pii as _pii
 from threadlens.llm import quality as _quality
 from threadlens.llm import secrets as _secrets
 from threadlens.llm import simhash as _simhash
+from threadlens.llm import suffixes as _suffixes
 from threadlens.llm import toxicity as _toxicity
 from threadlens.llm import warc as _warc
 
@@ -40,6 +41,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language.predict_languages(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffixes.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(_read(spark, sf_dir, "documents"))
 
@@ -69,7 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OPERATORS = (op1_simhash, op2_secrets, op3_language, op5_packing, op6_pseudonyms, op7_quality, op8_toxicity, op9_decontamination, op10_warc)
+OPERATORS = (op1_simhash, op2_secrets, op3_language, op4_repeats, op5_packing, op6_pseudonyms, op7_quality, op8_toxicity, op9_decontamination, op10_warc)
 
 #: Base 32 from the 40 hex digits of SHA-1, five digits (20 bits, 4 letters) at a time.
 _BASE32 = " || ".join(
@@ -85,9 +90,29 @@ FROM p JOIN first USING (h)
 """
 
 
+#: Every string of 50 bytes with the smallest document that it starts in; bytes as hex digits.
+OP4_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, unnest(range(0, greatest(length(x) // 2 - 49, 0))) AS i, x FROM t),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS piece FROM s),
+low AS (SELECT piece, min(doc_id) AS first FROM w GROUP BY piece HAVING count(DISTINCT doc_id) > 1),
+late AS (SELECT doc_id, i FROM w JOIN low USING (piece) WHERE doc_id > first),
+b AS (SELECT doc_id, unnest(range(0, length(x) // 2)) AS j, x FROM t),
+m AS (SELECT b.doc_id, j, substr(x, 2 * j + 1, 2) AS digits, max(late.i) OVER (PARTITION BY b.doc_id ORDER BY j) AS last_start
+      FROM b LEFT JOIN late ON late.doc_id = b.doc_id AND late.i = j),
+g AS (SELECT doc_id, j, digits, coalesce(j - last_start < 50, false) AS gone FROM m),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS opens FROM g),
+r AS (SELECT doc_id, count(*) AS n_bytes, count_if(gone) AS n_removed, count_if(opens) AS n_spans,
+             sha256(unhex(coalesce(string_agg(digits, '' ORDER BY j) FILTER (NOT gone), ''))) AS kept_sha256 FROM e GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM t LEFT JOIN r USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op4_repeats": OP4_SQL, "op10_warc": OP10_SQL}
