@@ -31,9 +31,11 @@ from threadlens.llm.shared import materialise
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 #: Most distinct fragments of one anchor that are compared in one shard.
-HOT = 2048
+HOT = 1 << 16
 SEGMENT = 1 << 20
-CHUNK = 8 << 20
+#: Bytes of text whose anchors are packed together.
+SLICE = 16 << 20
+CHUNK = 2 << 20
 NO_ID = np.iinfo(np.int64).max
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -119,12 +121,18 @@ def unpack_anchors(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def pack_runs(lo: np.ndarray, runs: np.ndarray) -> bytes:
-    return np.stack([lo.astype("<i8"), runs.astype("<i8")]).tobytes()
+    """Five bytes of place and one of length for each run."""
+    return _planes(np.asarray(lo, np.uint64), 5) + np.asarray(runs, np.uint8).tobytes()
 
 
 def unpack_runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = [np.frombuffer(b, "<i8").reshape(2, -1) for b in blobs]
-    return tuple(np.concatenate(both, axis=1)) if both else (np.zeros(0, np.int64),) * 2
+    lo, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for blob in blobs:
+        n = len(blob) // 6
+        place, at = _unplane(blob, 0, n, 5)
+        lo.append(place.astype(np.int64))
+        runs.append(np.frombuffer(blob, np.uint8, n, at).astype(np.int64))
+    return np.concatenate(lo), np.concatenate(runs)
 
 
 FOUND = "doc long, mark long, anchor long, hot boolean, runs binary"
@@ -152,51 +160,56 @@ _SENT = [("bucket", pa.int32()), ("docs", pa.binary()), ("blob", pa.binary()), *
 
 
 def _send(buckets: int, segment: int):
+    def settle(parts: list[bytes], base: list[tuple[int, int]]) -> tuple:
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        sizes = np.array([len(p) for p in parts])
+        text, h, c, lo, runs = anchors(data, np.cumsum(sizes))
+        doc, offset = np.array([b[0] for b in base]), np.array([b[1] for b in base])
+        return h >> np.uint64(24), c >> np.uint64(24), doc[text], lo - (np.cumsum(sizes) - sizes)[text] + offset[text], runs
+
+    def packed(held: list[tuple], ids: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+        h, c, doc, lo, runs = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((ids[doc], c, h))
+        h, c, doc, lo, runs = (x[order] for x in (h, c, doc, lo, runs))
+        new = (np.diff(h, prepend=h[0] + np.uint64(1)) != 0) | (np.diff(c, prepend=c[0]) != 0) if len(h) else np.zeros(0, bool)
+        least = ids[doc][np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else np.zeros(0, np.int64)
+        late = ids[doc] > least
+        rows = [(None, None, None, *r) for r in _by_document(ids[doc[late]], marks[doc[late]], lo[late], runs[late])]
+        h, c, doc, lo, runs = (x[~late] for x in (h, c, doc, lo, runs))
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        h, c, doc, lo, runs, bucket = (x[order] for x in (h, c, doc, lo, runs, bucket))
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
+            own, number = np.unique(doc[a:b], return_inverse=True)
+            names = np.stack([ids[own], marks[own]]).tobytes()
+            rows.append((int(bucket[a]), names, pack_anchors(h[a:b], c[a:b], number, lo[a:b], runs[a:b]), None, None, None, None, None))
+        return _batch(rows, _SENT)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Anchors packed for their shards, and the runs whose fragment has a smaller document in the same batch."""
+        """Anchors packed for their shards, and the runs whose fragment has a smaller document in the same slice of a batch."""
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             marks = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            held, parts, base, size = [], [], [], 0
-
-            def settle():
-                data = np.frombuffer(b"".join(parts), np.uint8)
-                text, h, c, lo, runs = anchors(data, np.cumsum([len(p) for p in parts]))
-                begins = np.cumsum([0, *(len(p) for p in parts)])[:-1]
-                doc, offset = np.array([b[0] for b in base]), np.array([b[1] for b in base])
-                held.append((h >> np.uint64(24), c >> np.uint64(24), doc[text], lo - begins[text] + offset[text], runs))
-
+            held, parts, base, size, taken = [], [], [], 0, 0
             for i, value in enumerate(batch.column(2)):
                 raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
                 for at in range(0, max(len(raw) - LENGTH + 1, 0), segment):  # a long text in pieces that share LENGTH - 1 bytes
-                    piece = raw[at : at + segment + LENGTH - 1]
-                    parts.append(piece)
+                    parts.append(raw[at : at + segment + LENGTH - 1])
                     base.append((i, at))
-                    size += len(piece)
+                    size += len(parts[-1])
                     if size >= segment:
-                        settle()
+                        held.append(settle(parts, base))
+                        taken += size
                         parts, base, size = [], [], 0
+                    if taken >= SLICE:
+                        yield packed(held, ids, marks)
+                        taken = 0
             if parts:
-                settle()
-            if not held:
-                continue
-            h, c, doc, lo, runs = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((ids[doc], c, h))
-            h, c, doc, lo, runs = (x[order] for x in (h, c, doc, lo, runs))
-            new = (np.diff(h, prepend=h[0] + np.uint64(1)) != 0) | (np.diff(c, prepend=c[0]) != 0)
-            least = ids[doc][np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-            late = ids[doc] > least
-            rows = [(None, None, None, *r) for r in _by_document(ids[doc[late]], marks[doc[late]], lo[late], runs[late])]
-            h, c, doc, lo, runs = (x[~late] for x in (h, c, doc, lo, runs))
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            h, c, doc, lo, runs, bucket = (x[order] for x in (h, c, doc, lo, runs, bucket))
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
-                own, number = np.unique(doc[a:b], return_inverse=True)
-                names = np.stack([ids[own], marks[own]]).tobytes()
-                rows.append((int(bucket[a]), names, pack_anchors(h[a:b], c[a:b], number, lo[a:b], runs[a:b]), None, None, None, None, None))
-            yield _batch(rows, _SENT)
+                held.append(settle(parts, base))
+            if held:
+                yield packed(held, ids, marks)
 
     return send
 
@@ -346,9 +359,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = [("anchor", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("lo", pa.int64()), ("fragment", pa.binary())]
     for batch in batches:
         rows = []
-        for doc, mark, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            for ask in asked:
+        for doc, mark, text, asked in zip(*batch.columns):
+            doc, mark, raw = doc.as_py(), mark.as_py(), zstandard.decompress(text.as_py())
+            for ask in asked.as_py():
                 (lo,), (runs,) = unpack_runs([ask["runs"]])
                 if ask["hot"]:
                     for at in range(lo, lo + runs):
@@ -356,9 +369,22 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         rows.append((int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big", signed=True), doc, mark, at, piece))
                 else:
                     rows.append((ask["anchor"], doc, mark, int(lo), raw[lo : lo + runs + LENGTH - 1]))
+            if len(rows) > 50000:
+                yield _batch(rows, schema)
+                rows = []
         yield _batch(rows, schema)
 
 
+def _compress(texts: pd.Series) -> pd.Series:
+    engine = zstandard.ZstdCompressor(level=3, write_content_size=True)
+    return pd.Series([engine.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts])
+
+
+def compressed(text: Column) -> Column:
+    """UTF-8 bytes, compressed before they are dealt; null as empty."""
+    return F.pandas_udf(_compress, "binary")(text)
+
+
 def removed_runs(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 24 << 20, hot: int = HOT, segment: int = SEGMENT) -> DataFrame:
     """(doc, mark, runs): runs of starts of repeated strings. doc is the id, the largest long for null; mark is a hash of the text."""
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
@@ -369,7 +395,7 @@ def removed_runs(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 2
     dealt = sent.repartition(buckets, F.coalesce("bucket", F.pmod("doc", F.lit(buckets)))).sortWithinPartitions("bucket")
     first = materialise(dealt.mapInArrow(_settled_or_collapsed(hot), FOUND))
     asked = first.where("anchor is not null").groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "hot", "runs")).alias("asked"))
-    fragments = docs.join(asked, ["doc", "mark"]).select("doc", "mark", "text", "asked")
+    fragments = docs.select("doc", "mark", compressed(F.col("text")).alias("text")).join(asked, ["doc", "mark"]).select("doc", "mark", "text", "asked")
     fetched = fragments.mapInArrow(_fetch, "anchor long, doc long, mark long, lo long, fragment binary")
     compared = fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, FOUND)
     return first.where("anchor is null").union(compared).select("doc", "mark", "runs")
@@ -398,7 +424,7 @@ def _settled_or_collapsed(hot: int):
 def _cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     rows = []
     for text, blobs in zip(texts, runs):
-        raw = (text or "").encode("utf-8", "surrogatepass")
+        raw = zstandard.decompress(text)
         edge = np.zeros(len(raw) + 1, np.int32)
         lo, n = unpack_runs(list(blobs) if blobs is not None else [])
         np.add.at(edge, lo, 1)
@@ -411,7 +437,7 @@ def _cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
 
 
 def cut(text: Column, runs: Column) -> Column:
-    """A struct of n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that are left."""
+    """From compressed texts a struct of n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that are left."""
     return F.pandas_udf(_cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")(text, runs)
 
 
@@ -422,6 +448,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that repeat do not remove each other. Texts of fewer than LENGTH bytes stay whole. Other columns are not read.
     """
     runs = removed_runs(df, id_col, text_col, hot=hot, segment=segment).groupBy("doc", "mark").agg(F.collect_list("runs").alias("runs"))
-    keyed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"))
+    keyed = df.select(F.col(id_col).alias("id"), compressed(F.col(text_col)).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"))
     out = keyed.join(runs, ["doc", "mark"], "left").select("id", cut(F.col("text"), F.col("runs")).alias("r"))
     return out.select(F.col("id").alias(id_col), "r.*")
