@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -272,7 +273,8 @@ def analyze(turns: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     `calls(thread_id, otp_asked, remote_asked, urgent_pressured, first_contact)` adds what was said on the telephone. Null texts are empty;
     turns of one thread that share `ix` are taken in any order.
     """
-    table = turn_table(turns)
+    # three uses below; kept blocks that are lost with an executor are worked out again
+    table = turn_table(turns).persist(StorageLevel.MEMORY_AND_DISK)
     hits = exploded_hits(table).unionByName(sequence_hits(table))
     if calls is not None:
         flags = {"call_otp": "otp_asked", "call_remote": "remote_asked", "call_urgent": "urgent_pressured", "call_first_contact": "first_contact"}

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from threadlens.queries.tables import QUERIES, SQL, flagship
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+__all__ = ["flagship", "oracle_sql", "queries"]
