@@ -255,11 +255,12 @@ def _collapse(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Record
         yield from (_batch(rows[i : i + 20000], _FOUND) for i in range(0, len(rows), 20000))
 
 
-def two_stage_suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+def two_stage_suffix_array(data: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
     """Positions of `data` in the order of the suffixes there, right in their first `depth` bytes at least (the end is smallest).
 
     A suffix is of type B if it is smaller than the one after it. Only those are sorted. The others are induced: buckets of first
     bytes are scanned from the smallest, and a suffix scanned puts the one before it, if that is of type A, at the next free place of its bucket.
+    With `wanted`, a mask, only the wanted suffixes and those that they are induced from are worked on and returned.
     """
     n = len(data)
     if not n:
@@ -269,21 +270,31 @@ def two_stage_suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     ends = np.append(change, n - 1)
     rises = np.append(data[change + 1] > data[change], False)
     type_b = np.repeat(rises, np.diff(np.concatenate([[-1], ends])))
-    own = np.flatnonzero(type_b)
+    needed = np.ones(n, bool) if wanted is None else wanted.copy()
+    if wanted is not None:  # a wanted suffix of type A is induced from those after it, up to the first of type B
+        of_b = np.append(np.flatnonzero(type_b), n - 1)
+        last_wanted = np.flatnonzero(wanted & ~np.append(wanted[1:], False) & ~type_b)
+        until = of_b[np.searchsorted(of_b, last_wanted)]
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, last_wanted, 1)
+        np.add.at(edge, until + 1, -1)
+        needed |= np.cumsum(edge[:-1]) > 0
+    own = np.flatnonzero(type_b & needed)
     w = words_at(np.concatenate([data, np.zeros(depth + 8, np.uint8)]))
-    sizes = n - own
-    keys = [np.minimum(sizes, depth + 8)] + [w[own + 8 * k] for k in reversed(range(-(-depth // 8)))]
+    keys = [w[own + 8 * k] for k in reversed(range(-(-depth // 8)))]
+    if (data == 0).any():  # what lies beyond the end is smaller than a zero byte
+        keys.insert(0, np.minimum(n - own, depth + 8))
     own = own[np.lexsort(keys)]
+    induced = needed & ~type_b
     b_of = np.searchsorted(data[own], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    last = int(data[-1])
-    if not type_b[n - 1]:
-        waiting[last].append(np.array([n - 1]))
+    if induced[n - 1]:
+        waiting[int(data[-1])].append(np.array([n - 1]))
     out = []
 
     def induce(scanned: np.ndarray) -> None:
         before = scanned[scanned > 0] - 1
-        before = before[~type_b[before]]
+        before = before[induced[before]]
         if len(before):
             first = data[before]
             order = np.argsort(first, kind="stable")
@@ -322,8 +333,8 @@ def _repeats(doc: np.ndarray, fragments: list[bytes]) -> tuple[np.ndarray, np.nd
     data = np.frombuffer(b"".join(fragments), np.uint8)
     size = np.array([len(f) for f in fragments])
     begin = np.cumsum(size) - size
-    order = two_stage_suffix_array(data)
     owner = np.repeat(np.arange(len(size)), size)
+    order = two_stage_suffix_array(data, wanted=np.arange(len(data)) + LENGTH <= (begin + size)[owner])
     inside = order + LENGTH <= (begin + size)[owner[order]]
     run = np.cumsum(np.append(True, ~common_prefixes(data, order))) - 1
     order, run = order[inside], run[inside]
