@@ -64,9 +64,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("h")).groupBy("h").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
     seeds = _seeds(items, ["item_id", "n_items"]).select("seed", "item_id", "n_items", F.col("at").alias("item_at"), F.col("h").alias("item_h"))
     size = seeds.agg(F.sum(SEED_BYTES + 8 * F.size("item_h"))).first()[0] or 0
+    lean = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("h"))
     if size <= BROADCAST_BYTES:
-        seeds = F.broadcast(seeds)
-    hits = _seeds(docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("h")), ["id"]).join(seeds, "seed")
+        hits = _seeds(lean, ["id"]).join(F.broadcast(seeds), "seed")
+    else:
+        # both sides are shuffled by seed, so nothing but positions is carried; tokens are joined to what has met
+        lean = lean.withColumn("mark", F.xxhash64("h"))
+        met = _seeds(lean, ["id", "mark"]).select("id", "mark", "at", "seed").join(seeds.select("seed", "item_id", "n_items", "item_at"), "seed")
+        met = met.groupBy("id", "mark", "item_id", "n_items", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.min("at").alias("at"))
+        met = met.withColumn("item_at", F.col("at") - F.col("shift")).withColumnsRenamed({"id": "met_id", "mark": "met_mark"})
+        once = lean.dropDuplicates(["id", "mark"])
+        hits = met.join(once, F.col("id").eqNullSafe(F.col("met_id")) & (F.col("mark") == F.col("met_mark"))).join(items.select("item_id", F.col("h").alias("item_h")), "item_id")
     # the item laid over the document so that the hit's tokens meet, clipped to what both have
     shift = F.col("at") - F.col("item_at")
     item_from = F.greatest(F.lit(0), -shift)

@@ -118,9 +118,11 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "<secret>") -> Dat
     runs = runs.withColumn("run", F.sum("new").over(W.partitionBy("rid").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))
     runs = runs.groupBy("rid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     runs = runs.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    of_row, spanned = fresh_name(dirty, "span_row"), fresh_name(dirty, "span_runs")
+    runs = runs.withColumnsRenamed({"rid": of_row, "runs": spanned})
     text = F.col(f"d.`{text_col}`")
-    gaps = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.transform("runs", lambda x: x["end"])), F.concat(F.transform("runs", lambda x: x["start"]), F.array(F.length(text).cast("long"))))
+    gaps = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.transform(spanned, lambda x: x["end"])), F.concat(F.transform(spanned, lambda x: x["start"]), F.array(F.length(text).cast("long"))))
     pieces = F.transform(gaps, lambda x: F.substring(text, (x["0"] + 1).cast("int"), (x["1"] - x["0"]).cast("int")))
-    joined = dirty.alias("d").join(runs, F.col(f"d.`{rid}`") == F.col("rid"), "left")
-    changed = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(pieces, mark))
+    joined = dirty.alias("d").join(runs, F.col(f"d.`{rid}`") == F.col(of_row), "left")
+    changed = F.when(F.col(spanned).isNull(), text).otherwise(F.array_join(pieces, mark))
     return clean.union(joined.select(*(changed.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in df.columns)))
