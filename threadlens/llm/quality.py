@@ -186,9 +186,10 @@ def estimates(stats: DataFrame, rule: OutlierRule = OutlierRule()) -> DataFrame:
     model = _moments(keyed.groupBy("key").agg(*_sums(False)), ["key"], 1.0)
     scale = consistency(rule.support, len(FLOORS))
     for _ in range(rule.steps):
-        model = materialise(model)
         spread = _distance(keyed.join(model, "key"), "d2")
         bands = spread.withColumn("band", F.floor(F.log(1 + F.col("d2")) * 100).cast("long")).groupBy("key", "band").agg(*_sums(False))
+        # written here so that sums are dealt by key and band; in one plan with the windows they would be by key, a hot group to one task
+        bands = materialise(bands)
         upto = W.partitionBy("key").orderBy("band").rowsBetween(W.unboundedPreceding, -1)
         bands = bands.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(W.partitionBy("key")))
         model = _moments(bands.where(F.col("before") < F.ceil(rule.support * F.col("all"))).groupBy("key").agg(*_sums(True)), ["key"], scale)

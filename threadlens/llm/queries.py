@@ -90,9 +90,35 @@ FROM p JOIN first USING (h)
 """
 
 
+
+
+def _op2_sql() -> str:
+    """Matches of each pattern with running positions, then the weak parts that have what completes them within the scope."""
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    patterns = [(_secrets.ASSIGN, 2), (_secrets.ACCESS, 0), (_secrets.HEX, 0), (_secrets.IDENTIFIER, 2), (_secrets.ENDPOINT, 0)]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS p, unnest(range(len(f))) AS i, unnest(list_transform(f, lambda y: length(y))) AS n, unnest(list_transform(g, lambda y: length(y))) AS own, unnest(list_transform(s[1:len(f)], lambda y: length(y))) AS gap "
+        f"FROM (SELECT doc_id, regexp_extract_all(x, {q(p)}) AS f, regexp_extract_all(x, {q(p)}, {g}) AS g, regexp_split_to_array(x, {q(p)}) AS s FROM t WHERE regexp_matches(x, {q(p)}))"
+        for n, (p, g) in enumerate(patterns)
+    )
+    near = lambda role: f"EXISTS (SELECT 1 FROM k o WHERE o.doc_id = k.doc_id AND o.role = '{role}' AND abs(o.a - k.a) <= {_secrets.SCOPE})"
+    names = ", ".join(f"'{k}'" for k in _secrets.KINDS)
+    roles = ", ".join(f"'{_secrets.ROLE[k]}'" for k in _secrets.KINDS)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), m AS ({found}),
+e AS (SELECT *, sum(gap + n) OVER (PARTITION BY doc_id, p ORDER BY i) AS z FROM m),
+c AS (SELECT doc_id, CASE WHEN p = 0 AND own >= 12 THEN 0 WHEN p = 0 AND own >= {_secrets.WEAK_SECRET} THEN 3 WHEN p IN (1, 2) THEN p WHEN p = 3 THEN 4 WHEN p = 4 THEN 5 END AS kind, (z - n)::BIGINT AS a, z::BIGINT AS z FROM e),
+k AS (SELECT *, ([{names}])[kind + 1] AS name, ([{roles}])[kind + 1] AS role FROM c WHERE kind IS NOT NULL),
+s AS (SELECT doc_id, kind, a, name || ':' || a || ':' || z AS line FROM k WHERE kind < 3 OR (kind = 3 AND ({near("id")} OR {near("endpoint")})) OR (kind = 4 AND {near("secret")}) OR (kind = 5 AND {near("id")} AND {near("secret")}))
+SELECT t.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(line, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(line, ',' ORDER BY a, kind), '') AS spans
+FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op2_secrets": _op2_sql(), "op10_warc": OP10_SQL}
