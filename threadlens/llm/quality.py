@@ -186,6 +186,7 @@ def estimates(stats: DataFrame, rule: OutlierRule = OutlierRule()) -> DataFrame:
     model = _moments(keyed.groupBy("key").agg(*_sums(False)), ["key"], 1.0)
     scale = consistency(rule.support, len(FLOORS))
     for _ in range(rule.steps):
+        model = materialise(model)  # a row for each group: of a known size, so documents are not dealt by group to meet it
         spread = _distance(keyed.join(model, "key"), "d2")
         bands = spread.withColumn("band", F.floor(F.log(1 + F.col("d2")) * 100).cast("long")).groupBy("key", "band").agg(*_sums(False))
         # written here so that sums are dealt by key and band; in one plan with the windows they would be by key, a hot group to one task
