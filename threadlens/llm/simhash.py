@@ -104,14 +104,14 @@ def grow_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return parent, edge, root
 
 
-def search_forest(fp: np.ndarray, parent: np.ndarray, edge: np.ndarray, root: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def search_forest(fp: np.ndarray, parent: np.ndarray, edge: np.ndarray, root: np.ndarray, radius: int, chunk: int = _CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Yields pairs (query row, row found) at `radius` or less in the same tree, itself excluded. A query follows an edge
     only if its key is within `radius` of the query's distance to the node."""
     inner = np.flatnonzero(parent >= 0)
     order = inner[np.lexsort((edge[inner], parent[inner]))]
     keys = parent[order] * (BITS + 1) + edge[order]
-    for at in range(0, len(fp), _CHUNK):
-        query = np.arange(at, min(at + _CHUNK, len(fp)))
+    for at in range(0, len(fp), chunk):
+        query = np.arange(at, min(at + chunk, len(fp)))
         node = root[query]
         while len(query):
             d = np.bitwise_count(fp[query] ^ fp[node]).astype(np.int64)
@@ -211,11 +211,142 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """The rows of `df` that stay: of each near-duplicate group the one with the smallest id (of repeated rows with that id, the
+def _shingle_sets(texts: pd.Series, width: int, seed: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct XXH64 hashes of its `width`-word shingles, as `simhash` takes them; none without words."""
+    digest = xxhash.xxh64_intdigest
+    for text in texts:
+        parts = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+        grams = zip(*(parts[k:] for k in range(width))) if len(parts) > width else [parts] if parts else []
+        yield np.unique(np.array([digest(b" ".join(g), seed) for g in grams], np.uint64))
+
+
+def _sketches(texts: pd.Series, width: int, bands: int, rows: int, seed: int) -> pd.DataFrame:
+    """For each text a key of its shingle set, the set's fingerprint, and `bands` hashes of `rows` least permuted shingles each."""
+    rng = np.random.default_rng(seed)
+    factors = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    keys, prints, named = [], [], []
+
+    def flush(sets: list[np.ndarray]) -> None:
+        sizes = np.array([len(x) for x in sets], np.int64)
+        flat, some = np.concatenate(sets), np.flatnonzero(sizes)
+        prints.append(_majority(flat, sizes).view(np.int64))
+        least = np.zeros((len(sets), bands * rows), np.uint64)
+        if len(some):
+            first = (np.cumsum(sizes) - sizes)[some]
+            for i, factor in enumerate(factors):
+                least[some, i] = np.minimum.reduceat(flat * factor, first)
+        named.extend(np.array([xxhash.xxh64_intdigest(r[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)], np.uint64).view(np.int64) for r in least)
+
+    held: list[np.ndarray] = []
+    total = 0
+    for found in _shingle_sets(texts, width, seed):
+        keys.append(xxhash.xxh64_intdigest(found.tobytes(), seed))
+        held.append(found)
+        total += len(found)
+        if total > 1 << 18:
+            flush(held)
+            held, total = [], 0
+    if held:
+        flush(held)
+    return pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "fp": np.concatenate(prints) if prints else np.zeros(0, np.int64), "bands": named})
+
+
+def _near_pairs(radius: int, rows: int):
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of kind, value, key, fp and comp come sorted by shard; whole shards are taken together until there are `rows` of them."""
+        kept: list[tuple[np.ndarray, ...]] = []
+
+        def emit(kind, value, key, fp, comp):
+            shard = np.cumsum((np.diff(kind, prepend=kind[0] - 1) != 0) | (np.diff(value, prepend=value[0]) != 0))
+            fp = fp.view(np.uint64)
+            for a, b in search_forest(fp, *grow_forest(shard, fp), radius, 1 << 10):
+                new = (key[a] < key[b]) & (comp[a] != comp[b])
+                if new.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(key[a[new]]), pa.array(key[b[new]])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)))
+            if sum(len(x[0]) for x in kept) >= rows:
+                kind, value, key, fp, comp = (np.concatenate(x) for x in zip(*kept))
+                cut = int(np.argmax((kind == kind[-1]) & (value == value[-1])))
+                if cut:
+                    yield from emit(kind[:cut], value[:cut], key[:cut], fp[:cut], comp[:cut])
+                kept = [(kind[cut:], value[cut:], key[cut:], fp[cut:], comp[cut:])]
+        if kept:
+            yield from emit(*(np.concatenate(x) for x in zip(*kept)))
+
+    return pairs
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, radius: int = 24, bands: int = 24, rows: int = 4, shard_limit: int = 4096, seed: int = 42) -> DataFrame:
+    """Each row's id and `component_id`, the smallest id reachable over links of texts whose sets of `width`-word shingles have a Jaccard
+    similarity of `least` or more. Nulls, blanks and repeated rows are as in `near_duplicate_groups`; equal sets need no link.
+
+    Sets of similarity 0.8 differ in some 10 of 64 bits, and as many bit blocks as that takes leave a few bits to each, whose shards grow
+    with the table. So shards are named by `bands` hashes of `rows` min-hashes each: sets of similarity 0.8 share none with probability
+    3e-6 and differ in over 24 bits with about 4e-6. A shard's members are first held against its least key; what that leaves
+    in different groups is searched in the shard's BK-tree. Every pair is verified on the whole sets before it is a link.
+    A shard over `shard_limit` is dealt to shards of each two of its parts, so no task holds more and no pair is lost.
+    """
+
+    @F.pandas_udf("key long, fp long, bands array<long>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield _sketches(texts, width, bands, rows, seed)
+
+    @F.pandas_udf("key long, grams array<long>")
+    def grams(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = list(_shingle_sets(texts, width, seed))
+            yield pd.DataFrame({"key": np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in found], np.uint64).view(np.int64), "grams": [x.view(np.int64) for x in found]})
+
+    docs = materialise(df.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*"))
+    reps = docs.dropDuplicates(["key"]).select("key", "fp", "bands")
+    dealt = reps.select("key", "fp", F.posexplode("bands").alias("kind", "value"))
+    size = dealt.groupBy("kind", "value").agg(F.count("*").alias("members"), F.min("key").alias("hub"), F.min_by("fp", "key").alias("hub_fp")).where("members > 1")
+    dealt = materialise(dealt.join(size, ["kind", "value"]))
+    met = dealt.select("key").distinct()
+    sets = materialise(df.select(grams(F.col(text_col)).alias("g")).select("g.*").join(met, "key", "left_semi").dropDuplicates(["key"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
+        two = sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
+        counted = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
+        return materialise(counted.where(F.col("common") >= least * (F.col("nx") + F.col("ny") - F.col("common"))).select("a", "b"))
+
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= radius
+    tried = materialise(dealt.where((F.col("key") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
+    links = verified(tried)
+    found = connected_components(links)
+    open_ = dealt.select("kind", "value", "key", "fp").join(found, dealt.key == found.node, "left").select("kind", "value", "key", "fp", F.coalesce("root", "key").alias("comp"))
+    open_ = materialise(open_)
+    mixed = open_.groupBy("kind", "value").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("kind", "value", "members")
+    open_ = open_.join(mixed, ["kind", "value"])
+    parts = F.ceil(F.col("members") / (shard_limit // 2)).cast("long")
+    own = F.pmod(F.xxhash64("key"), parts)
+    # a shard in one piece is tile 0; else a tile for each two parts
+    others = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: j != own)
+    tiles = F.when(F.col("members") <= shard_limit, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda j: 1 + F.least(j, own) * parts + F.greatest(j, own)))
+    shards = open_.withColumn("tile", F.explode(tiles)).select((F.col("kind") + F.col("tile") * bands).alias("kind"), "value", "key", "fp", "comp")
+    shards = shards.repartition("kind", "value").sortWithinPartitions("kind", "value")
+    more = shards.mapInArrow(_near_pairs(radius, 1 << 14), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    more = verified(more)
+    if not more.isEmpty():
+        found = connected_components(links.union(more))
+    lows = docs.groupBy("key").agg(F.min("id").alias("low"))
+    rooted = lows.join(found, lows.key == found.node, "left").select("key", "low", F.coalesce("root", "key").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = rooted.join(smallest, "root").select("key", "component_id")
+    return docs.join(named, "key").select(F.col("id").alias(id_col), "component_id")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """The rows of `df` that stay: of each group of `similar_groups` the one with the smallest id (of repeated rows with that id, the
     first in the order of a hash of the text; a null id stays only if no member has one). Columns are those of `df`."""
     order = fresh_name(df, "text_hash")
-    groups = near_duplicate_groups(df, id_col, text_col, radius).select(F.col(id_col).alias("g_id"), "component_id").distinct()
+    groups = similar_groups(df, id_col, text_col, least).select(F.col(id_col).alias("g_id"), "component_id").distinct()
     first = groups.where("g_id <=> component_id").select("g_id")
     kept = df.join(first, F.col(id_col).eqNullSafe(F.col("g_id")), "left_semi")
     if df.groupBy(id_col).count().where("count > 1").isEmpty():
