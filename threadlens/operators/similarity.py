@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from functools import reduce
 
@@ -78,23 +79,50 @@ def hashed_trigrams(df: DataFrame, id_col: str, text: Column, dims: int = 64) ->
     return hashed.groupBy("id", (F.col("h") % dims).cast("int").alias("idx")).agg(F.sum(sign).alias("value")).where("value <> 0").withColumnRenamed("id", id_col)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """`df` in the checkpoint folder, without its lineage: that of rounds would double in each. A folder of this machine is made only where none is named."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadlens-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def leader_clusters(items: DataFrame, least: float = 0.45, most: int = 500) -> DataFrame:
-    """`items(grp, id, score, keys)` -> (grp, id, leader): by score, then id, each item joins the most similar leader of its group whose keys have a
-    Jaccard similarity of `least` or more, else it leads. A group is cut to its `most` best items before it meets in a task: the rule's own bound."""
-    at = F.row_number().over(W.partitionBy("grp").orderBy(F.desc("score"), "id"))
-    bounded = items.withColumn("at", at).where(F.col("at") <= most)
+    """`items(grp, id, score, keys)` -> (grp, id, leader): by score, then id, each item joins the most similar leader before it in its group whose keys
+    have a Jaccard similarity of `least` or more, the first of equals, else it leads.
+
+    Only the first item of each key set can lead, or the items with no keys, which are like none. At most `most` of a group's sets that no leader takes
+    meet in a task, best first; the sets that their leaders do not take are the next round's. At last each item is held against the leaders before it, in joins.
+    """
+    place = F.struct(F.col("score").alias("score"), F.bitwise_not("id").alias("turned"))
+    placed = _written(items.select("grp", "id", place.alias("place"), F.array_sort(F.array_distinct("keys")).alias("keys")))
+
+    def alike(a: str, b: str) -> Column:
+        common = F.size(F.array_intersect(a, b))
+        return common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1))
 
     def lead(group: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[int, set]] = []
-        out = []
+        leaders: list[tuple[set, int]] = []
         for row in group.sort_values("at").itertuples():
             keys = set(row.keys)
-            best = max(((len(keys & k) / max(len(keys | k), 1), -n) for n, (_, k) in enumerate(leaders)), default=(0.0, 0))
-            if best[0] >= least:
-                out.append((row.grp, row.id, leaders[-best[1]][0]))
-            else:
-                leaders.append((row.id, keys))
-                out.append((row.grp, row.id, row.id))
-        return pd.DataFrame(out, columns=["grp", "id", "leader"])
-
-    return bounded.groupBy("grp").applyInPandas(lead, "grp string, id long, leader long")
+            if max((len(keys & k) / max(len(keys | k), 1) for k, _ in leaders), default=0.0) < least:
+                leaders.append((keys, row.at))
+        return pd.DataFrame({"grp": group["grp"].iloc[0], "at": [at for _, at in leaders]}, columns=["grp", "at"])
+
+    at = F.row_number().over(W.partitionBy("grp").orderBy(F.desc("place")))
+    open_ = _written(placed.groupBy("grp", "keys").agg(F.max("place").alias("place")))
+    found = []
+    while not open_.isEmpty():
+        front = _written(open_.withColumn("at", at).where(F.col("at") <= most))
+        led = front.groupBy("grp").applyInPandas(lead, "grp string, at int").select(F.col("grp").alias("l_grp"), F.col("at").alias("l_at"))
+        led = front.join(led, F.col("grp").eqNullSafe(F.col("l_grp")) & (F.col("at") == F.col("l_at"))).select("l_grp", F.col("place").alias("l_place"), F.col("keys").alias("l_keys"))
+        found.append(_written(led))
+        taken = F.col("grp").eqNullSafe(F.col("l_grp")) & ((alike("keys", "l_keys") >= least) | (F.col("keys") == F.col("l_keys")))
+        open_ = _written(open_.join(found[-1], taken, "left_anti"))
+    if not found:
+        return placed.select("grp", "id", F.col("id").alias("leader"))
+    leaders = reduce(DataFrame.union, found)
+    before = F.col("grp").eqNullSafe(F.col("l_grp")) & (F.col("l_place") >= F.col("place")) & (alike("keys", "l_keys") >= least)
+    best = F.max(F.when(F.col("l_place").isNotNull(), F.struct(alike("keys", "l_keys").alias("sim"), "l_place"))).alias("best")
+    joined = placed.join(leaders, before, "left").groupBy("grp", "id").agg(best)
+    return joined.select("grp", "id", F.coalesce(F.bitwise_not("best.l_place.turned"), "id").alias("leader"))

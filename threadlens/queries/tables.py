@@ -421,9 +421,9 @@ def sim_hash64(spark, sf_dir):
 @query()
 def cluster_leaders(spark, sf_dir):
     r = an.signals(an.diminished(_raw_hits(spark, sf_dir)))
-    items = r.groupBy("thread_id").agg(F.collect_set("rule_id").alias("keys"), F.sum("weight_sum").alias("score"))
-    grp = F.concat(F.lit("g"), F.pmod(F.xxhash64("thread_id"), F.greatest(F.lit(1), F.lit(8))).cast("string"))
-    return si.leader_clusters(items.select(grp.alias("grp"), F.xxhash64("thread_id").alias("id"), "score", "keys"))
+    top = F.max_by("rule_id", F.struct("weight_sum", "count", "rule_id"))
+    items = r.groupBy("thread_id").agg(F.collect_set("rule_id").alias("keys"), F.sum("weight_sum").alias("score"), top.alias("grp"))
+    return si.leader_clusters(items.select("grp", F.xxhash64("thread_id").alias("id"), "score", "keys"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTES, true) AS new FROM events),
