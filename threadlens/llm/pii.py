@@ -21,15 +21,17 @@ ROUNDS = 10
 KINDS = ("email", "ip", "card", "ssn", "date", "phone")
 #: Fixed formats. Cards have 13 to 19 digits, dates the years 1900 to 2099.
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
-NUMBER = re.compile(
-    r"(?=[0-9+(])(?<![0-9A-Za-z_+])(?<![0-9][.,])(?:"
-    r"(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))"
-    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-    r"|(?P<date>(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}(?![0-9]))"
-    r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
-    r"|(?P<phone>\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]))"
-    r")(?![A-Za-z_])"
-)
+_FORMS = {
+    "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "date": r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}(?![0-9])",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+}
+#: Digits after a digit and a point are decimals. After a digit and a comma they may be a row's next value; a group of thousands has no form of these.
+_OPEN = r"(?=[0-9+(])(?<![0-9A-Za-z_+])(?:(?=[+(])|(?<![0-9]\.))"
+NUMBER = re.compile(_OPEN + "(?:" + "|".join(f"(?P<{k}>{form})" for k, form in _FORMS.items()) + ")(?![A-Za-z_])")
+FORMS = {k: re.compile(f"{_OPEN}(?:{form})(?![A-Za-z_])") for k, form in _FORMS.items()}
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
 
@@ -148,27 +150,50 @@ def _email(key: bytes, text: str) -> str | None:
 MAPS = {"email": _email, "ip": _ip, "card": _card, "ssn": _ssn, "date": _date, "phone": _phone}
 
 
+def _readings(text: str, start: int) -> Iterator[tuple[int, str]]:
+    """Where a number that starts at `start` may end, and its kind. What looks like one card may be a card and the groups after it, so
+    a card may end at any of its groups, longest first."""
+    for kind, form in FORMS.items():
+        if m := form.match(text, start):
+            yield m.end(), kind
+            if kind == "card":
+                for cut in reversed([g.end() for g in re.finditer(r"[0-9]+", m[0])][:-1]):
+                    if sum(c.isdigit() for c in m[0][:cut]) >= 13:
+                        yield start + cut, kind
+
+
 def _pseudonyms(texts: pd.Series, mapped: Callable[[str, str], str | None]) -> pd.DataFrame:
     rows = []
     for text in texts:
         counts = dict.fromkeys(KINDS, 0)
 
-        def put(m: re.Match) -> str:
-            kind = m.lastgroup or "email"
-            new = mapped(kind, m[0])
+        def put(kind: str, value: str) -> str | None:
+            new = mapped(kind, value)
             counts[kind] += new is not None
-            return m[0] if new is None else new
+            return new
+
+        def numbers(piece: str) -> str:
+            """Each place that has a number's form: the first form that validates, else on from inside it."""
+            parts, done, at = [], 0, 0
+            while m := NUMBER.search(piece, at):
+                at = m.start() + 1
+                for end, kind in _readings(piece, m.start()):
+                    if (new := put(kind, piece[m.start() : end])) is not None:
+                        parts += [piece[done : m.start()], new]
+                        done = at = end
+                        break
+            return "".join([*parts, piece[done:]])
 
         if text:
             # addresses are taken out of the way first, so that digits in them are not read as numbers
             if "@" in text:
                 parts, at = [], 0
                 for m in EMAIL.finditer(text):
-                    parts += [NUMBER.sub(put, text[at : m.start()]), put(m)]
+                    parts += [numbers(text[at : m.start()]), put("email", m[0]) or m[0]]
                     at = m.end()
-                text = "".join([*parts, NUMBER.sub(put, text[at:])])
+                text = "".join([*parts, numbers(text[at:])])
             else:
-                text = NUMBER.sub(put, text)
+                text = numbers(text)
         rows.append((text, *counts.values()))
     return pd.DataFrame(rows, columns=["text", *(f"n_{k}" for k in KINDS)])
 
