@@ -2,7 +2,8 @@
 
 A mask names the token positions that a seed looks at and those that it ignores, so a seed survives substitutions at the
 ignored ones. Seeds of all positions of the training texts are joined with those of the benchmark; around each hit the two
-token sequences are laid side by side, and the stretch with the best score (a match +1, a mismatch -2) is the overlap.
+token sequences are laid side by side, and of the stretches that are long and equal enough the one with the best score (a match +1,
+a mismatch -2) is the overlap.
 """
 
 from __future__ import annotations
@@ -53,6 +54,20 @@ def _best_stretch(doc: Column, item: Column) -> Column:
     return F.aggregate(F.zip_with(doc, item, lambda a, b: a == b), start, step)
 
 
+def _best_valid(least: Column, share: float) -> Column:
+    """Of the stretches from an equal token to an equal token with `least` tokens and `share` of them equal, the one with the highest score, as `_best_stretch`
+    gives it; null if there is none. `m` holds the places of the equal tokens. Such a stretch only gains by whole runs, so it starts and ends with one."""
+    at = lambda k: F.get("m", k)
+    places = F.sequence(F.lit(0), F.size("m") - 1)
+    starts = F.filter(places, lambda k: F.coalesce(at(k - 1) < at(k) - 1, F.lit(True)))
+    ends = F.filter(places, lambda k: F.coalesce(at(k + 1) > at(k) + 1, F.lit(True)))
+    length = lambda a, b: at(b) - at(a) + 1
+    good = lambda a, b: (b >= a) & (length(a, b) >= least) & (b - a + 1 >= share * length(a, b))
+    made = lambda a, b: F.struct(((1 + MISMATCH) * (b - a + 1) - MISMATCH * length(a, b)).alias("score"), (-at(a)).alias("before"), (at(b) + 1).alias("until"))
+    best = F.array_max(F.transform(starts, lambda a: F.array_max(F.transform(F.filter(ends, lambda b: good(a, b)), lambda b: made(a, b)))))
+    return F.when(best.isNotNull(), F.struct(best["score"].alias("score"), (-best["before"]).alias("from"), best["until"].alias("until")))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = 12, min_share: float = 0.8) -> DataFrame:
     """`(doc_id, item_id, n_items, n_overlap, n_matched, doc_from, item_from)`: for each document and benchmark text that share a verified overlap the best one.
 
@@ -62,7 +77,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     a null id is one of them. Other columns are not read.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("h")).groupBy("h").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
-    seeds = _seeds(items, ["item_id", "n_items"]).select("seed", "item_id", "n_items", F.col("at").alias("item_at"), F.col("h").alias("item_h"))
+    items = items.withColumn("item_mark", F.xxhash64("h"))
+    seeds = _seeds(items, ["item_mark", "item_id", "n_items"]).select("seed", "item_mark", "item_id", "n_items", F.col("at").alias("item_at"), F.col("h").alias("item_h"))
     size = seeds.agg(F.sum(SEED_BYTES + 8 * F.size("item_h"))).first()[0] or 0
     lean = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("h"))
     if size <= BROADCAST_BYTES:
@@ -70,26 +86,34 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     else:
         # both sides are shuffled by seed, so nothing but positions is carried; tokens are joined to what has met
         lean = lean.withColumn("mark", F.xxhash64("h"))
-        met = _seeds(lean, ["id", "mark"]).select("id", "mark", "at", "seed").join(seeds.select("seed", "item_id", "n_items", "item_at"), "seed")
-        met = met.groupBy("id", "mark", "item_id", "n_items", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.min("at").alias("at"))
+        met = _seeds(lean, ["id", "mark"]).select("id", "mark", "at", "seed").join(seeds.select("seed", "item_mark", "item_id", "n_items", "item_at"), "seed")
+        met = met.groupBy("id", "mark", "item_mark", "item_id", "n_items", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.min("at").alias("at"))
         met = met.withColumn("item_at", F.col("at") - F.col("shift")).withColumnsRenamed({"id": "met_id", "mark": "met_mark"})
         once = lean.dropDuplicates(["id", "mark"])
-        hits = met.join(once, F.col("id").eqNullSafe(F.col("met_id")) & (F.col("mark") == F.col("met_mark"))).join(items.select("item_id", F.col("h").alias("item_h")), "item_id")
+        hits = met.join(once, F.col("id").eqNullSafe(F.col("met_id")) & (F.col("mark") == F.col("met_mark"))).join(items.select("item_mark", F.col("h").alias("item_h")), "item_mark")
     # the item laid over the document so that the hit's tokens meet, clipped to what both have
     shift = F.col("at") - F.col("item_at")
     item_from = F.greatest(F.lit(0), -shift)
     width = F.least(F.size("item_h") - item_from, F.size("h") - (item_from + shift))
-    laid = hits.select("id", "item_id", "n_items", shift.alias("shift"), item_from.alias("item_from"), F.size("item_h").alias("item_size"), F.slice("h", item_from + shift + 1, width).alias("a"), F.slice("item_h", item_from + 1, width).alias("b"))
+    laid = hits.select("id", "item_mark", "item_id", "n_items", shift.alias("shift"), item_from.alias("item_from"), F.size("item_h").alias("item_size"), F.slice("h", item_from + shift + 1, width).alias("a"), F.slice("item_h", item_from + 1, width).alias("b"))
     # exploding an array of one keeps the conditions below from working the stretch out once more each
-    best = laid.select("id", "item_id", "n_items", "shift", "item_from", "item_size", F.explode(F.array(_best_stretch(F.col("a"), F.col("b")))).alias("s"))
+    alone = lambda c: F.explode(F.array(c))
+    kept = ["id", "item_mark", "item_id", "n_items", "shift", "item_from", "item_size"]
+    least = F.least(F.lit(min_tokens), F.col("item_size"))
+    best = laid.select(*kept, "a", "b", alone(_best_stretch(F.col("a"), F.col("b"))).alias("s"))
     length = F.col("s.until") - F.col("s.from")
     matched = ((F.col("s.score") + MISMATCH * length) / (1 + MISMATCH)).cast("int")
+    valid = (length >= least) & (matched >= min_share * length)
+    # a best stretch that does not count may hide one that does
+    equal = F.filter(F.transform(F.zip_with("a", "b", lambda x, y: x == y), lambda same, i: F.when(same, i)), lambda i: i.isNotNull())
+    best = best.select(*kept, "s", alone(F.struct(valid.alias("valid"), F.when(~valid, equal).alias("m"))).alias("v")).select(*kept, "s", "v.*").where(F.col("valid") | (F.size("m") >= min_share * least))
+    best = best.select(*kept, alone(F.when(F.col("valid"), F.struct("s.score", "s.from", "s.until")).otherwise(_best_valid(least, min_share))).alias("s")).where("s is not null")
     found = best.select(
-        "id", "item_id", "n_items", length.alias("n_overlap"), matched.alias("n_matched"),
-        (F.col("item_from") + F.col("shift") + F.col("s.from")).alias("doc_from"), (F.col("item_from") + F.col("s.from")).alias("item_from"), "item_size",
-    ).where((F.col("n_overlap") >= F.least(F.lit(min_tokens), F.col("item_size"))) & (F.col("n_matched") >= min_share * F.col("n_overlap")))
+        "id", "item_mark", "item_id", "n_items", length.alias("n_overlap"), matched.alias("n_matched"),
+        (F.col("item_from") + F.col("shift") + F.col("s.from")).alias("doc_from"), (F.col("item_from") + F.col("s.from")).alias("item_from"),
+    )
     top = F.max(F.struct("n_matched", "n_overlap", (-F.col("doc_from")).alias("d"), (-F.col("item_from")).alias("i"))).alias("top")
-    return found.groupBy("id", "item_id", "n_items").agg(top).select(
+    return found.groupBy("id", "item_mark", "item_id", "n_items").agg(top).select(
         F.col("id").alias(id_col), "item_id", "n_items", "top.n_overlap", "top.n_matched", (-F.col("top.d")).alias("doc_from"), (-F.col("top.i")).alias("item_from")
     )
 
