@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing of documents into sequences of a fixed number of tokens.
 
-Documents are dealt to shards of bounded size by a hash, and every shard is packed by itself, longest document first. Open
+Documents are dealt to shards of bounded size by their running number, and every shard is packed by itself, longest document first. Open
 bins are ordered by what room they have left; each carries a bitmap of its sources and one of its duplicate clusters. A
 document goes to the tightest bin that has room and neither its source nor its cluster: the search starts at the first bin
 with room enough and goes from successor to successor until a bin is compatible; without one a bin is opened. A longer document
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.shared import words
+from threadlens.llm.shared import materialise, words
 
 RESULT = "bin_id long, slot int, id {id}, chunk int, token_from long, n_tokens long, bin_tokens long, bin_documents int"
 
@@ -85,12 +85,15 @@ def pack(df: DataFrame, id_col: str, length_col: str, source_col: str, cluster_c
     n_tokens, and the bin's bin_tokens and bin_documents.
 
     In a bin no two rests share a source or a cluster. A null source or cluster conflicts with nothing; a null length is 0, and a document of
-    no tokens gets a place of no tokens. Rows that repeat are packed each. Ties are broken by id, nulls last. Shards get about `shard_rows`
-    rows each, so their number, not their size, grows with the table.
+    no tokens gets a place of no tokens. Rows that repeat are packed each, in different bins if they have a cluster. Ties are broken by id, nulls last.
+    Rows are dealt by their running number to shards of about `shard_rows`, so their number, not their size, grows with the table, whatever repeats in it;
+    which rows meet depends on how the table is laid out in files. An empty table gives an empty result; other columns are not read.
     """
     lean = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("length"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster"))
-    shards = max(1, -(-df.count() // shard_rows))
-    dealt = lean.withColumn("shard", F.pmod(F.xxhash64("id", "length", "cluster"), F.lit(shards)))
+    # written, so that running numbers stay what they are if a task is run again: rows that repeat are dealt like any others
+    lean = materialise(lean)
+    shards = max(1, -(-lean.count() // shard_rows))
+    dealt = lean.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     schema = RESULT.format(id=dict(lean.dtypes)["id"])
     return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), schema).withColumnRenamed("id", id_col)
 

@@ -1,7 +1,8 @@
 """Secret scans: base patterns, and weak candidates linked with the parts that complete them. Column expressions and joins only.
 
 Positions are code points. All matches of a pattern are taken from left to right without overlap: the pieces between the
-matches and the matches themselves alternate, so running sums of their lengths give every start.
+matches and the matches themselves alternate, so running sums of their lengths give every start. Each text is scanned once: what the
+patterns found is written beside the row, and all that follows reads that.
 """
 
 from __future__ import annotations
@@ -10,44 +11,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadlens.llm.shared import fresh_name, materialise
+from threadlens.llm.shared import fresh_name, materialise, written
 
 #: Fixed patterns. name -> (pattern, group whose length counts, least length to report as such, role, least length to be a weak candidate).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-IDENTIFIER = r"""((?i:user(?:name)?|login|client_?id|account))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})"""
-ENDPOINT = r"""[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20"'<>]+"""
+IDENTIFIER = r"""((?i:user(?:name)?|login|client_?id|account))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})"""
+ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x00-\x20"'<>]+"""
 BASE = {"assign": (ASSIGN, 2, 12), "access": (ACCESS, 0, 18), "hex": (HEX, 0, 16)}
 #: An assignment whose value is shorter than a base one's, but has this length at least, is a weak secret.
 WEAK_SECRET = 6
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_secret": "secret", "weak_id": "id", "endpoint": "endpoint"}
+PATTERNS = [(ASSIGN, 2), (ACCESS, 0), (HEX, 0), (IDENTIFIER, 2), (ENDPOINT, 0)]
 #: Parts whose starts are at most so many code points apart are in one scope.
 SCOPE = 200
 
 
-def _candidate(text: Column) -> Column:
-    hit = F.lit(False)
-    for pattern in (HEX, ACCESS, ASSIGN, IDENTIFIER):
-        hit = hit | F.rlike(text, F.lit(pattern))
-    return F.coalesce(hit | F.contains(text, F.lit("://")), F.lit(False))
-
-
 def _matches(text: Column, pattern: str, group: int, kind: int) -> Column:
     """The matches as structs of kind, length of the piece before, length of the match and of the group; empty without one."""
     size = lambda parts: F.transform(parts, lambda x: F.length(x))
     pieces, found = size(F.split(text, pattern, -1)), size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     value = size(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
     zipped = F.transform(F.arrays_zip(pieces, found, value), lambda x: F.struct(F.lit(kind).alias("p"), x["0"].alias("gap"), x["1"].alias("len"), x["2"].alias("own")))
-    return F.when(F.rlike(text, F.lit(pattern)), F.filter(zipped, lambda x: x["len"].isNotNull())).otherwise(F.filter(zipped, lambda x: F.lit(False)))
+    some = F.rlike(text, F.lit(pattern))
+    if kind == PATTERNS.index((ENDPOINT, 0)):
+        some = F.contains(text, F.lit("://")) & some
+    return F.when(some, F.filter(zipped, lambda x: x["len"].isNotNull())).otherwise(F.filter(zipped, lambda x: F.lit(False)))
+
 
+def _found(text: Column) -> Column:
+    """All matches of all patterns in a text; null is as empty."""
+    body = F.coalesce(text, F.lit(""))
+    return F.flatten(F.array(*(_matches(body, p, g, i) for i, (p, g) in enumerate(PATTERNS))))
 
-def _parts(dirty: DataFrame, rid: str, text: Column) -> DataFrame:
+
+def _parts(scanned: DataFrame, rid: str, found: str) -> DataFrame:
     """(rid, kind, start, end) of every base span and every part that may be linked."""
-    patterns = [(ASSIGN, 2), (ACCESS, 0), (HEX, 0), (IDENTIFIER, 2), (ENDPOINT, 0)]
-    found = F.flatten(F.array(*(_matches(text, p, g, i) for i, (p, g) in enumerate(patterns))))
-    rows = dirty.select(F.col(rid).alias("rid"), F.posexplode(found).alias("at", "m")).select("rid", "at", "m.*")
+    rows = scanned.select(F.col(rid).alias("rid"), F.posexplode(found).alias("at", "m")).select("rid", "at", "m.*")
     before = W.partitionBy("rid", "p").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before))
     strong = (F.col("p") == 0) & (F.col("own") >= BASE["assign"][2])
@@ -73,14 +75,8 @@ def _linked(parts: DataFrame) -> DataFrame:
     return placed.where("kind >= 3").join(scopes, ["rid", "bin"]).where(complete).select("rid", "kind", "start", "end")
 
 
-def _split(df: DataFrame, text: Column) -> tuple[DataFrame, DataFrame, str]:
-    """Rows without any candidate, and the others, written with a number of their own."""
-    rid = fresh_name(df, "scan_row")
-    return df.where(~_candidate(text)), materialise(df.where(_candidate(text)).withColumn(rid, F.monotonically_increasing_id())), rid
-
-
-def _spans(dirty: DataFrame, rid: str, text: Column) -> DataFrame:
-    parts = materialise(_parts(dirty, rid, text))
+def _spans(scanned: DataFrame, rid: str, found: str) -> DataFrame:
+    parts = materialise(_parts(scanned, rid, found))
     return parts.where("kind < 3").union(_linked(parts))
 
 
@@ -89,15 +85,15 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A null text is empty and has no spans. Rows that repeat are scanned each on its own; null ids stay. Other columns are not read.
     """
-    lean = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    clean, dirty, rid = _split(lean, F.col("t"))
+    scanned = materialise(df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _found(F.col(text_col)).alias("found")))
     ordered = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
-    spans = _spans(dirty, rid, F.col("t")).groupBy("rid").agg(ordered.alias("spans"))
+    spans = _spans(scanned, "row", "found").groupBy("rid").agg(ordered.alias("spans"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    rows = dirty.join(spans, F.col(rid) == F.col("rid"), "left").select("id", F.coalesce("spans", none).alias("spans"))
+    dirty = scanned.where(F.size("found") > 0).join(spans, F.col("row") == F.col("rid"), "left").select("id", F.coalesce("spans", none).alias("spans"))
+    rows = scanned.where(F.size("found") == 0).select("id", none.alias("spans")).union(dirty)
     names = F.array(*(F.lit(k) for k in KINDS))
     named = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), F.get(names, x["kind"]).alias("kind"), x["end"].alias("end")))
-    return clean.select("id", none.alias("spans")).union(rows).select(F.col("id").alias(id_col), named.alias("spans"))
+    return rows.select(F.col("id").alias(id_col), named.alias("spans"))
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -110,9 +106,12 @@ def digest(spans: DataFrame) -> DataFrame:
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
-    """The rows of `df` with every span replaced by `mark`; spans that overlap are replaced as one. Columns are those of `df`."""
-    clean, dirty, rid = _split(df, F.col(f"`{text_col}`"))
-    spans = _spans(dirty, rid, F.col(f"`{text_col}`"))
+    """The rows of `df` with every span replaced by `mark`; spans that overlap are replaced as one. Columns are those of `df`; null texts stay null,
+    rows that repeat stay as many. Only texts in which a pattern was found are joined with their spans."""
+    rid, found = fresh_name(df, "scan_row"), fresh_name(df, "scan_found")
+    scanned = written(df.withColumns({rid: F.monotonically_increasing_id(), found: _found(F.col(f"`{text_col}`"))}), "scanned")
+    clean, dirty = scanned.where(F.size(found) == 0), scanned.where(F.size(found) > 0)
+    spans = _spans(scanned, rid, found)
     ahead = W.partitionBy("rid").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     runs = spans.withColumn("new", F.coalesce((F.col("start") > F.max("end").over(ahead)).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("new").over(W.partitionBy("rid").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))
@@ -125,4 +124,4 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "<secret>") -> Dat
     pieces = F.transform(gaps, lambda x: F.substring(text, (x["0"] + 1).cast("int"), (x["1"] - x["0"]).cast("int")))
     joined = dirty.alias("d").join(runs, F.col(f"d.`{rid}`") == F.col(of_row), "left")
     changed = F.when(F.col(spanned).isNull(), text).otherwise(F.array_join(pieces, mark))
-    return clean.union(joined.select(*(changed.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in df.columns)))
+    return clean.select(*(F.col(f"`{c}`") for c in df.columns)).union(joined.select(*(changed.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in df.columns)))

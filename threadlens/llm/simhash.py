@@ -1,7 +1,8 @@
 """SimHash near-duplicates: fingerprints, BK-tree search for links, and groups of linked documents.
 
-Fingerprints are sharded so that every link lies inside some shard: fingerprints at distance r or less agree on at
-least one of r + 1 bit blocks, so each fingerprint goes to the r + 1 shards named by (block, its bits there). In each
+Fingerprints are sharded so that every link lies inside some shard: of five bit blocks those at distance 2 or less agree on
+three, and of any three two are both among the first two or both among the last three. So each fingerprint goes to the four
+shards named by such a couple of blocks and its bits there, some 26 bits, which leaves a few hundred to a shard at ten billion. In each
 shard a BK-tree is built, children keyed by their integer Hamming distance to the parent, and each of the shard's
 fingerprints is searched in it by following only edges whose key is within the radius of its distance to the node.
 The trees of a task's shards grow together, level by level, as arrays. A tree is sent to nobody: its queries are in its
@@ -28,6 +29,8 @@ from threadlens.llm.shared import fresh_name, materialise
 BITS = 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
+#: Of any three of the five blocks two are one of these couples.
+COUPLES = ((0, 1), (2, 3), (2, 4), (3, 4))
 
 
 def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -128,20 +131,19 @@ def search_forest(fp: np.ndarray, parent: np.ndarray, edge: np.ndarray, root: np
 
 
 def _stars(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Within each shard: every fingerprint that has a link, with the smallest one it reaches there."""
+    """Within each shard: every fingerprint that has a link, with the smallest one it reaches there. Links are taken in as they are found."""
     order = np.lexsort((fp.view(np.int64), shard))
     shard, fp = shard[order], fp[order]
-    found = [*search_forest(fp, *grow_forest(shard, fp), radius)]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.concatenate(x) for x in zip(*found))
     label = np.arange(len(fp))
-    while True:
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        label = label[label]
-        if (label == before).all():
-            break
+    for a, b in search_forest(fp, *grow_forest(shard, fp), radius, 1 << 12):
+        while True:
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            apart = low < high
+            if not apart.any():
+                break
+            np.minimum.at(label, high[apart], low[apart])
+            while (label[label] != label).any():
+                label = label[label]
     own = np.flatnonzero(label != np.arange(len(fp)))
     signed = fp.view(np.int64)
     return signed[own], signed[label[own]]
@@ -179,9 +181,10 @@ def hamming_stars(fingerprints: DataFrame, radius: int = 2, shard_limit: int = 4
     `radius` or less do. radius is 2 or less."""
     if not 0 < radius <= 2:
         raise ValueError("radius is 1 or 2")
-    blocks = radius + 1
-    at = [BITS * k // blocks for k in range(blocks + 1)]
-    named = F.array(*(F.struct(F.lit(k).alias("kind"), F.shiftrightunsigned("fp", at[k]).bitwiseAND((1 << (at[k + 1] - at[k])) - 1).alias("value")) for k in range(blocks)))
+    at = [BITS * k // 5 for k in range(6)]
+    bits = lambda k: F.shiftrightunsigned("fp", at[k]).bitwiseAND((1 << (at[k + 1] - at[k])) - 1)
+    couple = lambda i, j: bits(i) + F.shiftleft(bits(j), 16)
+    named = F.array(*(F.struct(F.lit(n).alias("kind"), couple(i, j).alias("value")) for n, (i, j) in enumerate(COUPLES)))
     coarse = fingerprints.select("fp", F.explode(named).alias("s")).select("s.kind", "s.value", "fp")
     size = coarse.groupBy("kind", "value").agg(F.count("*").alias("members")).where("members > 1")
     dealt = coarse.join(size, ["kind", "value"])
@@ -280,9 +283,9 @@ def _near_pairs(radius: int, rows: int):
     return pairs
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, radius: int = 24, bands: int = 24, rows: int = 4, shard_limit: int = 4096, seed: int = 42) -> DataFrame:
-    """Each row's id and `component_id`, the smallest id reachable over links of texts whose sets of `width`-word shingles have a Jaccard
-    similarity of `least` or more. Nulls, blanks and repeated rows are as in `near_duplicate_groups`; equal sets need no link.
+def _similar_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, radius: int = 24, bands: int = 24, rows: int = 4, shard_limit: int = 4096, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Two tables: the rows as `(id, row_mark, key)`, key naming a text's set of `width`-word shingles, and `(key, root)` for the keys that have links,
+    root being the smallest key reachable over links of sets whose Jaccard similarity is `least` or more. Equal sets have one key and need no link.
 
     Sets of similarity 0.8 differ in some 10 of 64 bits, and as many bit blocks as that takes leave a few bits to each, whose shards grow
     with the table. So shards are named by `bands` hashes of `rows` min-hashes each: sets of similarity 0.8 share none with probability
@@ -302,7 +305,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = list(_shingle_sets(texts, width, seed))
             yield pd.DataFrame({"key": np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in found], np.uint64).view(np.int64), "grams": [x.view(np.int64) for x in found]})
 
-    docs = materialise(df.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*"))
+    docs = materialise(df.select(F.col(id_col).alias("id"), _row_mark(df).alias("row_mark"), sketch(F.col(text_col)).alias("s")).select("id", "row_mark", "s.*"))
     reps = docs.dropDuplicates(["key"]).select("key", "fp", "bands")
     dealt = reps.select("key", "fp", F.posexplode("bands").alias("kind", "value"))
     size = dealt.groupBy("kind", "value").agg(F.count("*").alias("members"), F.min("key").alias("hub"), F.min_by("fp", "key").alias("hub_fp")).where("members > 1")
@@ -335,6 +338,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = verified(more)
     if not more.isEmpty():
         found = connected_components(links.union(more))
+    return docs.select("id", "row_mark", "key"), found
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, **plan: int) -> DataFrame:
+    """Each row's id and `component_id`, the smallest id reachable over links of texts whose sets of 5-word shingles have a Jaccard
+    similarity of `least` or more. Nulls, blanks and repeated rows are as in `near_duplicate_groups`."""
+    docs, found = _similar_keys(df, id_col, text_col, least, **plan)
     lows = docs.groupBy("key").agg(F.min("id").alias("low"))
     rooted = lows.join(found, lows.key == found.node, "left").select("key", "low", F.coalesce("root", "key").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -342,17 +352,33 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.join(named, "key").select(F.col("id").alias(id_col), "component_id")
 
 
+def _row_mark(df: DataFrame) -> Column:
+    """A hash of all columns: rows with one mark are taken as repeats of each other where their ids and groups agree too."""
+    whole = [F.map_entries(F.col(f"`{c}`")) if kind.startswith("map") else F.col(f"`{c}`").cast("string") if kind in ("variant", "void") else F.col(f"`{c}`") for c, kind in df.dtypes]
+    return F.xxhash64(*whole, *(F.col(f"`{c}`").isNull() for c in df.columns))
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """The rows of `df` that stay: of each group of `similar_groups` the one with the smallest id (of repeated rows with that id, the
-    first in the order of a hash of the text; a null id stays only if no member has one). Columns are those of `df`."""
-    order = fresh_name(df, "text_hash")
-    groups = similar_groups(df, id_col, text_col, least).select(F.col(id_col).alias("g_id"), "component_id").distinct()
-    first = groups.where("g_id <=> component_id").select("g_id")
-    kept = df.join(first, F.col(id_col).eqNullSafe(F.col("g_id")), "left_semi")
-    if df.groupBy(id_col).count().where("count > 1").isEmpty():
-        return kept
-    # rows that share an id: one of them stays
-    once = kept.withColumn(order, F.struct(F.xxhash64(text_col), F.length(text_col)))
-    low = once.groupBy(id_col).agg(F.min(order).alias("low")).select(F.col(id_col).alias("r_id"), "low")
-    same = once.join(low, F.col(id_col).eqNullSafe(F.col("r_id")) & (F.col(order) == F.col("low")), "left_semi")
-    return same.dropDuplicates([id_col, order]).select(*df.columns)
+    """The rows of `df` that stay: one of each group of `similar_groups`, that with the smallest id, nulls last; of several such rows the first by a
+    hash of all columns, and of rows that are alike in all columns one. Ids are never taken for groups, so rows with a null or a repeated id
+    stay if their texts are like no other. Columns are those of `df`; an empty table stays empty.
+    """
+    docs, found = _similar_keys(df, id_col, text_col, least)
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "row_mark")
+    lows = docs.groupBy("key").agg(F.min(place).alias("at"))
+    rooted = lows.join(found, lows.key == found.node, "left").select("at", F.coalesce("root", "key").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("at").alias("at"))
+    keep_id, keep_mark, mark, many = (fresh_name(df, x) for x in ("kept_id", "kept_mark", "row_mark", "row_count"))
+    # how often a row that stays comes, whole: what comes once needs no look at the others
+    counts = docs.groupBy("id", "row_mark").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("c_id"), F.col("row_mark").alias("c_mark"), "n")
+    kept = first.select(F.col("at.id").alias(keep_id), F.col("at.row_mark").alias(keep_mark)).distinct()
+    kept = kept.join(counts, F.col(keep_id).eqNullSafe(F.col("c_id")) & (F.col(keep_mark) == F.col("c_mark")), "left").select(keep_id, keep_mark, F.coalesce("n", F.lit(1)).alias(many))
+    kept = materialise(kept)
+    marked = df.withColumn(mark, _row_mark(df))
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col(keep_id)) & (F.col(mark) == F.col(keep_mark))
+    once = marked.join(kept.where(F.col(many) == 1), on, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    repeated = kept.where(F.col(many) > 1)
+    if repeated.isEmpty():
+        return once
+    others = marked.join(repeated, on, "left_semi").dropDuplicates([mark, id_col])
+    return once.union(others.select(*(F.col(f"`{c}`") for c in df.columns)))

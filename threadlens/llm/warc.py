@@ -22,13 +22,17 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.shared import materialise, shared_folder
+from threadlens.llm.shared import materialise, remove_folder, shared_folder
 
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK = 1 << 18
 #: Salts that the rows of one digest are spread over.
 SALTS = 32
+#: Digests that occur more than once are sent to all executors up to this size; beyond it pages are shuffled to meet them.
+BROADCAST_BYTES, DIGEST_BYTES = 32 << 20, 96
+#: Most tasks that archives are dealt to; beyond it a task takes several.
+MOST_TASKS = 20_000
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -74,17 +78,19 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 
 def inflate(file: BinaryIO) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or several members, block by block."""
-    engine = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or several members, block by block. A file that ends inside a member raises an error, wherever it was cut."""
+    engine, inside = zlib.decompressobj(31), False
     while data := file.read(BLOCK):
         while data:
+            inside = True
             yield engine.decompress(data, BLOCK)
             while engine.unconsumed_tail:
                 yield engine.decompress(engine.unconsumed_tail, BLOCK)
             data = engine.unused_data if engine.eof else b""
             if engine.eof:
-                engine = zlib.decompressobj(31)
-    yield engine.flush()
+                engine, inside = zlib.decompressobj(31), False
+    if inside:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def split_records(blocks: Iterator[bytes]) -> Iterator[bytes]:
@@ -117,13 +123,18 @@ def split_records(blocks: Iterator[bytes]) -> Iterator[bytes]:
 
 def mark_revisits(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     """Adds `refers_to`: of pages with equal payloads of `min_payload` bytes or more the largest page_id is the response (null), the others refer to
-    it. Only digests are grouped, summed up before the shuffle; the rows of a frequent payload are spread over SALTS parts."""
+    it. Only digests are grouped, summed up before the shuffle. Digests that occur more than once are joined with the pages: up to BROADCAST_BYTES of
+    them are sent to the pages, beyond it both are shuffled, the rows of a frequent payload spread over SALTS parts. The result is the same."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
     several = keyed.where(F.col("size") >= min_payload).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    several = several.select(F.col("digest").alias("d"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    joined = keyed.withColumn("salt", salt).join(several, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")) & (F.col("size") >= min_payload), "left")
+    several = materialise(several.select(F.col("digest").alias("d"), "first"))
+    if several.count() * DIGEST_BYTES <= BROADCAST_BYTES:
+        joined = keyed.join(F.broadcast(several), (F.col("digest") == F.col("d")) & (F.col("size") >= min_payload), "left")
+    else:
+        several = several.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        joined = keyed.withColumn("salt", salt).join(several, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")) & (F.col("size") >= min_payload), "left")
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -185,8 +196,12 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 yield index
 
     schema = "path string, offset long, length long, record_id string, record_type string, target string, digest string, refers_to string"
-    # one archive is a task's least work
-    return materialise(archives.repartition(F.col("path")).mapInPandas(rewrite, schema))
+    # an archive is a task's least work; a number of tasks that is named is not made smaller because paths are
+    return materialise(archives.repartition(_tasks(archives.count())).mapInPandas(rewrite, schema))
+
+
+def _tasks(archives: int) -> int:
+    return max(1, min(archives, MOST_TASKS))
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
@@ -217,7 +232,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                             rows, held = [], 0
             yield pd.DataFrame(rows, columns=NAMES)
 
-    return index.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset").mapInPandas(read, SCHEMA)
+    members = index.select("path", "offset", "length")
+    tasks = _tasks(members.select("path").distinct().count())
+    # by ranges of paths and offsets, so that a task reads on from where it is, and a large file is shared by several
+    return members.repartitionByRange(2 * tasks, "path", "offset").sortWithinPartitions("path", "offset").mapInPandas(read, SCHEMA)
 
 
 NAMES = ["record_id", "record_type", "target", "refers_to", "payload_bytes", "payload_digest", "payload"]
@@ -232,6 +250,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, min_payload: int = 0
     """
     folder = folder or shared_folder(pages.sparkSession, "warc")
     archives = write_monolithic(mark_revisits(pages, min_payload), f"{folder}/monolithic")
-    records = read_records(normalise(archives, f"{folder}/members"), folder)
+    index = normalise(archives, f"{folder}/members")
+    remove_folder(pages.sparkSession, f"{folder}/monolithic")  # the index is written: nothing asks for them again
+    records = read_records(index, folder)
     number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:x-page:(-?\d*)>$", 1), F.lit("")).cast("long")
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "target", "payload")
