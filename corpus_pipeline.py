@@ -1,4 +1,8 @@
-"""A training-data pipeline over `documents`: quality, near-duplicates, benchmark passages, secrets, packing."""
+"""A training-data pipeline over `documents`: quality, near-duplicates, benchmark passages, secrets, packing.
+
+Stages decide by texts (and languages and sources), never by ids: null, repeated and missing texts, equal ids, repeated rows, empty tables and further
+columns have the results that the operators' docstrings state. A null or empty text fails the base rule of the first stage.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import decontaminate, packing, quality, secrets, simhash
-from threadlens.llm.shared import shared_folder
+from threadlens.llm.shared import remove_folder, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +30,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets and the weak candidates linked with others are masked; all documents stay."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    masked = secrets.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +55,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet in the shared folder and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_folder(spark, "pipeline")
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # a stage's rows are written: what it read is needed no more
+            remove_folder(spark, before)
+        before = path
     return docs
