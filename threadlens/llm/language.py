@@ -2,10 +2,11 @@
 
 Pieces come from a fixed public vocabulary; each language has a probability for each piece. A word's probability in a language is
 the sum, over all ways of writing it as a sequence of pieces, of the product of their probabilities: a forward algorithm over
-the word's positions. A text's is the product over its words. Probabilities come from one expectation step over all training
-texts: with all pieces alike at first, each word adds what a forward and a backward pass expect of each piece in it.
+the word's positions. A text's is the product over its words. Probabilities are estimated by expectation and maximisation over the
+distinct words of all training texts: each word adds, as often as it comes, what a forward and a backward pass expect of each piece in it.
 
-Words of a batch are worked on together, as arrays, one for each word length; words met before are remembered up to a bound.
+Words are found as arrays, one for each word length; pieces by walking their trie, so a place is given up where no piece goes on. Forward
+and backward values are scaled as they go, so a word may be of any length.
 """
 
 from __future__ import annotations
@@ -17,34 +18,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.llm.shared import materialise
+
 WORD = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
-#: Longest piece, and the length at which longer runs of letters are cut, in characters with the mark of a word's start.
-MAX_PIECE, MAX_WORD = 8, 24
+#: Every so many positions forward and backward values are scaled; a character outside of all pieces costs about 1e-15 at most.
+SCALED = 8
 REMEMBERED = 1 << 18
 SMOOTHING = 0.05
 
 
 def vocabulary(path: str) -> list[str]:
-    """The lower-case letter pieces of a SentencePiece model of at most MAX_PIECE characters, in its order."""
+    """The letter pieces of a SentencePiece model in lower case, each once, in its order."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    return [p for p in pieces if len(p) <= MAX_PIECE and (b := p.removeprefix(START)) and b.isalpha() and b == b.lower() and WORD.fullmatch(b)]
+    pieces = dict.fromkeys(model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
+    return [p for p in pieces if LETTERS.fullmatch(p.removeprefix(START))]
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased, each with the mark of a word's start; long ones cut."""
+    """Runs of letters, lower-cased, each with the mark of a word's start."""
     if not text:
         return []
-    found = [START + w for w in WORD.findall(text.lower())]
-    if any(len(w) > MAX_WORD for w in found):
-        found = [w[i : i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
-    return found
+    # the first pattern is quick and takes some numerals for letters; few words need the second
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return [START + w for w in found]
+    return [START + x for w in found for x in ([w] if w.isalpha() else LETTERS.findall(w))]
 
 
 class Lattice:
@@ -52,16 +58,27 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.unknown = len(pieces)
-        self.hashes = np.array([self._hash(np.array([[ord(c) for c in p]], np.uint64))[0] for p in pieces], np.uint64)
+        self.longest = max(map(len, pieces), default=1)
+        # the trie: a node for each beginning of a piece; its edges by (node, character), which no two share
+        node: dict[str, int] = {"": 0}
+        edges: dict[int, int] = {}
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in node:
+                    node[p[:k]] = len(node)
+                    edges[node[p[: k - 1]] << 21 | ord(p[k - 1])] = node[p[:k]]
+        self.piece = np.full(len(node), -1, np.int64)
+        self.piece[[node[p] for p in pieces]] = np.arange(len(pieces))
+        keys, self.child = np.fromiter(edges.keys(), np.uint64, len(edges)), np.fromiter(edges.values(), np.int64, len(edges))
         rng = np.random.default_rng(7)
-        bits = max(14, int(len(pieces)).bit_length() + 3)
+        bits = max(14, len(keys).bit_length() + 4)
         self.shift = np.uint64(64 - bits)
         while True:  # two tables: what shares a place in the first is put in the second, whose multiplier leaves none sharing
             self.mix = [np.uint64(x | 1) for x in rng.integers(1, 1 << 63, 2).tolist()]
             self.tables = []
-            rest = np.arange(len(pieces))
+            rest = np.arange(len(keys))
             for m in self.mix:
-                at = ((self.hashes[rest] * m) >> self.shift).astype(np.int64)
+                at = ((keys[rest] * m) >> self.shift).astype(np.int64)
                 table = np.full(1 << bits, -1, np.int32)
                 _, first = np.unique(at, return_index=True)
                 table[at[first]] = rest[first]
@@ -69,64 +86,92 @@ class Lattice:
                 rest = np.delete(rest, first)
             if not len(rest):
                 break
-        self.keys = np.append(self.hashes, np.uint64(0))
-
-    @staticmethod
-    def _hash(codes: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(codes), np.uint64)
-        for k in range(codes.shape[1]):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[:, k] + np.uint64(1)
-        return h
+        self.keys, self.child = np.append(keys, np.uint64(0)), np.append(self.child, -1)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        one, two = (t[((h * m) >> self.shift).astype(np.int64)] for t, m in zip(self.tables, self.mix))
-        return np.where(self.keys[one] == h, one, np.where(self.keys[two] == h, two, -1))
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes after a character; -1 where there is none."""
+        key = (node.astype(np.uint64) << np.uint64(21)) | char
+        one, two = (t[((key * m) >> self.shift).astype(np.int64)] for t, m in zip(self.tables, self.mix))
+        return self.child[np.where(self.keys[one] == key, one, np.where(self.keys[two] == key, two, -1))]
 
-    def edges(self, words: list[str]) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int, np.ndarray, np.ndarray]]]]:
-        """For each word length: the places of its words in the list, the length, and (from, until, rows, piece) for all substrings that are pieces."""
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each word length the places of its words in the list, and their characters."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(size):
+        for n in np.unique(size[size > 0]):
             rows = np.flatnonzero(size == n)
-            if not n:
-                continue
-            codes = np.frombuffer("".join(words[i] for i in rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), n).astype(np.uint64)
-            found = []
-            for i in range(n):
-                h = np.zeros(len(rows), np.uint64)
-                for j in range(i, min(n, i + MAX_PIECE)):
-                    h = h * np.uint64(0x9E3779B97F4A7C15) + codes[:, j] + np.uint64(1)
-                    piece = self.find(h)
-                    if j == i:
-                        found.append((i, j + 1, np.arange(len(rows)), np.where(piece < 0, self.unknown, piece)))
-                    elif (hit := np.flatnonzero(piece >= 0)).size:
-                        found.append((i, j + 1, hit, piece[hit]))
-            yield rows, int(n), found
+            for part in np.array_split(rows, max(1, len(rows) * int(n) >> 20)):
+                codes = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32)
+                yield part, codes.reshape(len(part), n).astype(np.uint64)
+
+    def edges(self, codes: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray]]:
+        """(until, rows, piece) for the pieces that begin at position i."""
+        rows, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for j in range(i, min(codes.shape[1], i + self.longest)):
+            node = self.step(node, codes[rows, j])
+            piece = np.where(node >= 0, self.piece[node], -1)
+            if j == i:
+                yield j + 1, slice(None), np.where(piece < 0, self.unknown, piece)
+            elif (hit := piece >= 0).any():
+                yield j + 1, rows[hit], piece[hit]
+            if not (alive := node >= 0).all():
+                rows, node = rows[alive], node[alive]
+                if not len(rows):
+                    return
 
     def log_likelihood(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """(words, languages): the logarithm of the sum over all segmentations. p: (pieces + 1, languages)."""
         out = np.zeros((len(words), p.shape[1]))
-        for rows, n, found in self.edges(words):
+        for rows, codes in self.groups(words):
+            n = codes.shape[1]
             alpha = np.zeros((n + 1, len(rows), p.shape[1]))
             alpha[0] = 1
-            for i, j, hit, piece in found:
-                alpha[j][hit] += alpha[i][hit] * p[piece]
-            out[rows] = np.log(np.maximum(alpha[n], 1e-300))
+            scale = np.zeros((len(rows), p.shape[1]))
+            for i in range(n):
+                if i and i % SCALED == 0:
+                    most = alpha[i].copy()
+                    scale += np.log(most)
+                    alpha[i : i + self.longest] /= most
+                for j, hit, piece in self.edges(codes, i):
+                    alpha[j][hit] += alpha[i][hit] * p[piece]
+            out[rows] = np.log(alpha[n]) + scale
         return out
 
-    def expected(self, words: list[str], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected number of each piece over the words, each counted `weight` times. p: one probability for each piece."""
-        out = np.zeros(self.unknown + 1)
-        for rows, n, found in self.edges(words):
+    def expected(self, words: list[str], weight: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, float]:
+        """Expected number of each piece over the words, each counted `weight` times, and their log-likelihood. p: one probability for each piece."""
+        out, total = np.zeros(self.unknown + 1), 0.0
+        for rows, codes in self.groups(words):
+            n = codes.shape[1]
+            found = [list(self.edges(codes, i)) for i in range(n)]
+            # alpha[i] and beta[i] are kept with the logarithms that they are to be raised by
             alpha, beta = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
+            up, down = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
             alpha[0], beta[n] = 1, 1
-            for i, j, hit, piece in found:
-                alpha[j][hit] += alpha[i][hit] * p[piece]
-            for i, j, hit, piece in reversed(found):
-                beta[i][hit] += beta[j][hit] * p[piece]
-            scale = weight[rows] / np.maximum(alpha[n], 1e-300)
-            for i, j, hit, piece in found:
-                out += np.bincount(piece, alpha[i][hit] * p[piece] * beta[j][hit] * scale[hit], len(out))
-        return out
+            raised = np.zeros(len(rows))
+            for i in range(n):
+                if i and i % SCALED == 0:
+                    most = alpha[i].copy()
+                    raised = raised + np.log(most)
+                    alpha[i : i + self.longest] /= most
+                up[i] = raised
+                for j, hit, piece in found[i]:
+                    alpha[j][hit] += alpha[i][hit] * p[piece]
+            up[n] = raised
+            for i in reversed(range(n)):
+                # what begins here ends at most `longest` further on; all of it is brought to the scale of the next position
+                down[i] = down[i + 1]
+                for j, hit, piece in found[i]:
+                    beta[i][hit] += beta[j][hit] * np.exp(down[j] - down[i])[hit] * p[piece]
+                if i % SCALED == 0:
+                    most = beta[i].copy()
+                    down[i] += np.log(most)
+                    beta[i] = 1
+            whole = np.log(alpha[n]) + up[n]
+            total += float(weight[rows] @ whole)
+            for i in range(n):
+                for j, hit, piece in found[i]:
+                    share = weight[rows] * alpha[i] * beta[j] * np.exp(up[i] + down[j] - whole)
+                    out += np.bincount(piece, share[hit] * p[piece], len(out))
+        return out, total
 
 
 @dataclass
@@ -136,40 +181,72 @@ class Model:
     p: np.ndarray
 
 
-def learn(df: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts over all rows of `df` with a language: only the counts, one for each language and piece, reach the driver. Rows with a null
-    language or text are left out; without any the model knows no language."""
-    pieces = vocabulary(vocabulary_path)
+@dataclass(frozen=True)
+class Training:
+    """steps: most steps of expectation and maximisation; they end before if the log-likelihood grows by less than the share `gain`."""
+
+    steps: int = 6
+    gain: float = 0.002
+
+
+def count_words(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, word, n) over all rows with a language and a text; counts are summed up in each task before they are shuffled."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(pieces)
-        even = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
         held: dict[str, Counter] = {}
-        total: dict[str, np.ndarray] = {}
 
-        def settle():
+        def settle() -> Iterator[pd.DataFrame]:
             for lang, c in held.items():
-                total[lang] = total.get(lang, 0) + lattice.expected(list(c), np.fromiter(c.values(), float, len(c)), even)
+                yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())}, columns=["lang", "word", "n"])
             held.clear()
 
         for part in parts:
             for lang, text in zip(part["lang"], part["text"]):
                 held.setdefault(lang, Counter()).update(words_of(text))
                 if sum(map(len, held.values())) > REMEMBERED:
-                    settle()
-        settle()
-        for lang, x in total.items():
-            some = np.flatnonzero(x)
-            yield pd.DataFrame({"lang": lang, "piece": some, "n": x[some]})
+                    yield from settle()
+        yield from settle()
 
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    # sums of doubles differ with the order of addition; whole millionths do not
-    counts = rows.mapInPandas(count, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum(F.round(F.col("n") * 1e6).cast("long")).alias("n")).toPandas()
-    languages = sorted(counts["lang"].unique())
-    table = np.zeros((len(pieces) + 1, len(languages)))
-    table[counts["piece"], [languages.index(x) for x in counts["lang"]]] = counts["n"] / 1e6
-    table += SMOOTHING
-    return Model(pieces, languages, table / table.sum(axis=0)) if languages else Model(pieces, [], table)
+    counted = rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # a number of tasks that is named: few bytes are much work here
+    return counted.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def learn(df: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", plan: Training = Training()) -> Model:
+    """Learns from all rows of `df` with a language: of each step only the expected counts, one for each language and piece, reach the driver. Rows with a null
+    language or text are left out; without any the model knows no language."""
+    pieces = vocabulary(vocabulary_path)
+    words = materialise(count_words(df, text_col, lang_col))
+    languages = sorted(r[0] for r in words.select("lang").distinct().collect())
+    if not languages:
+        return Model(pieces, [], np.zeros((len(pieces) + 1, 0)))
+    p = np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1))
+    before = None
+    for _ in range(plan.steps):
+        table = {lang: p[:, k] for k, lang in enumerate(languages)}
+
+        def expect(parts: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
+            lattice = Lattice(pieces)
+            total: dict[str, np.ndarray] = {}
+            for part in parts:
+                for lang, own in part.groupby("lang"):
+                    counts, likelihood = lattice.expected(own["word"].tolist(), own["n"].to_numpy(float), table[lang])
+                    total[lang] = total.get(lang, 0) + np.append(counts, likelihood)
+            for lang, x in total.items():
+                some = np.flatnonzero(x)
+                yield pd.DataFrame({"lang": lang, "piece": some, "n": x[some]})
+
+        # sums of doubles differ with the order of addition; whole millionths do not
+        counts = words.mapInPandas(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum(F.round(F.col("n") * 1e6).cast("decimal(38,0)")).alias("n")).toPandas()
+        found = np.zeros((len(pieces) + 2, len(languages)))
+        found[counts["piece"], [languages.index(x) for x in counts["lang"]]] = counts["n"].astype(float) / 1e6
+        likelihood, found = found[-1].sum(), found[:-1] + SMOOTHING
+        p = found / found.sum(axis=0)
+        if before is not None and likelihood - before < plan.gain * abs(before):
+            break
+        before = likelihood
+    return Model(pieces, languages, p)
 
 
 def identify(text: Column, model: Model) -> Column:

@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel permutation of each format.
 
 A number or date that passes its format's validation is mapped to another valid one of the same format; what separates its
-digits stays. The map is a permutation that depends on the key and the format alone, so equal values get equal pseudonyms in
+digits stays, and so does how many digits each part has and, for a date, the order in which it is read. The map is a permutation of the
+values of one format and shape that depends on the key, format and shape alone, so equal values get equal pseudonyms in
 all documents and on all executors, different values different ones, and nothing has to be looked up or joined.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -18,15 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KINDS = ("email", "ip", "card", "ssn", "date", "phone")
+KINDS = ("email", "ip", "ipv6", "iban", "card", "ssn", "date", "phone")
 #: Fixed formats. Cards have 13 to 19 digits, dates the years 1900 to 2099.
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:.])")
+IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
 _FORMS = {
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}(?![0-9])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "phone": r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|00[1-9][0-9]{8,13}(?![0-9])|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 #: Digits after a digit and a point are decimals. After a digit and a comma they may be a row's next value; a group of thousands has no form of these.
 _OPEN = r"(?=[0-9+(])(?<![0-9A-Za-z_+])(?:(?=[+(])|(?<![0-9]\.))"
@@ -85,30 +89,110 @@ def _ssn(key: bytes, text: str) -> str | None:
 
 
 def _ip(key: bytes, text: str) -> str | None:
-    parts = [int(x) for x in text.split(".")]
-    if max(parts) > 255:
+    parts = text.split(".")
+    if max(map(int, parts)) > 255:
+        return None
+    plain = lambda xs: all(x == str(int(x)) for x in xs)
+    if plain(parts):
+        value = feistel(key, "ip", int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32)
+        return ".".join(str(x) for x in value.to_bytes(4, "big"))
+    # with leading zeros: among those of the same widths that have some
+    sizes = [min(256, 10 ** len(x)) for x in parts]
+    size = sizes[0] * sizes[1] * sizes[2] * sizes[3]
+    value = 0
+    for x, n in zip(parts, sizes):
+        value = value * n + int(x)
+    while True:
+        value = rest = feistel(key, "ip" + ".".join(str(len(x)) for x in parts), value, size)
+        out = []
+        for x, n in zip(reversed(parts), reversed(sizes)):
+            rest, octet = divmod(rest, n)
+            out.append(str(octet).zfill(len(x)))
+        if not plain(out):
+            return ".".join(reversed(out))
+
+
+def _alphabetic(key: bytes, tweak: str, text: str, alphabet: Callable[[str], str], valid: Callable[[str], bool]) -> str:
+    """Permutes the characters that have an alphabet, each within its own, until the result is valid as the argument is."""
+    shape = "".join(x[0] if (x := alphabet(c)) else c for c in text)
+    while True:
+        value, size = 0, 1
+        for c in text:
+            if own := alphabet(c):
+                value, size = value * len(own) + own.index(c), size * len(own)
+        if size < 2:
+            return text
+        value, out = feistel(key, f"{tweak}:{shape}", value, size), []
+        for c in reversed(text):
+            if own := alphabet(c):
+                value, x = divmod(value, len(own))
+                out.append(own[x])
+            else:
+                out.append(c)
+        text = "".join(reversed(out))
+        if valid(text):
+            return text
+
+
+def _ipv6(key: bytes, text: str) -> str | None:
+    """Groups keep their number of digits; letters are of one case as before, or of both."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    cases = lambda t: (any(c in "abcdef" for c in t), any(c in "ABCDEF" for c in t))
+    was = cases(text)
+    symbols = "0123456789" + ("ABCDEF" if was[1] else "") + ("abcdef" if was[0] or not was[1] else "")
+    # without letters: one permutation with those that have small ones
+    valid = (lambda t: True) if not was[1] else (lambda t: cases(t) == was)
+    return _alphabetic(key, f"ipv6{symbols}", text, lambda c: symbols if c != ":" else "", valid)
+
+
+def iban_check(country: str, body: str) -> str:
+    """The two check digits of an account number."""
+    return str(98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97).zfill(2)
+
+
+def _iban(key: bytes, text: str) -> str | None:
+    whole = text.replace(" ", "")
+    country, check, body = whole[:2], whole[2:4], whole[4:]
+    if not 11 <= len(body) <= 30 or iban_check(country, body) != check:
+        return None
+    kinds = lambda c: "0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    body = _alphabetic(key, "iban" + country, body, kinds, lambda t: True)
+    taken = iter(country + iban_check(country, body) + body)
+    return "".join(c if c == " " else next(taken) for c in text)
+
+
+def _as_date(year: int, month: int, day: int) -> dt.date | None:
+    try:
+        return dt.date(year, month, day)
+    except ValueError:
         return None
-    value = feistel(key, "ip", int.from_bytes(bytes(parts), "big"), 1 << 32)
-    return ".".join(str(x) for x in value.to_bytes(4, "big"))
 
 
 def _date(key: bytes, text: str) -> str | None:
+    """The year first; or last and the day first; or, where only that is a date, the month first. A pseudonym is read as the date was."""
     parts = re.split(r"[-/.]", text)
     marks = re.findall(r"[-/.]", text)
-    year_first = len(parts[0]) == 4
-    year, second, third = int(parts[0 if year_first else 2]), int(parts[1]), int(parts[2 if year_first else 0])
-    # with the year last: day before month, or month before day where only that is a date
-    for month, day, swapped in ((second, third, False), (third, second, True)):
-        try:
-            ordinal = dt.date(year, month, day).toordinal()
-        except ValueError:
-            if year_first:
-                return None
-            continue
-        new = dt.date.fromordinal(FIRST_DAY + feistel(key, "date", ordinal - FIRST_DAY, DAYS))
-        order = [new.year, new.month, new.day] if year_first else [new.month, new.day, new.year] if swapped else [new.day, new.month, new.year]
-        return "".join(str(n).zfill(len(p)) + m for n, p, m in zip(order, parts, [*marks, ""]))
-    return None
+    widths = tuple(map(len, parts))
+    forms = {"ymd": lambda d: (d.year, d.month, d.day), "dmy": lambda d: (d.day, d.month, d.year), "mdy": lambda d: (d.month, d.day, d.year)}
+    numbers = [int(x) for x in parts]
+    if widths[0] == 4:
+        form, date = "ymd", _as_date(*numbers)
+    elif date := _as_date(numbers[2], numbers[1], numbers[0]):
+        form = "dmy"
+    else:
+        form, date = "mdy", _as_date(numbers[2], numbers[0], numbers[1])
+    if date is None:
+        return None
+    ordinal = date.toordinal() - FIRST_DAY
+    while True:
+        ordinal = feistel(key, f"date:{form}:{widths}", ordinal, DAYS)
+        date = dt.date.fromordinal(FIRST_DAY + ordinal)
+        new = [str(n).zfill(w) for n, w in zip(forms[form](date), widths)]
+        if tuple(map(len, new)) == widths and not (form == "mdy" and date.day <= 12):
+            return "".join(n + m for n, m in zip(new, [*marks, ""]))
 
 
 def _phone(key: bytes, text: str) -> str | None:
@@ -116,6 +200,8 @@ def _phone(key: bytes, text: str) -> str | None:
     plan = lambda d: d[0] in "23456789" and d[3] in "23456789"
     if text.startswith("+1") and len(digits) == 11:
         head, rest = "1", digits[1:]
+    elif text.startswith("00"):
+        return "00" + _walk(key, "phone00", digits[2:], lambda d: d[0] != "0")
     elif text.startswith("+"):
         head, rest = digits[:2], digits[2:]
         if not 6 <= len(rest) <= 13:
@@ -147,7 +233,7 @@ def _email(key: bytes, text: str) -> str | None:
     return "".join(reversed(out)) + "@" + domain
 
 
-MAPS = {"email": _email, "ip": _ip, "card": _card, "ssn": _ssn, "date": _date, "phone": _phone}
+MAPS = {"email": _email, "ip": _ip, "ipv6": _ipv6, "iban": _iban, "card": _card, "ssn": _ssn, "date": _date, "phone": _phone}
 
 
 def _readings(text: str, start: int) -> Iterator[tuple[int, str]]:
@@ -184,16 +270,22 @@ def _pseudonyms(texts: pd.Series, mapped: Callable[[str, str], str | None]) -> p
                         break
             return "".join([*parts, piece[done:]])
 
-        if text:
-            # addresses are taken out of the way first, so that digits in them are not read as numbers
-            if "@" in text:
-                parts, at = [], 0
-                for m in EMAIL.finditer(text):
-                    parts += [numbers(text[at : m.start()]), put("email", m[0]) or m[0]]
+        def apart(piece: str, forms: list[tuple[str, re.Pattern, str]]) -> str:
+            """What has letters is taken out of the way first, so that digits in it are not read as numbers."""
+            if not forms:
+                return numbers(piece)
+            kind, form, sign = forms[0]
+            if sign and sign not in piece:
+                return apart(piece, forms[1:])
+            parts, at = [], 0
+            for m in form.finditer(piece):
+                if (new := put(kind, m[0])) is not None or kind == "email":
+                    parts += [apart(piece[at : m.start()], forms[1:]), new or m[0]]
                     at = m.end()
-                text = "".join([*parts, numbers(text[at:])])
-            else:
-                text = numbers(text)
+            return "".join([*parts, apart(piece[at:], forms[1:])])
+
+        if text:
+            text = apart(text, [("email", EMAIL, "@"), ("ipv6", IPV6, ":"), ("iban", IBAN, "")])
         rows.append((text, *counts.values()))
     return pd.DataFrame(rows, columns=["text", *(f"n_{k}" for k in KINDS)])
 

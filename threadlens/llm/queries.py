@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from threadlens.llm import warc as _warc
 
 #: Where the public vocabularies are.
 TOKENIZERS = os.environ.get("THREADLENS_TOKENIZERS", "/opt/tokenizers")
-#: The pseudonyms' key of the registered query; a real one is kept elsewhere.
-PSEUDONYM_KEY = os.environ.get("THREADLENS_PSEUDONYM_KEY", "threadlens example key")
+#: The pseudonyms' key of the registered query. Where none is set it is drawn anew, so pseudonyms are alike within one run only: there is no key that all know.
+PSEUDONYM_KEY = os.environ.get("THREADLENS_PSEUDONYM_KEY") or token_hex(32)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,19 +5,26 @@ together without moving every suffix, each string has an anchor: the place in it
 strings have equal anchors, and neighbours mostly the same one, so an anchor stands for a run of strings: a fragment of
 50 to 80 bytes. Shards are named by anchors' hashes. Three steps, each a distributed job:
 
-1. Anchors, as (hash of the anchor, hash of the fragment, document, place), are packed and dealt by the first hash. Equal
-   fragments collapse to the smallest document, first within a batch and then in a shard: all strings of the others repeat.
+1. Anchors, as (hash of the anchor, hash of the fragment, document, place), are packed and dealt by the first hash. A fragment that comes
+   again is one entry of what is to be sorted, with its smallest document: all strings of its other documents repeat. Fragments are told
+   apart by 48 bits of the anchor's hash and 64 of their own.
 2. Where one anchor has several different fragments, some of their strings may be equal. These fragments' bytes are fetched and
    dealt by anchor, and a shard's suffix array is built in two stages: only suffixes smaller than their successors are sorted, the
    rest is induced by scanning the buckets of first bytes. Runs of neighbours with common prefixes of LENGTH
-   bytes or more are the repeated strings. An anchor with more than HOT fragments is dealt anew by its single strings.
+   bytes or more are the repeated strings.
 3. The runs found are merged for each document and cut out of its text.
+
+An anchor with more than HOT fragments is split: its fragments are dealt at random, suffix arrays of parts leave each different string once
+for each part, with its smallest document there, and the smallest of all parts is found by a grouping that is summed up before it is
+shuffled and joined back. Anchors that would make step 1 uneven are known from a sample of texts and dealt by fragment; the sample
+decides where rows meet, not what is found.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,12 +37,17 @@ from threadlens.llm.shared import materialise
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
-#: Most distinct fragments of one anchor that are compared in one shard.
-HOT = 1 << 16
+#: Most fragments of one anchor that are compared in one shard.
+HOT = 2048
+#: An anchor with so many occurrences, as a sample of SAMPLE bytes has it (and SEEN times there), is dealt by fragment.
+CROWD, SAMPLE, SEEN = 1 << 17, 32 << 20, 8
 SEGMENT = 1 << 20
 #: Bytes of text whose anchors are packed together.
 SLICE = 16 << 20
 CHUNK = 2 << 20
+#: Most tasks that shards are dealt to; beyond it a task works through several, one after another.
+MOST_TASKS = 1 << 14
+PLACE = np.uint64((1 << 22) - 1)
 NO_ID = np.iinfo(np.int64).max
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -66,13 +78,11 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     w = words_at(data)
     m = n - GRAM + 1
     h = _mix(_mix(_mix(w[:m] * _M[0]) + w[8 : m + 8] * _M[1]) + (w[16 : m + 16] >> np.uint64(32)) * _M[2])
-    place = np.arange(m, dtype=np.int32)
-    value, width = h, 1
-    while width < WINDOW:  # leftmost least hash of a window that doubles, then overlaps to its full width
+    # hash and place in one number: the least of a window is then one comparison, the leftmost among equals
+    value, width = (h & ~PLACE) | np.arange(m, dtype=np.uint64), 1
+    while width < WINDOW:  # a window that doubles, then overlaps to its full width
         step = min(width, WINDOW - width)
-        right = value[step:] < value[: len(value) - step]
-        place = np.where(right, place[step:], place[: len(place) - step])
-        value = np.where(right, value[step:], value[: len(value) - step])
+        value = np.minimum(value[step:], value[: len(value) - step])
         width += step
     begins = np.concatenate([[0], ends[:-1]])
     text = np.repeat(np.arange(len(ends)), np.maximum(ends - begins - LENGTH + 1, 0))
@@ -80,7 +90,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     start = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begins, many)
     if not len(start):
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
-    at = place[start]
+    at = (value[start] & PLACE).astype(np.int64)
     first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
     runs = np.diff(np.append(first, len(start)))
     lo, size = start[first], runs + LENGTH - 1
@@ -103,17 +113,17 @@ def _unplane(raw: bytes, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
 
 
 def pack_anchors(h, c, doc, lo, runs) -> bytes:
-    """Columns as byte planes, hashes cut to 40 bits and sorted, compressed. doc is a number within the batch."""
+    """Columns as byte planes, the anchors' hashes of 48 bits sorted, compressed. doc is a number within the batch."""
     order = np.argsort(h, kind="stable")
     h, c, doc, lo, runs = (x[order] for x in (h, c, doc, lo, runs))
     head = np.array([len(h)], "<u8").tobytes()
-    return zstandard.compress(head + _planes(np.diff(h, prepend=np.uint64(0)), 5) + _planes(c, 5) + _planes(doc, 4) + _planes(lo, 5) + _planes(runs, 1), 1)
+    return zstandard.compress(head + _planes(np.diff(h, prepend=np.uint64(0)), 6) + _planes(c, 8) + _planes(doc, 4) + _planes(lo, 5) + _planes(runs, 1), 1)
 
 
 def unpack_anchors(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.decompress(blob)
     n, at, out = int(np.frombuffer(raw, "<u8", 1)[0]), 8, []
-    for width in (5, 5, 4, 5, 1):
+    for width in (6, 8, 4, 5, 1):
         x, at = _unplane(raw, at, n, width)
         out.append(x)
     out[0] = np.cumsum(out[0], dtype=np.uint64)
@@ -138,17 +148,35 @@ def unpack_runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 FOUND = "doc long, mark long, anchor long, hot boolean, runs binary"
 
 
-def _by_document(doc, mark, lo, runs, anchor=None, hot=None) -> Iterator[tuple]:
-    """Rows of FOUND: with no anchor, runs that go, one row for each document; else one row for each fragment to be compared."""
+def _cuts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    n = len(columns[0])
+    new = np.arange(n) == 0
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _by_document(doc, mark, lo, runs, anchor=None, fragment=None, hot=None) -> Iterator[tuple]:
+    """Rows of FOUND: with no anchor, runs that go, one row for each document; else one row for each fragment of a document to be compared,
+    with all the places where the document has it. Rows that repeat count once."""
+    if not len(doc):
+        return
+    keys = (lo, mark, doc) if anchor is None else (lo, mark, doc, fragment, anchor)
+    order = np.lexsort(keys)
+    doc, mark, lo, runs = doc[order], mark[order], lo[order], runs[order]
     if anchor is None:
-        order = np.lexsort((lo, mark, doc))
-        doc, mark, lo, runs = doc[order], mark[order], lo[order], runs[order]
-        first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(mark, prepend=0) != 0) | (np.arange(len(doc)) == 0))
-        for a, b in zip(first, np.append(first[1:], len(doc))):
-            yield int(doc[a]), int(mark[a]), None, False, pack_runs(lo[a:b], runs[a:b])
+        cuts = _cuts(doc, mark)
     else:
-        for d, m, a, t, lo_, r in zip(doc.tolist(), mark.tolist(), anchor.astype(np.int64).tolist(), hot.tolist(), lo, runs):
-            yield d, m, a, t, pack_runs(np.array([lo_]), np.array([r]))
+        anchor, fragment, hot = anchor[order], fragment[order], hot[order]
+        cuts = _cuts(anchor, fragment, doc, mark)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)]):
+        fresh = lo[a:b]
+        own = runs[a:b]
+        if b - a > 1 and (fresh[1:] == fresh[:-1]).any():
+            once = np.append(True, (fresh[1:] != fresh[:-1]) | (own[1:] != own[:-1]))
+            fresh, own = fresh[once], own[once]
+        yield int(doc[a]), int(mark[a]), None if anchor is None else int(anchor[a]), bool(hot[a]) if anchor is not None else False, pack_runs(fresh, own)
 
 
 def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -159,13 +187,13 @@ _FOUND = [("doc", pa.int64()), ("mark", pa.int64()), ("anchor", pa.int64()), ("h
 _SENT = [("bucket", pa.int32()), ("docs", pa.binary()), ("blob", pa.binary()), *_FOUND]
 
 
-def _send(buckets: int, segment: int):
+def _send(buckets: int, segment: int, crowded: np.ndarray):
     def settle(parts: list[bytes], base: list[tuple[int, int]]) -> tuple:
         data = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(p) for p in parts])
         text, h, c, lo, runs = anchors(data, np.cumsum(sizes))
         doc, offset = np.array([b[0] for b in base]), np.array([b[1] for b in base])
-        return h >> np.uint64(24), c >> np.uint64(24), doc[text], lo - (np.cumsum(sizes) - sizes)[text] + offset[text], runs
+        return h >> np.uint64(16), c, doc[text], lo - (np.cumsum(sizes) - sizes)[text] + offset[text], runs
 
     def packed(held: list[tuple], ids: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
         h, c, doc, lo, runs = (np.concatenate(x) for x in zip(*held))
@@ -177,7 +205,8 @@ def _send(buckets: int, segment: int):
         late = ids[doc] > least
         rows = [(None, None, None, *r) for r in _by_document(ids[doc[late]], marks[doc[late]], lo[late], runs[late])]
         h, c, doc, lo, runs = (x[~late] for x in (h, c, doc, lo, runs))
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        dealt = np.where(np.isin(h, crowded), _mix(h * _M[0] + c), h) if len(crowded) else h
+        bucket = (dealt % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         h, c, doc, lo, runs, bucket = (x[order] for x in (h, c, doc, lo, runs, bucket))
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -193,7 +222,10 @@ def _send(buckets: int, segment: int):
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             marks = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             held, parts, base, size, taken = [], [], [], 0, 0
+            once = set(np.unique(np.stack([ids, marks]), axis=1, return_index=True)[1].tolist())  # rows that repeat count once
             for i, value in enumerate(batch.column(2)):
+                if i not in once:
+                    continue
                 raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
                 for at in range(0, max(len(raw) - LENGTH + 1, 0), segment):  # a long text in pieces that share LENGTH - 1 bytes
                     parts.append(raw[at : at + segment + LENGTH - 1])
@@ -214,27 +246,32 @@ def _send(buckets: int, segment: int):
     return send
 
 
-def _collapse(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+def _collapse(batches: Iterator[pa.RecordBatch], hot: int, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A shard's anchors -> runs that go as their fragment is in a smaller document, and fragments to be compared byte by byte."""
 
     def shard(kept: list[tuple]) -> Iterator[tuple]:
         h, c, doc, mark, lo, runs = (np.concatenate(x) for x in zip(*kept))
+        kept.clear()
         order = np.lexsort((doc, c, h))
         h, c, doc, mark, lo, runs = (x[order] for x in (h, c, doc, mark, lo, runs))
-        at = np.arange(len(h))
-        new_h = (np.diff(h, prepend=h[0] + np.uint64(1)) != 0)
-        new_c = new_h | (np.diff(c, prepend=c[0]) != 0)
-        least = doc[np.maximum.accumulate(np.where(new_c, at, 0))]
+        new_h = np.append(True, h[1:] != h[:-1])
+        new_c = new_h | np.append(True, c[1:] != c[:-1])
+        least = doc[np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0))]
         late = doc > least
         yield from _by_document(doc[late], mark[late], lo[late], runs[late])
-        # anchors with several fragments, not all of one document
+        # anchors with several fragments, not all of one document; of a crowded one only a part of the fragments is here
         group = np.cumsum(new_h) - 1
-        fragments = np.bincount(group, new_c)
-        low, high = np.full(len(fragments), NO_ID), np.zeros(len(fragments), np.int64) - NO_ID
-        np.minimum.at(low, group, doc)
-        np.maximum.at(high, group, doc)
-        ask = (~late) & ((fragments > 1) & (low < high))[group]
-        yield from _by_document(doc[ask], mark[ask], lo[ask], runs[ask], h[ask], (fragments > hot)[group[ask]])
+        first = np.flatnonzero(new_h)
+        fragments = np.add.reduceat(new_c.astype(np.int64), first)
+        low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+        apart = np.isin(h[first], crowded)
+        compared = (~late) & (apart | ((fragments > 1) & (low < high)))[group]
+        many = apart | (np.bincount(group[compared], minlength=len(first)) > hot)
+        yield from _by_document(doc[compared], mark[compared], lo[compared], runs[compared], h[compared].astype(np.int64), c[compared].view(np.int64), many[group[compared]])
+
+    def batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        while part := list(islice(rows, 20000)):
+            yield _batch(part, _FOUND)
 
     current, kept = None, []
     for batch in batches:
@@ -242,8 +279,7 @@ def _collapse(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Record
             continue
         for bucket, docs, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if bucket != current and kept:
-                rows = [*shard(kept)]
-                yield from (_batch(rows[i : i + 20000], _FOUND) for i in range(0, len(rows), 20000))
+                yield from batched(shard(kept))
                 kept = []
             current = bucket
             names = np.frombuffer(docs, np.int64).reshape(2, -1)
@@ -251,8 +287,7 @@ def _collapse(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Record
             number = number.astype(np.int64)
             kept.append((h, c, names[0][number], names[1][number], lo.astype(np.int64), runs.astype(np.int64)))
     if kept:
-        rows = [*shard(kept)]
-        yield from (_batch(rows[i : i + 20000], _FOUND) for i in range(0, len(rows), 20000))
+        yield from batched(shard(kept))
 
 
 def two_stage_suffix_array(data: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -328,10 +363,11 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int = LENGTH) ->
     return same
 
 
-def _repeats(doc: np.ndarray, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(fragment, offset) of the strings of LENGTH bytes that are also in a fragment of a smaller document."""
+def _strings(doc: np.ndarray, fragments: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of all strings of LENGTH bytes in the fragments, in the order of their suffixes: the fragment, the offset in it, and the smallest
+    document that has the string; and the fragments' bytes with where each begins."""
     data = np.frombuffer(b"".join(fragments), np.uint8)
-    size = np.array([len(f) for f in fragments])
+    size = np.fromiter(map(len, fragments), np.int64, len(fragments))
     begin = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(size)), size)
     order = two_stage_suffix_array(data, wanted=np.arange(len(data)) + LENGTH <= (begin + size)[owner])
@@ -340,52 +376,136 @@ def _repeats(doc: np.ndarray, fragments: list[bytes]) -> tuple[np.ndarray, np.nd
     order, run = order[inside], run[inside]
     least = np.full(int(run[-1]) + 1 if len(run) else 0, NO_ID)
     np.minimum.at(least, run, doc[owner[order]])
-    late = order[doc[owner[order]] > least[run]]
-    return owner[late], late - begin[owner[late]]
+    return owner[order], order - begin[owner[order]], least[run], data, begin
+
+
+def _placed(which: np.ndarray, offset: np.ndarray, doc: np.ndarray, mark: np.ndarray, places: list[np.ndarray]) -> Iterator[tuple]:
+    """Rows of FOUND for strings of fragments, at all places of each; neighbours are put together to runs."""
+    if not len(which):
+        return
+    order = np.lexsort((offset, which))
+    which, offset = which[order], offset[order]
+    head = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)))
+    runs = np.diff(np.append(head, len(which)))
+    which, offset = which[head], offset[head]
+    count = np.fromiter(map(len, places), np.int64, len(places))[which]
+    at = np.repeat(np.arange(len(which)), count)
+    lo = np.concatenate([places[w] for w in which.tolist()]) + offset[at]
+    yield from _by_document(doc[which[at]], mark[which[at]], lo, runs[at])
+
+
+def _columns(kept: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[bytes]]:
+    doc, mark = (np.array([k[i] for k in kept], np.int64) for i in (1, 2))
+    return doc, mark, [unpack_runs([k[3]])[0] for k in kept], [k[4] for k in kept]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fragments sorted by anchor -> runs that go. Anchors are taken together until there are CHUNK bytes."""
 
     def found(kept: list[tuple]) -> pa.RecordBatch:
-        doc, mark, lo = (np.array([k[i] for k in kept], np.int64) for i in (1, 2, 3))
-        which, offset = _repeats(doc, [k[4] for k in kept])
-        return _batch([*_by_document(doc[which], mark[which], lo[which] + offset, np.ones(len(which), np.int64))], _FOUND)
+        doc, mark, places, fragments = _columns(kept)
+        which, offset, least, _, _ = _strings(doc, fragments)
+        late = doc[which] > least
+        return _batch([*_placed(which[late], offset[late], doc, mark, places)], _FOUND)
 
     kept, size = [], 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if kept and row[0] != kept[-1][0]:
-                if size >= CHUNK:
-                    yield found(kept)
-                    kept, size = [], 0
+            if kept and row[0] != kept[-1][0] and size >= CHUNK:
+                yield found(kept)
+                kept, size = [], 0
+            if kept and row[:4] == kept[-1][:4]:
+                continue
             kept.append(row)
             size += len(row[4])
     if kept:
         yield found(kept)
 
 
+_PART = [*_FOUND, ("one", pa.int64()), ("two", pa.int64())]
+
+
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fragments in any order -> runs that go as the same part of CHUNK bytes has them in a smaller document, and the other strings of the part, named by
+    two hashes, with their places."""
+
+    def found(kept: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, mark, places, fragments = _columns(kept)
+        which, offset, least, data, begin = _strings(doc, fragments)
+        late = doc[which] > least
+        yield _batch([(*r, None, None) for r in _placed(which[late], offset[late], doc, mark, places)], _PART)
+        which, offset = which[~late], offset[~late]
+        w, at = words_at(data), begin[which] + offset
+        one, two = np.zeros(len(at), np.uint64), np.ones(len(at), np.uint64)
+        for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+            one, two = _mix(one * _M[0] + w[at + k]), _mix((two ^ w[at + k]) * _M[1] + _M[2])
+        for a in range(0, len(which), 20000):
+            part = slice(a, a + 20000)
+            rows = [(d, m, None, False, pack_runs(places[f] + o, np.ones(len(places[f]), np.int64))) for f, o, d, m in zip(which[part].tolist(), offset[part].tolist(), doc[which[part]].tolist(), mark[which[part]].tolist())]
+            names = (one[part].view(np.int64).tolist(), two[part].view(np.int64).tolist())
+            yield _batch([(*r, x, y) for r, x, y in zip(rows, *names)], _PART)
+
+    kept, size = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            kept.append(row)
+            size += len(row[4])
+            if size >= CHUNK:
+                yield from found(kept)
+                kept, size = [], 0
+    if kept:
+        yield from found(kept)
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, mark, text, asked) -> (anchor, doc, mark, lo, fragment); a hot anchor's strings come one by one, named by their own hash."""
-    schema = [("anchor", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("lo", pa.int64()), ("fragment", pa.binary())]
+    """(doc, mark, text, asked) -> (anchor, doc, mark, places, fragment, hot). Rows that repeat one after another count once."""
+    schema = [("anchor", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("places", pa.binary()), ("fragment", pa.binary()), ("hot", pa.bool_())]
+    before = None
     for batch in batches:
         rows = []
-        for doc, mark, text, asked in zip(*batch.columns):
-            doc, mark, raw = doc.as_py(), mark.as_py(), zstandard.decompress(text.as_py())
+        for doc, mark, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            if (doc, mark) == before:
+                continue
+            before, raw = (doc, mark), zstandard.decompress(text.as_py())
             for ask in asked.as_py():
-                (lo,), (runs,) = unpack_runs([ask["runs"]])
-                if ask["hot"]:
-                    for at in range(lo, lo + runs):
-                        piece = raw[at : at + LENGTH]
-                        rows.append((int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big", signed=True), doc, mark, at, piece))
-                else:
-                    rows.append((ask["anchor"], doc, mark, int(lo), raw[lo : lo + runs + LENGTH - 1]))
+                lo, runs = unpack_runs([ask["runs"]])
+                rows.append((ask["anchor"], doc, mark, ask["runs"], raw[lo[0] : lo[0] + runs[0] + LENGTH - 1], ask["hot"]))
             if len(rows) > 50000:
                 yield _batch(rows, schema)
                 rows = []
         yield _batch(rows, schema)
 
 
+def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often an anchor comes in the texts of a batch, where that is more than once. Of a text that is longer the first SEGMENT bytes count."""
+
+    def settle(parts: list[bytes]) -> np.ndarray:
+        return anchors(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]))[1] >> np.uint64(16)
+
+    for batch in batches:
+        counts, parts, size = [np.zeros(0, np.uint64)], [], 0
+        for value in batch.column(0):
+            parts.append((value.as_py() or "").encode("utf-8", "surrogatepass")[:SEGMENT])
+            size += len(parts[-1])
+            if size >= SEGMENT:
+                counts.append(settle(parts))
+                parts, size = [], 0
+        if parts:
+            counts.append(settle(parts))
+        found, n = np.unique(np.concatenate(counts), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].astype(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+
+
+def crowded_anchors(docs: DataFrame, total: int, crowd: int = CROWD, sample: int = SAMPLE, seen: int = SEEN) -> np.ndarray:
+    """Anchors that are to be dealt by fragment, as a sample of about `sample` bytes has them. Their number is bounded by the sample's size."""
+    if total <= crowd * 8:  # all of it has fewer anchors than would make a crowd
+        return np.zeros(0, np.uint64)
+    share = max(1, total // sample)
+    counted = docs.where(F.pmod(F.xxhash64("mark", F.lit("sample")), F.lit(share)) == 0).select("text").mapInArrow(_census, "h long, n long")
+    rows = counted.groupBy("h").agg(F.sum("n").alias("n")).where((F.col("n") >= seen) & (F.col("n") * share >= crowd)).select("h").toPandas()
+    return np.sort(rows["h"].to_numpy(np.int64).astype(np.uint64))
+
+
 def _compress(texts: pd.Series) -> pd.Series:
     engine = zstandard.ZstdCompressor(level=3, write_content_size=True)
     return pd.Series([engine.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts])
@@ -396,23 +516,34 @@ def compressed(text: Column) -> Column:
     return F.pandas_udf(_compress, "binary")(text)
 
 
-def removed_runs(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 24 << 20, hot: int = HOT, segment: int = SEGMENT) -> DataFrame:
+def removed_runs(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 24 << 20, hot: int = HOT, segment: int = SEGMENT, crowd: int = CROWD, seen: int = SEEN) -> DataFrame:
     """(doc, mark, runs): runs of starts of repeated strings. doc is the id, the largest long for null; mark is a hash of the text."""
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
-    sent = docs.mapInArrow(_send(buckets, segment), "bucket int, docs binary, blob binary, " + FOUND)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, -(-total // shard_bytes))
+    crowded = crowded_anchors(docs, total, crowd, seen=seen)
+    sent = docs.mapInArrow(_send(buckets, segment, crowded), "bucket int, docs binary, blob binary, " + FOUND)
     # rows without a bucket are runs settled within a batch; they pass through beside the shards
-    dealt = sent.repartition(buckets, F.coalesce("bucket", F.pmod("doc", F.lit(buckets)))).sortWithinPartitions("bucket")
-    first = materialise(dealt.mapInArrow(_settled_or_collapsed(hot), FOUND))
+    dealt = sent.repartition(min(buckets, max(partitions, MOST_TASKS)), F.coalesce("bucket", F.pmod("doc", F.lit(buckets)))).sortWithinPartitions("bucket")
+    first = materialise(dealt.mapInArrow(_settled_or_collapsed(hot, crowded), FOUND))
     asked = first.where("anchor is not null").groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "hot", "runs")).alias("asked"))
     fragments = docs.select("doc", "mark", compressed(F.col("text")).alias("text")).join(asked, ["doc", "mark"]).select("doc", "mark", "text", "asked")
-    fetched = fragments.mapInArrow(_fetch, "anchor long, doc long, mark long, lo long, fragment binary")
-    compared = fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, FOUND)
-    return first.where("anchor is null").union(compared).select("doc", "mark", "runs")
-
-
-def _settled_or_collapsed(hot: int):
+    fetched = fragments.mapInArrow(_fetch, "anchor long, doc long, mark long, places binary, fragment binary, hot boolean")
+    alone = first.where("anchor is null").select("doc", "mark", "runs")
+    if first.where("hot").isEmpty():
+        compared = fetched.drop("hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "mark").mapInArrow(_compare, FOUND)
+        return alone.union(compared.select("doc", "mark", "runs"))
+    fetched = materialise(fetched)
+    compared = fetched.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "mark").mapInArrow(_compare, FOUND)
+    parts = fetched.where("hot").drop("hot").repartition("doc", "mark", "places").mapInArrow(_reduce, FOUND + ", one long, two long")
+    parts = materialise(parts)
+    lows = parts.where("one is not null").groupBy("one", "two").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    late = parts.join(lows, ["one", "two"]).where("doc > low")
+    return alone.union(compared.select("doc", "mark", "runs")).union(parts.where("one is null").select("doc", "mark", "runs")).union(late.select("doc", "mark", "runs"))
+
+
+def _settled_or_collapsed(hot: int, crowded: np.ndarray):
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         through: list[pa.RecordBatch] = []
 
@@ -423,7 +554,7 @@ def _settled_or_collapsed(hot: int):
                     through.append(pa.RecordBatch.from_arrays(settled.columns[3:], names=[n for n, _ in _FOUND]))
                 yield batch.filter(batch.column(0).is_valid())
 
-        for out in _collapse(packed(), hot):
+        for out in _collapse(packed(), hot, crowded):
             yield from through
             through.clear()
             yield out
@@ -452,13 +583,14 @@ def cut(text: Column, runs: Column) -> Column:
     return F.pandas_udf(_cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")(text, runs)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, segment: int = SEGMENT) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **layout: int) -> DataFrame:
     """One row for each row of `df`: its id, n_bytes, n_removed, n_spans, kept_sha256 and kept.
 
     A null text is empty. A null id is larger than every id, and neither ids that are equal nor two nulls are smaller than one another, so rows
-    that repeat do not remove each other. Texts of fewer than LENGTH bytes stay whole. Other columns are not read.
+    that repeat do not remove each other; they are looked at once and give a row each. Texts of fewer than LENGTH bytes stay whole. An empty table
+    gives an empty result; other columns are not read. `layout` are the limits of `removed_runs`, on which no result depends.
     """
-    runs = removed_runs(df, id_col, text_col, hot=hot, segment=segment).groupBy("doc", "mark").agg(F.collect_list("runs").alias("runs"))
+    runs = removed_runs(df, id_col, text_col, **layout).groupBy("doc", "mark").agg(F.collect_list("runs").alias("runs"))
     keyed = df.select(F.col(id_col).alias("id"), compressed(F.col(text_col)).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"))
     out = keyed.join(runs, ["doc", "mark"], "left").select("id", cut(F.col("text"), F.col("runs")).alias("r"))
     return out.select(F.col("id").alias(id_col), "r.*")

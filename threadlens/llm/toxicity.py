@@ -98,23 +98,35 @@ def fit(indices: list[np.ndarray], grade: np.ndarray, grades: int, plan: Trainin
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", grades: int = 3, plan: Training = Training()) -> Model:
     """Fits labelled rows of `docs`. Of each grade about `rows_per_grade` labels are taken, by a hash of their id, so the sample, the one broadcast and the
-    one task that fits are bounded. Null ids, grades and grades out of range are left out. Without labels the model knows the first grade only."""
+    one task that fits are bounded. Texts are turned to features before they are dealt, one row for each labelled id. Null ids, grades and grades out of range
+    are left out; an id with several grades has the highest; of several texts with a labelled id that with the least hash counts. Without labels
+    the model knows the first grade only."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(grade_col).between(0, grades - 1)).select(F.col(id_col).alias("l_id"), F.col(grade_col).cast("int").alias("grade"))
+    usable = usable.groupBy("l_id").agg(F.max("grade").alias("grade"))
     counts = {r["grade"]: r["count"] for r in usable.groupBy("grade").count().collect()}
     draw = F.pmod(F.xxhash64("l_id", F.lit("sample")), F.lit(1 << 30))
     chosen = F.lit(False)
     for g, n in counts.items():
         chosen = chosen | ((F.col("grade") == g) & (draw < int((1 << 30) * min(1.0, plan.rows_per_grade / n))))
-    sample = usable.where(chosen).dropDuplicates(["l_id"])
-    held = docs.join(F.broadcast(sample), F.col(id_col) == F.col("l_id")).select(F.lit(0).alias("one"), "l_id", "grade", F.col(text_col).alias("text"))
+    sample = usable.where(chosen)
+
+    @F.pandas_udf("array<int>")
+    def featured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([sorted(i for w in distinct_words(t) for i in word_features(w, plan)) for t in texts])
+
+    met = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("d_id") == F.col("l_id"))
+    # a row for each id, chosen before it is dealt, so repeats of a document do not meet in one task
+    rows = met.select("l_id", "grade", F.xxhash64("text").alias("mark"), featured(F.col("text")).alias("features"))
+    rows = rows.groupBy("l_id").agg(F.min_by(F.struct("grade", "features"), F.struct("mark", F.size("features"))).alias("r")).select(F.lit(0).alias("one"), "l_id", "r.*")
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["l_id", "text"], ignore_index=True)
-        buckets = [np.array([i for w in distinct_words(t) for i in word_features(w, plan)], np.int32) for t in rows["text"]]
+        rows = rows.sort_values("l_id", ignore_index=True)
+        buckets = [np.asarray(x, np.int32) for x in rows["features"]]
         model = fit(buckets, rows["grade"].to_numpy(np.int64), grades, plan)
         return pd.DataFrame({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tobytes()]})
 
-    fitted = held.groupBy("one").applyInPandas(learn, "weights binary, thresholds binary").collect()
+    fitted = rows.groupBy("one").applyInPandas(learn, "weights binary, thresholds binary").collect()
     if not fitted:
         return Model(np.zeros(plan.dims, np.float32), np.full(grades - 1, 40.0))
     return Model(np.frombuffer(fitted[0]["weights"], np.float32), np.frombuffer(fitted[0]["thresholds"], np.float64))
