@@ -17,7 +17,7 @@ def test_running_scores(spark, tmp_path):
     q = live.running_scores(stream).writeStream.outputMode("update").format("memory").queryName("scores").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = spark.sql("select thread_id, max(n_turns) n, max(score) s from scores group by 1").collect()
-    hits = batch.where("role <> 'R'").select("thread_id", "ix", F.posexplode(an.rule_hits(F.col("text"))).alias("ord", "h")).select("thread_id", "ix", "ord", "h.*")
+    hits = batch.where("role <> 'R'").select("thread_id", "ix", F.posexplode(an.rule_hits("text")).alias("ord", "h")).select("thread_id", "ix", "ord", "h.*")
     want = {r[0]: r[1] for r in an.diminished(hits).groupBy("thread_id").agg(F.least(F.lit(100.0), F.round(F.sum("diminished"), 2))).collect()}
     assert {r.thread_id: r.s for r in got} == {"a": want["a"], "b": want.get("b", 0.0)}
     assert {r.thread_id: r.n for r in got} == {"a": 2, "b": 1}

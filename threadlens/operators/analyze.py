@@ -7,101 +7,95 @@ exchange on `thread_id` serves the windows and the groupings.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadlens.functions.text import java_pattern, trim_all
-from threadlens.functions.urls import extract_scored_urls, url_feature_hits
+from threadlens.functions.text import SPACE, java_pattern
+from threadlens.functions.urls import extract_scored_urls, host, url_feature_hits
 from threadlens.plans import catalog as cat
+from threadlens.session import sql_text, written
 
 FACTORS = (1.0, 0.85, 0.70, 0.55, 0.45, 0.35)
 HIT = "struct<rule_id:string,label:string,stage:string,weight:double,matched:array<string>>"
 
 
-def matches(text: Column, patterns: list[str]) -> Column:
-    return reduce(or_, (F.rlike(text, F.lit("(?i)" + java_pattern(p))) for p in patterns))
-
+def matches(patterns: list[str], text: str = "text", prefix: str = "(?i)") -> str:
+    """SQL: whether one of the patterns is found in the column `text`."""
+    return "(" + " OR ".join(f"rlike({text}, {sql_text(prefix + java_pattern(p))})" for p in patterns) + ")"
 
-def _hit(rule_id: str, label: str, stage: str, weight: float):
-    return lambda m: F.struct(F.lit(rule_id).alias("rule_id"), F.lit(label).alias("label"), F.lit(stage).alias("stage"), (F.lit(float(weight)) * F.least(F.lit(3), F.size(m))).alias("weight"), m.alias("matched"))
 
-
-def rule_hits(text: Column) -> Column:
+def rule_hits(text: str = "text") -> Column:
     """Array of hits of the catalogue on one text, in catalogue order: the distinct matches of all patterns of a rule, 6 at most;
-    the weight counts up to three of them."""
+    the weight counts up to three of them. `text` names the column. Written as SQL: 28 rules are 28 expressions."""
+    trimmed = f"x -> regexp_replace(x, {sql_text(f'^{SPACE}+|{SPACE}+' + chr(92) + 'z')}, '')"
     hits = []
     for rule_id, label, stage, weight, patterns in cat.RULES:
         found = []
         for p in patterns:
-            java = "(?i)" + java_pattern(p)
-            found.append(F.filter(F.array(F.regexp_extract(text, java, 0)), lambda x: x != "") if p in cat.FIRST_ONLY else F.regexp_extract_all(text, F.lit(java), F.lit(0)))
-        matched = F.slice(F.array_distinct(F.transform(F.concat(*found), trim_all)), 1, 6)
-        hit = F.transform(F.array(matched), _hit(rule_id, label, stage, weight))
+            java = sql_text("(?i)" + java_pattern(p))
+            found.append(f"filter(array(regexp_extract({text}, {java}, 0)), x -> x <> '')" if p in cat.FIRST_ONLY else f"regexp_extract_all({text}, {java}, 0)")
+        matched = f"slice(array_distinct(transform(concat({', '.join(found)}), {trimmed})), 1, 6)"
+        hit = f"named_struct('rule_id', {sql_text(rule_id)}, 'label', {sql_text(label)}, 'stage', '{stage}', 'weight', {float(weight)}D * least(3, size(m)), 'matched', m)"
         # texts without a match, nearly all of them, pay for the test only
-        hits.append(F.when(matches(text, patterns), hit).otherwise(F.array().cast(f"array<{HIT}>")))
-    return F.flatten(F.array(*hits))
+        hits.append(f"CASE WHEN {matches(patterns, text)} THEN transform(array({matched}), m -> {hit}) ELSE CAST(array() AS array<{HIT}>) END")
+    return F.expr(f"flatten(array({', '.join(hits)}))")
 
 
-def actor_hint(text: Column, cue: dict[str, Column]) -> Column:
-    """demand, comply or neutral."""
-    t = F.lower(trim_all(text))
-    count = lambda patterns: reduce(lambda a, b: a + b, (F.rlike(t, F.lit(java_pattern(p))).cast("int") for p in patterns))
+def actor_hint(text: str = "text") -> str:
+    """SQL: demand, comply or neutral. Reads q_otp_relay_demand beside the text."""
+    count = lambda patterns: "(" + " + ".join(f"CAST(rlike(lower({text}), {sql_text(java_pattern(p))}) AS INT)" for p in patterns) + ")"
     d, c = count(cat.DEMAND_PATTERNS), count(cat.COMPLY_PATTERNS)
-    return F.when(t == "", "neutral").when(cue["otp_relay_demand"], "demand").when((d >= 2) & (d > c), "demand").when((c >= 2) & (c >= d), "comply").otherwise("neutral")
+    return f"CASE WHEN trim({text}) = '' THEN 'neutral' WHEN q_otp_relay_demand THEN 'demand' WHEN {d} >= 2 AND {d} > {c} THEN 'demand' WHEN {c} >= 2 AND {c} >= {d} THEN 'comply' ELSE 'neutral' END"
 
 
 def alert_only(q: dict[str, Column]) -> Column:
     return q["alert_pay"] & ~q["alert_directive"] & q["alert_notice"]
 
 
-def context_hits(q: dict[str, Column], has_url: Column, hint: Column, seen_otp: Column) -> Column:
-    """Array of the context hits of one turn, in their order. q: the turn's cues; seen_otp: a code cue in it or in a turn before."""
-    relay = seen_otp & q["share"] & q["code_noun"]
-    install = q["app_install"] | (q["remote_phrase"] & q["install_verb"])
-    blocked = install & ~q["transfer_word"] & (q["escrow"] | q["pay_in_order_to"])
-    personal = q["id_ask"] | (q["id_mention"] & q["id_need"])
-    safe = q["safe_transfer"]
-    no_url = ~has_url
-    doc = has_url & q["biz_doc"]
-    #: Id, label, stage, weight, placeholder, condition.
-    rows = [
-        ("ctx_demand", "맥락: 요구/지시 표현(발신 요구 가능)", "verify", 3, "demand", hint == "demand"),
-        ("ctx_otp_relay", "맥락: 인증번호/코드 전달 요구", "verify", 20, "otp-relay", relay),
-        ("ctx_install_mention", "맥락: 앱/원격/뷰어 설치 언급", "install", 18, "install", install),
-        ("ctx_otp_proxy", "맥락: 인증번호를 대신 입력/처리(가로채기)", "verify", 30, "otp-proxy", q["instead"] & q["otp_proxy_noun"]),
-        ("pii_request", "개인정보 요청", "verify", 18, "pii-request", q["pii_noun"] & q["pii_verb"]),
-        ("ctx_otp_finance", "맥락: 금융/카드 문맥에서 인증번호 요구", "verify", 28, "otp+finance", relay & q["finance"]),
-        ("ctx_pay_with_link", "맥락: 링크에서 납부/결제 유도", "payment", 22, "pay+link", has_url & ~q["alert_setting"] & q["link_pay"] & (q["directive"] | q["transfer_word"])),
-        ("ctx_transfer_phrase", "맥락: 안내계좌/보호조치/자산이전 유도", "payment", 28, "transfer-phrase", safe),
-        ("transfer", "맥락: 안내 계좌로 이체/송금 유도", "payment", 18, "transfer", safe),
-        ("ctx_payment_request", "맥락: 입금/송금/충전/납부 요청", "payment", 20, "pay", q["pay_verb"] & ~alert_only(q) & ~blocked),
-        ("ctx_family_scam", "맥락: 가족/지인 사칭 + 새 번호/폰 고장 + 송금 요구", "payment", 30, "family+pay", q["family"] & q["device_excuse"] & q["money_ask"] & q["amount"]),
-        ("ctx_job_hook", "맥락: 고수익/단기 구인 미끼", "verify", 22, "job-hook", q["job_wide"]),
-        ("ctx_contact_move", "맥락: 오픈채팅/텔레그램 이동 유도", "verify", 22, "contact-move", q["platform"] & q["move"]),
-        ("ctx_visit_place", "맥락: 특정 장소 방문/이동 유도", "verify", 14, "visit", q["place"] & q["visit_verb"]),
-        ("ctx_payment_request", "맥락: 보증금/수수료/선입금 요구", "payment", 28, "fee", q["fee"] & q["fee_verb"]),
-        ("ctx_transfer_demand", "맥락: 이체/송금 지시", "payment", 26, "transfer-demand", q["transfer_demand"]),
-        ("ctx_cash_pickup", "맥락: 현금 수거/퀵 전달 유도", "payment", 32, "cash-pickup", q["cash"] & q["cash_verb"]),
-        ("ctx_giftcard", "맥락: 상품권/기프트카드/핀번호 요구", "payment", 34, "giftcard", q["giftcard"] & q["giftcard_verb"]),
-        ("ctx_crypto_wallet", "맥락: 코인/지갑주소 송금 요구", "payment", 34, "crypto-wallet", q["crypto"] & q["crypto_verb"]),
-        ("ctx_account_rental", "맥락: 통장/계좌 대여·수령대행 유도", "payment", 32, "account-rental", q["mule"] | (q["account_lend"] & q["lend_hook"])),
-        ("ctx_qr_pay", "맥락: QR/간편결제 스캔·결제 유도", "payment", 28, "qr-pay", q["qr"] & q["qr_verb"]),
-        ("ctx_refund_lure", "맥락: 환불/취소/해지 미끼", "verify", 14, "refund-lure", q["refund"] & q["refund_verb"]),
-        ("ctx_loan_hook", "맥락: 대출/대환/한도 미끼", "verify", 12, "loan-hook", q["loan"] & q["loan_verb"]),
-        ("ctx_job_scam", "맥락: 고액/해외 구인 + 신분/계좌 요구", "verify", 30, "job+id", q["job"] & personal),
-        ("ctx_investment_link", "맥락: 투자/리딩방 + 링크", "verify", 12, "invest+link", q["invest"] & has_url),
-        ("ctx_benefit_link", "맥락: 지원/환급/대상자 조회 + 링크", "verify", 18, "benefit+link", has_url & q["benefit"]),
-        ("ctx_benefit_link_mention", "맥락: 지원/환급/대상자 조회 + 링크 언급", "verify", 8, "benefit+link-mention", no_url & q["benefit"] & q["benefit_verb"]),
-        ("ctx_profile_link_mention", "맥락: 메신저/프로필 확인 + 링크 언급", "verify", 10, "profile+link-mention", no_url & q["profile"] & q["link_word"] & q["open_verb"]),
-        ("ctx_biz_doc_link", "맥락: 업무/회계 문서 + 링크", "verify", 14, "bizdoc+link", doc),
-        ("ctx_biz_doc_install", "맥락: 업무 문서 열람을 위한 뷰어 설치 유도", "install", 12, "bizdoc+install", doc & q["viewer"] & q["fetch_verb"]),
-    ]
-    return F.array_compact(F.array(*(F.when(c, F.struct(F.lit(i).alias("rule_id"), F.lit(n).alias("label"), F.lit(s).alias("stage"), F.lit(float(w)).alias("weight"), F.array(F.lit(m)).alias("matched"))) for i, n, s, w, m, c in rows)))
+#: SQL over a turn's cues q_<name>, `has_url`, `hint` and `seen` (a code cue in it or in a turn before).
+_RELAY = "seen AND q_share AND q_code_noun"
+_INSTALL = "(q_app_install OR (q_remote_phrase AND q_install_verb))"
+_DOC = "has_url AND q_biz_doc"
+#: Id, label, stage, weight, placeholder, condition.
+CONTEXT = [
+    ("ctx_demand", "맥락: 요구/지시 표현(발신 요구 가능)", "verify", 3, "demand", "hint = 'demand'"),
+    ("ctx_otp_relay", "맥락: 인증번호/코드 전달 요구", "verify", 20, "otp-relay", _RELAY),
+    ("ctx_install_mention", "맥락: 앱/원격/뷰어 설치 언급", "install", 18, "install", _INSTALL),
+    ("ctx_otp_proxy", "맥락: 인증번호를 대신 입력/처리(가로채기)", "verify", 30, "otp-proxy", "q_instead AND q_otp_proxy_noun"),
+    ("pii_request", "개인정보 요청", "verify", 18, "pii-request", "q_pii_noun AND q_pii_verb"),
+    ("ctx_otp_finance", "맥락: 금융/카드 문맥에서 인증번호 요구", "verify", 28, "otp+finance", f"{_RELAY} AND q_finance"),
+    ("ctx_pay_with_link", "맥락: 링크에서 납부/결제 유도", "payment", 22, "pay+link", "has_url AND NOT q_alert_setting AND q_link_pay AND (q_directive OR q_transfer_word)"),
+    ("ctx_transfer_phrase", "맥락: 안내계좌/보호조치/자산이전 유도", "payment", 28, "transfer-phrase", "q_safe_transfer"),
+    ("transfer", "맥락: 안내 계좌로 이체/송금 유도", "payment", 18, "transfer", "q_safe_transfer"),
+    ("ctx_payment_request", "맥락: 입금/송금/충전/납부 요청", "payment", 20, "pay", f"q_pay_verb AND NOT (q_alert_pay AND NOT q_alert_directive AND q_alert_notice) AND NOT ({_INSTALL} AND NOT q_transfer_word AND (q_escrow OR q_pay_in_order_to))"),
+    ("ctx_family_scam", "맥락: 가족/지인 사칭 + 새 번호/폰 고장 + 송금 요구", "payment", 30, "family+pay", "q_family AND q_device_excuse AND q_money_ask AND q_amount"),
+    ("ctx_job_hook", "맥락: 고수익/단기 구인 미끼", "verify", 22, "job-hook", "q_job_wide"),
+    ("ctx_contact_move", "맥락: 오픈채팅/텔레그램 이동 유도", "verify", 22, "contact-move", "q_platform AND q_move"),
+    ("ctx_visit_place", "맥락: 특정 장소 방문/이동 유도", "verify", 14, "visit", "q_place AND q_visit_verb"),
+    ("ctx_payment_request", "맥락: 보증금/수수료/선입금 요구", "payment", 28, "fee", "q_fee AND q_fee_verb"),
+    ("ctx_transfer_demand", "맥락: 이체/송금 지시", "payment", 26, "transfer-demand", "q_transfer_demand"),
+    ("ctx_cash_pickup", "맥락: 현금 수거/퀵 전달 유도", "payment", 32, "cash-pickup", "q_cash AND q_cash_verb"),
+    ("ctx_giftcard", "맥락: 상품권/기프트카드/핀번호 요구", "payment", 34, "giftcard", "q_giftcard AND q_giftcard_verb"),
+    ("ctx_crypto_wallet", "맥락: 코인/지갑주소 송금 요구", "payment", 34, "crypto-wallet", "q_crypto AND q_crypto_verb"),
+    ("ctx_account_rental", "맥락: 통장/계좌 대여·수령대행 유도", "payment", 32, "account-rental", "q_mule OR (q_account_lend AND q_lend_hook)"),
+    ("ctx_qr_pay", "맥락: QR/간편결제 스캔·결제 유도", "payment", 28, "qr-pay", "q_qr AND q_qr_verb"),
+    ("ctx_refund_lure", "맥락: 환불/취소/해지 미끼", "verify", 14, "refund-lure", "q_refund AND q_refund_verb"),
+    ("ctx_loan_hook", "맥락: 대출/대환/한도 미끼", "verify", 12, "loan-hook", "q_loan AND q_loan_verb"),
+    ("ctx_job_scam", "맥락: 고액/해외 구인 + 신분/계좌 요구", "verify", 30, "job+id", "q_job AND (q_id_ask OR (q_id_mention AND q_id_need))"),
+    ("ctx_investment_link", "맥락: 투자/리딩방 + 링크", "verify", 12, "invest+link", "q_invest AND has_url"),
+    ("ctx_benefit_link", "맥락: 지원/환급/대상자 조회 + 링크", "verify", 18, "benefit+link", "has_url AND q_benefit"),
+    ("ctx_benefit_link_mention", "맥락: 지원/환급/대상자 조회 + 링크 언급", "verify", 8, "benefit+link-mention", "NOT has_url AND q_benefit AND q_benefit_verb"),
+    ("ctx_profile_link_mention", "맥락: 메신저/프로필 확인 + 링크 언급", "verify", 10, "profile+link-mention", "NOT has_url AND q_profile AND q_link_word AND q_open_verb"),
+    ("ctx_biz_doc_link", "맥락: 업무/회계 문서 + 링크", "verify", 14, "bizdoc+link", _DOC),
+    ("ctx_biz_doc_install", "맥락: 업무 문서 열람을 위한 뷰어 설치 유도", "install", 12, "bizdoc+install", f"{_DOC} AND q_viewer AND q_fetch_verb"),
+]
+
+
+def context_hits() -> Column:
+    """Array of the context hits of one turn, in their order, from the columns that CONTEXT reads."""
+    rows = [f"CASE WHEN {c} THEN named_struct('rule_id', '{i}', 'label', {sql_text(n)}, 'stage', '{s}', 'weight', {float(w)}D, 'matched', array('{m}')) END" for i, n, s, w, m, c in CONTEXT]
+    return F.expr(f"array_compact(array({', '.join(rows)}))")
 
 
 def normalised_stage(h: Column, q: dict[str, Column]) -> Column:
@@ -170,37 +164,57 @@ def stage_rank(stage: Column) -> Column:
     return F.when(stage == "payment", 3).when(stage == "install", 2).when(stage == "verify", 1).otherwise(0)
 
 
+def text_features(texts: DataFrame) -> DataFrame:
+    """`texts(text)` -> text, what depends on it alone: urls, the cues q_<name>, the hint, and the hits of the catalogue and of URL features."""
+    t = texts.select("text", extract_scored_urls(F.col("text")).alias("urls"), *(F.expr(f"{matches(p)} AS q_{k}") for k, p in cat.CUES.items()))
+    return t.select("*", F.expr(f"{actor_hint()} AS hint"), F.concat(rule_hits("text"), url_feature_hits(F.col("text"), F.col("urls"))).alias("own_hits"))
+
+
 def turn_table(turns: DataFrame) -> DataFrame:
-    """One row for each turn: include (whether it counts as a threat), score, stage, urls, hits (the kept ones, with `ord`), and its cues as q_<name>."""
-    t = turns.select("thread_id", "ix", F.coalesce("role", F.lit("U")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.select("*", extract_scored_urls(F.col("text")).alias("urls"), *(matches(F.col("text"), p).alias(f"q_{k}") for k, p in cat.CUES.items()))
+    """One row for each turn: include (whether it counts as a threat), score, stage, urls, hits (the kept ones, with `ord`), and its cues as q_<name>.
+
+    Messages repeat (templates, forwarded texts, short answers), so all patterns are tried once on each distinct text; what was found is written.
+    """
+    more = [c for c in ("speaker",) if c in turns.columns]
+    t = turns.select("thread_id", "ix", F.coalesce("role", F.lit("U")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    t = t.join(written(text_features(t.select("text").distinct())), "text")
     q = {k: F.col(f"q_{k}") for k in cat.CUES}
     own = W.partitionBy("thread_id")
-    t = t.withColumn("hint", actor_hint(F.col("text"), q)).withColumn("roles", F.max(F.col("role") != "U").over(own))
-    t = t.withColumn("include", F.when(F.col("roles"), (F.col("role") == "S") | ((F.col("role") == "U") & (F.col("hint") == "demand"))).otherwise(F.col("hint") != "comply"))
-    t = t.withColumn("seen", F.max(F.col("include") & q["otp"]).over(own.orderBy("ix").rowsBetween(W.unboundedPreceding, 0)))
-    raw = F.concat(rule_hits(F.col("text")), url_feature_hits(F.col("text"), F.col("urls")), context_hits(q, F.size("urls") > 0, F.col("hint"), F.col("seen")))
+    t = t.withColumn("roles", F.max(F.col("role") != "U").over(own))
+    t = t.withColumn("include", F.expr("CASE WHEN roles THEN role = 'S' OR (role = 'U' AND hint = 'demand') ELSE hint <> 'comply' END"))
+    t = t.select("*", F.max(F.col("include") & q["otp"]).over(own.orderBy("ix").rowsBetween(W.unboundedPreceding, 0)).alias("seen"), F.expr("size(urls) > 0 AS has_url"))
     # heaviest first, in catalogue order among equals
-    ranked = F.array_sort(F.transform(raw, lambda h, i: F.struct((-h["weight"]).alias("w"), i.alias("i"), h.alias("h"))))
-    t = t.withColumn("raw", F.when(F.col("include"), F.transform(ranked, lambda x: x["h"])).otherwise(F.array().cast(f"array<{HIT}>")))
-    t = t.withColumn("score", F.least(F.lit(100.0), F.aggregate("raw", F.lit(0.0), lambda a, h: a + h["weight"])))
+    raw = F.concat("own_hits", context_hits())
+    ranked = F.transform(F.array_sort(F.transform(raw, lambda h, i: F.struct((-h["weight"]).alias("w"), i.alias("i"), h.alias("h")))), lambda x: x["h"])
+    t = t.withColumn("raw", F.when(F.col("include"), ranked).otherwise(F.array().cast(f"array<{HIT}>")))
     staged = F.transform("raw", lambda h: F.struct(h["rule_id"].alias("rule_id"), h["label"].alias("label"), normalised_stage(h, q).alias("stage"), h["weight"].alias("weight"), h["matched"].alias("matched")))
-    t = t.withColumn("staged", staged).withColumn("all", with_aliases("staged"))
-    own_id = lambda h: h["rule_id"].startswith("ctx_") | h["rule_id"].startswith("url_")
-    t = t.withColumn("hits", F.filter("all", lambda h: own_id(h) | (F.size(h["matched"]) == 0) | F.exists(h["matched"], lambda m: (m != "") & F.col("text").contains(m))))
+    t = t.withColumns({"score": F.expr("least(100D, aggregate(raw, 0D, (a, h) -> a + h.weight))"), "staged": staged})
+    t = t.withColumn("all", with_aliases("staged"))
+    t = t.withColumn("hits", F.expr("filter(all, h -> startswith(h.rule_id, 'ctx_') OR startswith(h.rule_id, 'url_') OR size(h.matched) = 0 OR exists(h.matched, m -> m <> '' AND contains(text, m)))"))
     has = lambda stage, ids: F.exists("hits", lambda h: h["rule_id"].isin(*ids) & (F.lit(True) if stage is None else h["stage"] == stage))
     t = t.withColumn("stage", resolved_stage(has, q))
-    return t.select("thread_id", "ix", "role", "text", "roles", "hint", "include", "urls", "score", "stage", "hits", *(f"q_{k}" for k in cat.CUES))
+    return t.select("thread_id", "ix", "role", *more, "text", "roles", "hint", "include", "urls", "score", "stage", "hits", *(f"q_{k}" for k in cat.CUES))
 
 
 def sequence_hits(table: DataFrame) -> DataFrame:
-    """Hits across turns of threads without roles: a demand, link or code demand that the next turn or the one after answers."""
+    """Hits across turns of threads without roles: a demand that is complied with, a link or a code demand that is denied, in the next turn or the one
+    after. Weights are higher where the two turns name different speakers; a demand's hit has the later of the two turns' stages."""
     at = W.partitionBy("thread_id").orderBy("ix")
-    t = table.where(~F.col("roles")).select("thread_id", "ix", "hint", "stage", (F.size("urls") > 0).alias("link"), F.col("q_otp_relay_demand").alias("code"), F.lead("hint", 1).over(at).alias("n1"), F.lead("hint", 2).over(at).alias("n2"))
-    answered = (F.col("n1") == "comply") | (F.col("n2") == "comply")
+    t = table.where(~F.col("roles"))
+    ask = {"link": F.size("urls") > 0, "code": F.col("q_otp_demand") & F.col("q_share"), "demand": F.col("hint") == "demand"}
+    speaker = F.col("speaker") if "speaker" in table.columns else F.lit(None).cast("string")
+    t = t.select("thread_id", "ix", "stage", speaker.alias("speaker"), *(c.alias(k) for k, c in ask.items()), *(
+        F.lead(F.struct((F.col("hint") == "comply").alias("comply"), F.col("q_denial_after_link").alias("no_link"), F.col("q_denial_after_otp").alias("no_otp"), "stage", speaker.alias("speaker")), k).over(at).alias(f"n{k}") for k in (1, 2)
+    ))
+    first = lambda flag: F.when(F.col(f"n1.{flag}"), F.col("n1")).when(F.col(f"n2.{flag}"), F.col("n2"))
+    t = t.select("*", first("comply").alias("yes"), first("no_link").alias("not_link"), first("no_otp").alias("not_otp"))
+    other = lambda c: F.coalesce(F.col("speaker") != F.col(f"{c}.speaker"), F.lit(False))
+    later = F.when(stage_rank(F.col("yes.stage")) > stage_rank(F.col("stage")), F.col("yes.stage")).otherwise(F.col("stage"))
+    hit = lambda i, label, stage, w: F.struct(F.lit(i).alias("rule_id"), F.lit(label).alias("label"), stage.alias("stage"), w.cast("double").alias("weight"))
     rows = F.array_compact(F.array(
-        F.when((F.col("hint") == "demand") & answered, F.struct(F.lit("ctx_comply_after_demand").alias("rule_id"), F.lit("맥락: 요구 후 수락").alias("label"), F.lit("verify").alias("stage"), F.lit(8.0).alias("weight"))),
-        F.when(F.col("code") & answered, F.struct(F.lit("ctx_denial_after_otp").alias("rule_id"), F.lit("맥락: 인증 요구 후 응답").alias("label"), F.lit("verify").alias("stage"), F.lit(14.0).alias("weight"))),
+        F.when(F.col("demand") & F.col("yes").isNotNull(), hit("ctx_comply_after_demand", "맥락: 요구 직후 동의/수락(연쇄 위험)", F.when(later == "info", "verify").otherwise(later), F.when(other("yes"), 12).otherwise(8))),
+        F.when(F.col("link") & F.col("not_link").isNotNull(), hit("ctx_denial_after_link", "맥락: 링크 제시 직후 본인 부인/미신청", F.lit("verify"), F.when(other("not_link"), 14).otherwise(10))),
+        F.when(F.col("code") & F.col("not_otp").isNotNull(), hit("ctx_denial_after_otp", "맥락: 인증번호 요구 직후 본인 부인/미신청", F.lit("verify"), F.lit(14))),
     ))
     return t.select("thread_id", "ix", F.posexplode(rows).alias("ord", "h")).select("thread_id", "ix", (F.col("ord") + 1000).alias("ord"), "h.*", F.array().cast("array<string>").alias("matched"))
 
@@ -232,39 +246,48 @@ def top_signals(rolled: DataFrame, k: int = 12) -> DataFrame:
     return rolled.withColumn("rank", at).where(F.col("rank") <= k)
 
 
+def risk_steps(has) -> list[tuple[str, str]]:
+    """The risk decision as named SQL expressions, each of which may use those before it. has(*ids) gives the SQL of a test whether the array `ids`
+    holds one of them. Besides it they read any_url, internal_host, q_<cue> and score_total."""
+    some = lambda *names: "(" + " OR ".join(n if n.startswith("q_") else f"f_{n}" for n in names) + ")"
+    count = lambda *names: " + ".join(f"CAST({n if n.startswith('q_') else 'f_' + n} AS INT)" for n in names)
+    money = ("cash", "transfer_demand", "pay", "transfer")
+    acts = ("otp", "otp_finance", "installed", "pay", "transfer_demand", "transfer", "cash", "visit", "pii", "job")
+    clues = ("authority", "threat", "urgent", "alert", "first", "move", "otp_finance", "secrecy", "q_anti_verify", "money")
+    structures = [
+        "f_remote AND f_otp", "f_link AND f_installed AND clues >= 1", "f_link AND f_apk", "f_otp AND q_otp_request",
+        f"f_family AND {some('pay', 'urgent', 'transfer_demand')}", "f_link AND f_job_scam AND f_pii", "f_pay AND clues >= 1",
+        f"f_invest AND {some('link', 'move')} AND {some('mention', 'apk', 'pay', 'transfer_demand', 'urgent', 'threat', 'authority')}",
+        f"f_visit AND {some('job', 'job_scam', 'invest')} AND {some('move', 'link')} AND {some(*money)}",
+        f"{some('transfer_demand', 'transfer')} AND clues >= 1", f"f_cash AND {some('authority', 'threat', 'urgent', 'demand', 'link', 'move')}",
+        f"{some('job', 'job_scam')} AND {some('move', 'link')} AND {some('visit', *money)}", "f_job_scam",
+    ]
+    sure = [
+        f"f_malicious AND {some('installed', 'remote', 'pay', 'transfer_demand', 'transfer', 'cash', 'otp_finance', 'q_otp_request', 'q_code_request')}",
+        "f_link AND q_code_request", f"f_link AND q_otp_entry AND ({some('urgent', 'threat', 'q_now_word')} OR (f_demand AND NOT q_account_notice))",
+        "q_business AND f_link AND f_installed", f"{some('job', 'job_scam', 'q_high_pay')} AND {some('link', 'move', 'pii')}",
+    ]
+    either = lambda xs: " OR ".join(f"({x})" for x in xs)
+    quiet = lambda *names: " AND ".join(f"NOT f_{n}" for n in names)
+    return [
+        *((f"f_{k}", has(*ids)) for k, ids in cat.RISK_FLAGS.items()),
+        ("f_link", "f_linked OR any_url"), ("f_pay", some("transfer", "asked")), ("f_wish", some("demand", "q_otp_request", "q_code_request")),
+        ("f_action", some(*acts, "called")), ("f_form", some("wish", "transfer_demand", "cash", "transfer", "pay", "installed", "pii", "called")),
+        ("benign", f"q_it_support AND internal_host AND NOT {some('installed', 'otp', 'otp_finance', 'pay', 'transfer', 'transfer_demand', 'cash', 'visit', 'pii', 'job', 'called')}"),
+        ("clues", count(*clues, "wish", "remote")), ("gate_b", count(*clues, "q_otp_request")),
+        ("hard_high", f"NOT benign AND ({either(sure)} OR (f_form AND {some(*acts)} AND gate_b >= 1 AND f_action AND ({either(structures)})))"),
+        ("advised", "q_advice AND NOT q_advice_not AND NOT q_advice_action"),
+        ("entry_only", "q_otp_entry AND NOT q_otp_request AND NOT q_code_request AND NOT f_otp_finance"),
+        ("alert_only", f"f_linked AND (q_alert_thread OR f_alert) AND (q_self_ack OR q_benign_ack) AND NOT q_explicit_pay AND (NOT f_otp OR entry_only) AND {quiet('threat', 'urgent', 'remote', 'apk', 'mention', 'job_scam', 'invest', 'family')}"),
+        ("remote_only", f"f_installed AND NOT q_doc_lure AND NOT q_explicit_pay AND {quiet('otp', 'threat', 'authority', 'urgent', 'job_scam', 'invest', 'family')}"),
+        ("risk_level", f"CASE WHEN advised THEN 'low' WHEN hard_high AND (alert_only OR remote_only) THEN 'medium' WHEN hard_high THEN 'high' WHEN score_total >= {cat.MEDIUM} THEN 'medium' ELSE 'low' END"),
+    ]
+
+
 def with_risk(df: DataFrame) -> DataFrame:
-    """Adds hard_high and risk_level from `ids`, any_url, q_<cue> and score_total. Flags are columns of their own, step by step, so each is worked out once."""
-    H = lambda *ids: F.arrays_overlap(F.col("ids"), F.array(*(F.lit(i) for i in ids)))
-    f = lambda name: F.col(f"f_{name}")
-    R = lambda name: F.col(f"q_{name}")
-    some = lambda *names: reduce(or_, (f(n) for n in names))
-    count = lambda *xs: reduce(lambda a, b: a + b, (x.cast("int") for x in xs))
-    #: Flag -> identifiers.
-    sets = {
-        "remote": ("remote", "call_remote"), "otp": ("otp", "call_otp", "ctx_otp_relay"), "first": ("call_first_contact",), "apk": ("apk", "url_download_ext", "install_app"),
-        "linked": ("link", "shortener", "link_mention", "ctx_profile_link_mention"), "installed": ("ctx_install_mention", "install_app", "apk", "remote", "url_download_ext"),
-        "demand": ("ctx_demand", "ctx_comply_after_demand", "ctx_otp_relay"), "otp_finance": ("ctx_otp_finance", "ctx_otp_proxy", "ctx_denial_after_otp"),
-        "pii": ("pii_request", "personalinfo"), "authority": ("authority",), "threat": ("threat",), "urgent": ("urgent", "call_urgent"),
-        "transfer": ("go_bank_atm", "transfer", "safe_account", "ctx_transfer_phrase"), "asked": ("ctx_payment_request", "ctx_pay_with_link"),
-        "transfer_demand": ("ctx_transfer_demand",), "cash": ("ctx_cash_pickup",), "visit": ("ctx_visit_place",), "alert": ("txn_alert",), "job": ("job_lure", "ctx_job_hook"),
-        "job_scam": ("ctx_job_scam",), "family": ("ctx_family_scam",), "invest": ("invest_lure", "ctx_investment_link"), "move": ("ctx_contact_move",), "secrecy": ("ctx_secrecy",),
-        "malicious": ("messenger_phishing",), "money": ("go_bank_atm", "safe_account", "ctx_transfer_phrase"), "called": ("call_otp", "call_remote"),
-    }
-    df = df.withColumns({f"f_{k}": H(*ids) for k, ids in sets.items()})
-    df = df.withColumns({"f_link": f("linked") | F.col("any_url"), "f_pay": some("transfer", "asked"), "f_wish": f("demand") | R("otp_request") | R("code_request")})
-    df = df.withColumns({
-        "f_action": some("otp", "otp_finance", "installed", "pay", "transfer_demand", "transfer", "cash", "visit", "pii", "job"),
-        "f_form": some("wish", "transfer_demand", "cash", "transfer", "pay", "installed", "pii", "called"),
-        "clues": count(*(f(x) for x in ("authority", "threat", "urgent", "alert", "wish", "first", "move", "otp_finance", "remote", "secrecy")), R("anti_verify"), f("money")),
-        "gate_b": count(*(f(x) for x in ("authority", "threat", "urgent", "alert", "first", "move", "otp_finance", "secrecy")), R("anti_verify"), f("money"), R("otp_request")),
-    })
-    clue = F.col("clues") >= 1
-    df = df.withColumn("structure", (f("remote") & f("otp")) | (f("link") & f("installed") & clue) | (f("link") & f("apk")) | (f("otp") & R("otp_request")) | (f("family") & some("pay", "urgent", "transfer_demand")) | (f("link") & f("job_scam") & f("pii")) | (f("pay") & clue) | (f("invest") & some("link", "move") & some("installed", "apk", "pay", "transfer_demand", "urgent", "threat", "authority")) | (f("visit") & some("job", "invest") & some("move", "link") & f("money")) | (some("transfer_demand", "transfer") & clue) | (f("cash") & some("authority", "threat", "urgent", "demand", "link", "move")) | (f("job") & some("move", "link") & some("visit", "money")) | f("job_scam"))
-    df = df.withColumn("hard_high", (f("malicious") & (some("installed", "remote", "pay", "transfer_demand", "transfer", "cash", "otp_finance") | R("otp_request") | R("code_request"))) | (f("link") & R("code_request")) | (f("link") & R("otp_entry") & some("urgent", "threat", "demand")) | (R("business") & f("link") & f("installed")) | (some("job", "job_scam") & some("link", "move", "pii")) | (f("form") & f("action") & (F.col("gate_b") >= 1) & F.col("structure")))
-    advice = R("advice") & ~R("advice_not") & ~R("advice_action")
-    remote_only = some("remote", "installed") & ~(some("pay", "transfer_demand", "cash", "otp", "otp_finance", "threat", "authority", "urgent", "job", "invest", "family") | R("business"))
-    high = F.col("hard_high")
-    return df.withColumn("risk_level", F.when(advice, "low").when(high & ((R("alert_setting") & ~f("action")) | remote_only), "medium").when(high, "high").when(F.col("score_total") >= cat.MEDIUM, "medium").otherwise("low"))
+    """Adds the columns of `risk_steps` to a table of threads, hard_high and risk_level among them."""
+    has = lambda *ids: f"arrays_overlap(ids, array({', '.join(repr(i) for i in ids)}))"
+    return df.selectExpr("*", *(f"{e} AS {n}" for n, e in risk_steps(has)))
 
 
 def analyze(turns: DataFrame, calls: DataFrame | None = None) -> DataFrame:
@@ -273,8 +296,7 @@ def analyze(turns: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     `calls(thread_id, otp_asked, remote_asked, urgent_pressured, first_contact)` adds what was said on the telephone. Null texts are empty;
     turns of one thread that share `ix` are taken in any order.
     """
-    # three uses below; kept blocks that are lost with an executor are worked out again
-    table = turn_table(turns).persist(StorageLevel.MEMORY_AND_DISK)
+    table = written(turn_table(turns))  # three uses below
     hits = exploded_hits(table).unionByName(sequence_hits(table))
     if calls is not None:
         flags = {"call_otp": "otp_asked", "call_remote": "remote_asked", "call_urgent": "urgent_pressured", "call_first_contact": "first_contact"}
@@ -283,7 +305,7 @@ def analyze(turns: DataFrame, calls: DataFrame | None = None) -> DataFrame:
         hits = hits.unionByName(extra)
     weighed = diminished(hits)
     scored = weighed.groupBy("thread_id").agg(F.sum("diminished").alias("total"), F.count("*").alias("n_hits"), F.collect_set("rule_id").alias("ids"), F.collect_set(F.concat_ws("|", "rule_id", "stage")).alias("staged_ids"), F.max_by("rule_id", F.struct("diminished", -F.col("ix"), -F.col("ord"))).alias("top_rule"))
-    rolled = table.groupBy("thread_id").agg(F.count("*").alias("n_turns"), F.max(F.size("urls") > 0).alias("any_url"), *(F.max(F.when(F.col("include") | F.lit(k in ("anti_verify", "otp_request", "code_request", "otp_entry", "business", "advice", "advice_not", "advice_action")), F.col(f"q_{k}")).otherwise(False)).alias(f"q_{k}") for k in cat.CUES))
+    rolled = table.groupBy("thread_id").agg(F.count("*").alias("n_turns"), F.max(F.size("urls") > 0).alias("any_url"), F.max(F.exists("urls", lambda u: F.rlike(host(u), F.lit(cat.INTERNAL_HOST)))).alias("internal_host"), *(F.max(F.when(F.col("include") | F.lit(k in cat.THREAD_CUES), F.col(f"q_{k}")).otherwise(False)).alias(f"q_{k}") for k in cat.CUES))
     none = F.array().cast("array<string>")
     joined = rolled.join(scored, "thread_id", "left").withColumns({"ids": F.coalesce("ids", none), "staged_ids": F.coalesce("staged_ids", none), "score_total": F.least(F.lit(100.0), F.floor(F.coalesce("total", F.lit(0.0)) * 100 + 0.5) / 100), "n_hits": F.coalesce("n_hits", F.lit(0))})
     has = lambda stage, ids: F.arrays_overlap(F.col("staged_ids") if stage else F.col("ids"), F.array(*(F.lit(f"{i}|{stage}" if stage else i) for i in ids)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import characters, for_embedding
+from threadlens.session import written
 
 BLOCK = 1024
 
@@ -79,14 +79,6 @@ def hashed_trigrams(df: DataFrame, id_col: str, text: Column, dims: int = 64) ->
     return hashed.groupBy("id", (F.col("h") % dims).cast("int").alias("idx")).agg(F.sum(sign).alias("value")).where("value <> 0").withColumnRenamed("id", id_col)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """`df` in the checkpoint folder, without its lineage: that of rounds would double in each. A folder of this machine is made only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadlens-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def leader_clusters(items: DataFrame, least: float = 0.45, most: int = 500) -> DataFrame:
     """`items(grp, id, score, keys)` -> (grp, id, leader): by score, then id, each item joins the most similar leader before it in its group whose keys
     have a Jaccard similarity of `least` or more, the first of equals, else it leads.
@@ -95,7 +87,7 @@ def leader_clusters(items: DataFrame, least: float = 0.45, most: int = 500) -> D
     meet in a task, best first; the sets that their leaders do not take are the next round's. At last each item is held against the leaders before it, in joins.
     """
     place = F.struct(F.col("score").alias("score"), F.bitwise_not("id").alias("turned"))
-    placed = _written(items.select("grp", "id", place.alias("place"), F.array_sort(F.array_distinct("keys")).alias("keys")))
+    placed = written(items.select("grp", "id", place.alias("place"), F.array_sort(F.array_distinct("keys")).alias("keys")))
 
     def alike(a: str, b: str) -> Column:
         common = F.size(F.array_intersect(a, b))
@@ -110,15 +102,15 @@ def leader_clusters(items: DataFrame, least: float = 0.45, most: int = 500) -> D
         return pd.DataFrame({"grp": group["grp"].iloc[0], "at": [at for _, at in leaders]}, columns=["grp", "at"])
 
     at = F.row_number().over(W.partitionBy("grp").orderBy(F.desc("place")))
-    open_ = _written(placed.groupBy("grp", "keys").agg(F.max("place").alias("place")))
+    open_ = written(placed.groupBy("grp", "keys").agg(F.max("place").alias("place")))
     found = []
     while not open_.isEmpty():
-        front = _written(open_.withColumn("at", at).where(F.col("at") <= most))
+        front = written(open_.withColumn("at", at).where(F.col("at") <= most))
         led = front.groupBy("grp").applyInPandas(lead, "grp string, at int").select(F.col("grp").alias("l_grp"), F.col("at").alias("l_at"))
         led = front.join(led, F.col("grp").eqNullSafe(F.col("l_grp")) & (F.col("at") == F.col("l_at"))).select("l_grp", F.col("place").alias("l_place"), F.col("keys").alias("l_keys"))
-        found.append(_written(led))
+        found.append(written(led))
         taken = F.col("grp").eqNullSafe(F.col("l_grp")) & ((alike("keys", "l_keys") >= least) | (F.col("keys") == F.col("l_keys")))
-        open_ = _written(open_.join(found[-1], taken, "left_anti"))
+        open_ = written(open_.join(found[-1], taken, "left_anti"))
     if not found:
         return placed.select("grp", "id", F.col("id").alias("leader"))
     leaders = reduce(DataFrame.union, found)

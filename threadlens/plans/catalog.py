@@ -147,6 +147,7 @@ RULES = [
     ]),
 ]
 
+#: Patterns that several cues share.
 AMOUNT = r"(\d{1,3}(?:,\d{3})+|\d+)\s*(원|만원)"
 OTP_NOUN = r"(인증번호|otp|오티피|승인\s*번호|승인번호|보안\s*코드|보안코드|확인\s*코드|확인코드|ars|2\s*단계\s*인증|6\s*자리|6자리)"
 OTP_SHARE = r"(보내|알려|전달|말해|읽어|불러|캡처|말씀)"
@@ -239,8 +240,21 @@ CUES = {
     "business": [r"(세금계산서|청구서|invoice|인보이스|거래처|견적서|발주서|정산|대금)"],
     "advice": [r"(좋대|추천|권장|제일\s*안전|가장\s*안전|공식\s*고객센터|고객센터\s*번호|문의하는\s*게|문의가\s*안전|안전하게)"],
     "advice_not": [r"(압류|출석|수사|검찰|경찰|기소|체포|고지|미납|체납|과태료|벌금|환급금|대출|선납|보험료)"],
+    "denial_after_link": [r"(신청\s*안\s*했|신청\s*한\s*적\s*없|한\s*적\s*없|누른\s*적\s*없|기억\s*없|모르겠|아닌데요|제가\s*아닌데|저\s*아닌데|왜\s*오죠)"],
+    "denial_after_otp": [r"(신청\s*안\s*했|신청\s*한\s*적\s*없|한\s*적\s*없|누른\s*적\s*없|기억\s*없|모르겠|아닌데요|제가\s*아닌데|저\s*아닌데|왜\s*오죠|분실\s*신고\s*안|분실\s*접수\s*안|내가\s*아닌|제가\s*아닌)"],
+    "otp_demand": [r"(인증번호|otp|오티피|확인\s*코드|보안\s*코드|6\s*자리|6자리|ars|2\s*단계\s*인증)"],
+    "it_support": [r"회사\s*it|it\s*지원|공식\s*원격|helpdesk|헬프데스크|사내\s*공지|공지"],
+    "now_word": [r"(지금|즉시|바로|긴급|마감|서둘)"],
+    "account_notice": [r"(비밀번호\s*재설정|계정\s*(보호|잠김|잠김\s*해제)|로그인\s*시도|다른\s*기기.{0,12}로그인|2\s*단계\s*인증|2fa|보안\s*경고)"],
+    "high_pay": [r"(고액|고수익|일당|당일\s*지급|건당|재택|부업|급구)"],
+    "self_ack": [r"(제가\s*한\s*건데|제가\s*한\s*거|제가\s*했|내가\s*했|내가\s*한|제가\s*바꿨|내가\s*바꿨|제가\s*변경|내가\s*변경|제가\s*설정\s*바꿨|제가\s*설정했|응\s*내가|맞아\s*내가|내가\s*결제했)"],
+    "benign_ack": [r"(확인\s*만|확인만|문제\s*없|정상|제가\s*아닌데|제가\s*한\s*적\s*없|한\s*적\s*없|접수\s*안\s*했|모르겠|아닌데요)"],
+    "explicit_pay": [r"(납부|송금|이체|입금|지불|충전|선납|보험료|안내\s*계좌|보호\s*계좌|안전\s*계좌|지정\s*계좌|상품권|문화\s*상품권|문상|핀\s*번호|pin|기프트\s*카드|gift\s*card|usdt|btc|eth|wallet|지갑\s*주소|trc20|erc20|바이낸스|업비트|빗썸)"],
+    "alert_thread": [r"(알림\s*설정|설정\s*변경|설정이\s*변경|설정\s*확인|결제\s*알림\s*설정|계좌\s*알림\s*설정|자동이체\s*등록|자동\s*이체\s*등록|다른\s*기기\s*로그인\s*시도\s*감지|로그인\s*시도\s*감지|접속\s*시도\s*감지)"],
+    "doc_lure": [r"(세금계산서|거래처|회계팀|인보이스|invoice|견적서|발주서|계약서|정산|반려|수정본|문서\s*(뷰어|viewer)|열람)"],
     "advice_action": [r"(링크|https?://|otp|인증번호|송금|이체|입금|납부|설치|원격|팀뷰어|anydesk|quicksupport)"],
 }
+#: What a turn that demands, and one that complies, looks like.
 DEMAND_PATTERNS = [r"입금해|송금해|이체해|결제해|납부해|지불해|충전해", r"설치해|다운받아|다운로드해|원격|팀뷰어|anydesk|quicksupport", r"(링크|url).*(클릭|눌러)|클릭.*(해|하세요)", r"지금\s*(바로|즉시)|긴급|오늘\s*안에|기한\s*내"]
 COMPLY_PATTERNS = [r"^\s*(네|예)\b", r"알겠|알겠습니다|확인했|확인했습니다|확인했어요", r"보냈|전송했|전송했습니다|보냈어요", r"입금했|송금했|이체했|결제했|납부했|충전했", r"설치했|다운받았|다운로드했|클릭했|눌렀", r"(인증번호|otp|오티피|승인\s*번호|보안\s*코드|비밀번호|계좌번호|카드번호|주민번호)"]
 
@@ -282,3 +296,22 @@ PREFILTER = {
 PREFILTER_BENEFIT_LINK = (18, r"(링크|url|주소|https?://|www\.|hxxp|\[\.\])")
 PREFILTER_BENEFIT_PII = (20, r"(계좌|카드|비밀번호|주민번호|신분증|본인\s*인증|로그인|인증번호|otp|오티피|입력|등록)")
 PREFILTER_SOFT, PREFILTER_AUTO, PREFILTER_LINES = 28, 52, 16
+
+#: Cues that are asked of the whole thread, whoever speaks.
+THREAD_CUES = (
+    "anti_verify", "otp_request", "code_request", "otp_entry", "business", "advice", "advice_not", "advice_action", "it_support", "now_word", "account_notice",
+    "high_pay", "self_ack", "benign_ack", "explicit_pay", "alert_thread", "doc_lure",
+)
+#: Labels of hosts that are a company's own.
+INTERNAL_HOST = r"(^|\.)(intranet|internal|corp|portal|servicenow|jira|confluence)(\.|$)"
+#: Flag -> identifiers of hits.
+RISK_FLAGS = {
+    "remote": ("remote", "call_remote"), "otp": ("otp", "call_otp", "ctx_otp_relay"), "first": ("call_first_contact",), "apk": ("apk", "url_download_ext", "install_app"),
+    "linked": ("link", "shortener", "link_mention", "ctx_profile_link_mention"), "installed": ("ctx_install_mention", "install_app", "apk", "remote", "url_download_ext"),
+    "mention": ("ctx_install_mention",), "demand": ("ctx_demand", "ctx_comply_after_demand", "ctx_otp_relay"), "otp_finance": ("ctx_otp_finance", "ctx_otp_proxy", "ctx_denial_after_otp"),
+    "pii": ("pii_request", "personalinfo"), "authority": ("authority",), "threat": ("threat",), "urgent": ("urgent", "call_urgent"),
+    "transfer": ("go_bank_atm", "transfer", "safe_account", "ctx_transfer_phrase"), "asked": ("ctx_payment_request", "ctx_pay_with_link"),
+    "transfer_demand": ("ctx_transfer_demand",), "cash": ("ctx_cash_pickup",), "visit": ("ctx_visit_place",), "alert": ("txn_alert",), "job": ("job_lure", "ctx_job_hook"),
+    "job_scam": ("ctx_job_scam",), "family": ("ctx_family_scam",), "invest": ("invest_lure", "ctx_investment_link"), "move": ("ctx_contact_move",), "secrecy": ("ctx_secrecy",),
+    "malicious": ("messenger_phishing", "url_malicious", "ctx_url_malicious"), "money": ("go_bank_atm", "safe_account", "ctx_transfer_phrase"), "called": ("call_otp", "call_remote"),
+}

@@ -187,7 +187,7 @@ def _rule_hits_sql() -> str:
 
 
 def _raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _turns(spark, sf_dir).select("thread_id", "ix", F.explode(an.rule_hits(F.col("text"))).alias("h"))
+    hits = _turns(spark, sf_dir).select("thread_id", "ix", F.explode(an.rule_hits("text")).alias("h"))
     order = {(r[0], r[1]): n for n, r in enumerate(cat.RULES)}
     place = F.create_map(*(F.lit(x) for (i, label), n in order.items() for x in (f"{i}|{label}", n)))
     return hits.select("thread_id", "ix", F.element_at(place, F.concat_ws("|", "h.rule_id", "h.label")).alias("ord"), "h.rule_id", "h.weight", "h.label", "h.stage", "h.matched")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, **extra: str) ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # where each expression was written is not kept: plans here are long
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("THREADLENS_DRIVER_MEMORY", "8g"))
@@ -29,3 +32,20 @@ def local_session(cores: str | int = "*", partitions: int = 8, **extra: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` in the checkpoint folder, without its lineage: it is worked out once, and a lost executor costs nothing. The folder is the cluster's
+    (`spark.checkpoint.dir`); one of this machine is made in local sessions alone."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="threadlens-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def sql_text(value: str) -> str:
+    """A string as a literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -28,7 +28,7 @@ def running_scores(turns: DataFrame, idle_minutes: int = 60 * 24 * 3) -> DataFra
 
     State is a counter for each rule, so it does not grow with a thread; it is dropped after `idle_minutes` without a turn.
     """
-    hits = turns.where("role <> 'R'").select(F.col("thread_id").cast("string").alias("thread_id"), "ix", F.to_json(F.transform(rule_hits(F.col("text")), lambda h: F.struct(h["rule_id"].alias("r"), h["weight"].alias("w")))).alias("hits"))
+    hits = turns.where("role <> 'R'").select(F.col("thread_id").cast("string").alias("thread_id"), "ix", F.to_json(F.transform(rule_hits("text"), lambda h: F.struct(h["rule_id"].alias("r"), h["weight"].alias("w")))).alias("hits"))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import json
