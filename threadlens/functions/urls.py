@@ -62,6 +62,11 @@ def extract_scored_urls(text: Column, most: int = 20) -> Column:
     return F.slice(F.array_distinct(schemed), 1, most)
 
 
+def inline_urls(text: Column) -> Column:
+    """URLs with a scheme as they are written."""
+    return _all(F.coalesce(text, F.lit("")), r"""(?i)\bhttps?://[^\s<>"')]+""")
+
+
 def protocol(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
 

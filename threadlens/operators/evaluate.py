@@ -62,3 +62,21 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of rows with equal keys the first by `order`; minima are aggregated before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+
+
+def highest_stage(stages: Column, order: tuple[str, ...] = ("info", "verify", "install", "payment")) -> Column:
+    """Of an array of stages the highest in `order`; the first of it without any."""
+    names = F.array(*(F.lit(x) for x in order))
+    best = F.array_max(F.transform(stages, lambda x: F.array_position(names, x).cast("int")))
+    return F.get(names, F.greatest(F.coalesce(best, F.lit(1)), F.lit(1)) - 1)
+
+
+def report_lines(hits: DataFrame, most: int = 8) -> DataFrame:
+    """`hits(thread_id, ix, rule_id, weight)` -> a report of each thread: how many messages have hits, and its heaviest rules."""
+    sums = hits.groupBy("thread_id", "rule_id").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    top = top_per_group(sums, ["thread_id"], [F.desc("w"), F.col("rule_id")], most)
+    line = F.concat(F.lit("- "), "rule_id", F.lit(" (+"), F.col("w").cast("long").cast("string"), F.lit(", "), F.col("n").cast("string"), F.lit(" hits)"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    body = top.groupBy("thread_id").agg(F.array_join(lines, "\n").alias("body"))
+    messages = hits.groupBy("thread_id").agg(F.countDistinct("ix").alias("m"))
+    return body.join(messages, "thread_id").select("thread_id", F.concat(F.lit("[Report]\n- messages with hits: "), F.col("m").cast("string"), F.lit("\n"), "body").alias("report"))
