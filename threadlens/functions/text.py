@@ -126,3 +126,107 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - common
     return F.when(union == 0, F.lit(0.0)).otherwise(1 - common / union)
+
+
+def marked_sender_lines(text: Column, by: str = " ") -> Column:
+    """The lines that begin with S:, as they are, joined."""
+    return F.array_join(F.filter(F.transform(lines_of(text), trim_all), lambda x: F.rlike(x, F.lit(r"^S:\s*"))), by)
+
+
+#: Fixed patterns: headers of a block's first line, first match first; the name's group takes one character, as the pattern has it.
+HEADERS = (
+    r"^\[\s*(?:오전|오후)?\s*\d{1,2}:\d{2}\s*\]\s*(.{1,40}?)(?::\s*)?(.*)$", r"^\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2}\s+(?:오전|오후)?\s*\d{1,2}:\d{2}\s+(.{1,40}?)(?::\s*)?(.*)$",
+    r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}\s+(.{1,40}?)(?::\s*)?(.*)$", r"^(?:오전|오후)?\s*\d{1,2}:\d{2}\s+(.{1,40}?)(?::\s*)?(.*)$",
+)
+
+
+def parsed_block(block: Column) -> Column:
+    """A struct of header, speaker and content of a block of lines: S: and R: first, then words for sender and receiver, then stamps with a name."""
+    raw = trim_all(F.regexp_replace(F.coalesce(block, F.lit("")), "\r\n", "\n"))
+    first = trim_all(F.regexp_extract(raw, r"^([^\n]*)", 1))
+    rest = F.regexp_extract(raw, r"(?s)^[^\n]*\n?(.*)\z", 1)
+    made = lambda header, who, after: F.struct(header.cast("string").alias("header"), who.alias("speaker"), trim_all(F.concat_ws("\n", F.nullif(trim_all(after), F.lit("")), F.nullif(rest, F.lit("")))).alias("content"))
+    part = lambda p, g: F.regexp_extract(first, p, g)
+    mark, word = r"(?i)^(S|R)\s*:\s*(.*)$", r"(?i)^(sender|receiver|발신|수신)\s*:\s*(.*)$"
+    out = F.when(F.rlike(first, F.lit(mark)), made(F.lit(None), F.upper(part(mark, 1)), part(mark, 2)))
+    out = out.when(F.rlike(first, F.lit(word)), made(F.lit(None), F.when(F.lower(part(word, 1)).isin("receiver", "수신"), "R").otherwise("S"), part(word, 2)))
+    for p in HEADERS:
+        out = out.when(F.rlike(first, F.lit(p)), made(first, F.nullif(trim_all(part(p, 1)), F.lit("")), part(p, 2)))
+    return out.otherwise(F.struct(F.lit(None).cast("string").alias("header"), F.lit(None).cast("string").alias("speaker"), raw.alias("content")))
+
+
+def caller_number(text: Column) -> Column:
+    """What stands in [발신 ...], as a number with hyphens where it is one; empty without it."""
+    inside = F.regexp_extract(F.coalesce(text, F.lit("")), r"\[\s*발신\s*([^\]]+?)\s*\]", 1)
+    three, two = r"(\d{2,4})\s*-\s*(\d{3,4})\s*-\s*(\d{3,4})", r"(\d{4})\s*-\s*(\d{4})"
+    joined = lambda p, n: F.concat_ws("-", *(F.regexp_extract(inside, p, i + 1) for i in range(n)))
+    rest = trim_all(F.regexp_replace(F.regexp_replace(inside, r"\s+", " "), r"\s*-\s*", "-"))
+    return F.when(inside.contains("발신번호표시제한"), "발신번호표시제한").when(F.rlike(inside, F.lit(three)), joined(three, 3)).when(F.rlike(inside, F.lit(two)), joined(two, 2)).otherwise(rest)
+
+
+def without_caller(text: Column) -> Column:
+    """The text without the first [발신 ...] after S: or at its start."""
+    raw = trim_all(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n"))
+    return trim_all(F.regexp_replace(raw, r"(?s)\A(.*?(?:\A|\bS:\s*))\[\s*발신[^\]]*\]\s*", "$1"))
+
+
+def masked_replies(text: Column) -> Column:
+    """The receiver's lines, and what follows them until the sender speaks again, as (reply)."""
+    lines = lines_of(text)
+    start = F.struct(F.lit(False).alias("reply"), F.array().cast("array<string>").alias("out"))
+    mark = r"(?i)^\s*([SR])\s*:"
+
+    def step(s: Column, line: Column) -> Column:
+        who = F.upper(F.regexp_extract(line, mark, 1))
+        reply = F.when(who == "", s["reply"]).otherwise(who == "R")
+        shown = F.when(who == "R", "R: (reply)").when(who == "S", line).when(s["reply"], "(reply)").otherwise(line)
+        return F.struct(reply.alias("reply"), F.array_append(s["out"], shown).alias("out"))
+
+    return F.array_join(F.aggregate(lines, start, step, lambda s: s["out"]), "\n")
+
+
+def once_in_a_row(lines: Column) -> Column:
+    """An array without elements that equal the one before."""
+    return F.filter(lines, lambda x, i: (i == 0) | (F.get(lines, i - 1) != x))
+
+
+#: Fixed patterns: lines of portal pages that are no text, and where its text begins and ends.
+PORTAL_DROP = r"(?i)^(네이버 연관채널 태그정보|본문으로 바로가기|메뉴열기|로그인|회원가입|기관소개|자주\s*묻는\s*질문|공지사항|보도자료|FAQ|예방\s*및\s*조치(\s*메뉴)?|알림[·.\s]*소식|목록)$"
+PORTAL_NOTE = r"^이\s*누리집은\s*대한민국\s*공식\s*전자정부\s*누리집입니다\.?$|이메일\s*주소가\s*자동\s*수집|정보통신망법|게시글\s*보기$"
+ATTACHMENT_DROP = r"^\[?\s*상세\s*방법\s*확인\s*\]?$|^게시글\s*보기$"
+JUNK_LINE = r"경찰청\s*누리집$|^.{0,21}누리집$|^(회원가입|로그인|공지사항|보도자료|목록|기관소개|자주묻는 질문)$|^.{0,13}게시글\s*보기$|^(서울특별시|부산광역시|대구광역시|인천광역시|광주광역시|대전광역시|울산광역시|세종특별자치시|경기도남부|경기도북부|강원|충북|충남|전북|전남|경북|경남|제주)\s*경찰청$|본\s*홈페이지에.*이메일\s*주소가\s*자동\s*수집.*거부"
+
+
+def _tidy_lines(text: Column) -> Column:
+    return F.filter(F.transform(lines_of(text), lambda x: trim_all(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+
+
+def portal_body(text: Column) -> Column:
+    """The text of a portal page: no menus, from the posting on, up to the footer."""
+    kept = once_in_a_row(F.filter(_tidy_lines(text), lambda x: ~F.rlike(x, F.lit(PORTAL_DROP))))
+    joined = F.array_join(kept, "\n")
+    body = F.regexp_replace(F.when(F.rlike(joined, F.lit(r"게시글\s*보기")), F.regexp_replace(joined, r"(?s)\A.*?((?:\A|(?<=\n))[^\n]*게시글\s*보기)", "$1")).otherwise(joined), r"(?s)(\A|\n)[^\n]*경찰청\s*누리집.*\z", "")
+    return F.array_join(F.filter(F.split(body, "\n"), lambda x: (x != "") & ~F.rlike(x, F.lit(PORTAL_NOTE))), "\n")
+
+
+def attachment_body(text: Column) -> Column:
+    """The text of an attachment without blank lines, repeats in a row and buttons."""
+    return F.array_join(F.filter(once_in_a_row(_tidy_lines(text)), lambda x: ~F.rlike(x, F.lit(ATTACHMENT_DROP))), "\n")
+
+
+def example_lines(lines: Column, most: int = 6, size: int = 240) -> Column:
+    """The lines that say something, each once, of `size` characters at most."""
+    tidy = F.filter(F.transform(lines, lambda x: trim_all(F.regexp_replace(x, r"\s+", " "))), lambda x: (x != "") & ~F.rlike(x, F.lit(JUNK_LINE)))
+    return F.slice(F.array_distinct(F.transform(tidy, lambda x: shortened(x, size, "…"))), 1, most)
+
+
+#: Fixed pattern: mobile and internet numbers, with or without country code and hyphens.
+PERSONAL_PHONE = r"(?:\+?82\s*)?0?(?:1[016789]|70)[\s-]?\d{3,4}[\s-]?\d{4}"
+
+
+def personal_phones(text: Column, most: int = 6) -> Column:
+    """Personal numbers, each once, with hyphens."""
+    digits = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PERSONAL_PHONE), F.lit(0)), lambda x: F.regexp_replace(F.regexp_replace(x, r"[^\d]", ""), "^82", "0"))
+    whole = F.transform(F.filter(digits, lambda x: F.rlike(x, F.lit(r"^0*(1[016789]|70)\d{7,8}$"))), lambda x: F.concat(F.lit("0"), F.regexp_replace(x, "^0+", "")))
+    shown = lambda x: F.regexp_replace(x, r"^(\d{3})(\d{3,4})(\d{4})$", "$1-$2-$3")
+    return F.slice(F.transform(F.array_distinct(whole), shown), 1, most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import java_pattern, trim_all
@@ -133,3 +133,129 @@ def url_feature_hits(text: Column, urls: Column) -> Column:
     ]
     hits = [F.when(F.size(m) > 0, F.struct(F.lit(i).alias("rule_id"), F.lit(label).alias("label"), F.lit(stage).alias("stage"), (F.lit(float(w)) * F.least(F.lit(2), F.size(m))).alias("weight"), m.alias("matched"))) for i, label, stage, w, m in features]
     return F.array_compact(F.array(*hits))
+
+
+#: Fixed lists: words that a bank's host has, keys that name a further address, what only stands for a bank in general.
+BANK_TOKENS = (
+    "kbstar", "wooribank", "shinhan", "kebhana", "hanabank", "ibk", "nonghyup", "nh", "sc", "citibank", "busanbank", "knbank", "imbank", "dgb", "jbbank", "kjbank",
+    "jejubank", "kakaobank", "tossbank", "kbanknow",
+)
+REDIRECT_KEYS = ("url", "u", "r", "redirect", "redirect_url", "redirecturl", "return", "returnurl", "continue", "next", "target")
+GENERIC_TAILS = ("bank", "card", "pay", "help", "info", "site")
+
+
+def _trimmed_tail(url: Column) -> Column:
+    return F.regexp_replace(F.trim(url), r"""[)\],.?!'"`}>]+\z""", "")
+
+
+def plain_url(raw: Column) -> Column:
+    """A URL as it is meant: without closing marks, with what hides it undone, and with a scheme where it has a host."""
+    u = _trimmed_tail(raw)
+    u = F.regexp_replace(u, r"(?i)\bhxxp(s?)\s*(?:\[:\]|:)\s*//", "http$1://")
+    u = F.regexp_replace(u, r"(?i)\b(https?)\s*(?:\[:\]|:)\s*//", "$1://")
+    u = F.trim(F.regexp_replace(F.regexp_replace(u, r"\[\.\]|\(\.\)|\{\.\}", "."), r"(?i)&colon;|&#58;", ":"))
+    # through an array of one, so that what undoes the hiding is worked out once
+    named = lambda x: F.when(F.rlike(x, F.lit("(?i)^https?://")), x).when(F.rlike(x, F.lit(r"(?i)^www\.|\.[a-z]{2,}([/?#]|\z)")), F.concat(F.lit("https://"), x)).otherwise(x)
+    return F.get(F.transform(F.array(u), named), F.lit(0))
+
+
+#: Fixed patterns: addresses as they are written to pass filters.
+LOOSE = (
+    r"(?i)https?://[^\s)]+", r"(?i)\bwww\.[^\s)]+", r"(?i)\bhxxps?://[^\s)]+", r"(?i)\b(?:https?|hxxps?)\s*(?:\[:\]|:)\s*//[^\s)]+",
+    r"(?i)\b[a-z0-9-]+(?:\[\.\]|\(\.\)|\{\.\})[a-z0-9-]+(?:\[\.\]|\(\.\)|\{\.\})?[a-z0-9.-]*[^\s)]+", r"(?i)\b(?:[a-z0-9-]+\.)+[a-z]{2,24}(?:/[^\s)]*)?\b",
+)
+
+
+def loose_urls(text: Column, most: int = 12) -> Column:
+    """URLs with or without scheme, hidden ones among them, made plain; first seen first."""
+    t = F.coalesce(text, F.lit(""))
+    found = F.transform(F.concat(*(_all(t, p) for p in LOOSE)), lambda x: _trimmed_tail(plain_url(x)))
+    return F.slice(F.array_distinct(F.filter(found, lambda x: x != "")), 1, most)
+
+
+def markdown_links(text: Column, most: int = 10) -> Column:
+    """[label](address) as structs of text and href."""
+    pattern = r"\[([^\]]{1,120})\]\((https?://[^\s)]+)\)"
+    part = lambda g: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(g))
+    return F.slice(F.transform(F.arrays_zip(part(1), part(2)), lambda x: F.struct(F.trim(x["0"]).alias("text"), _trimmed_tail(x["1"]).alias("href"))), 1, most)
+
+
+def redirect_target(url: Column) -> Column:
+    """The address that a URL's query hands on, of the keys in their order the first; empty without one."""
+    pattern = F.lit(rf"(?i)[?&]({'|'.join(REDIRECT_KEYS)})=([^&#]*)")
+    keys = F.array(*(F.lit(k) for k in REDIRECT_KEYS))
+    decoded = lambda v: F.coalesce(F.try_url_decode(v), v)
+    pairs = F.arrays_zip(F.regexp_extract_all(url, pattern, F.lit(1)), F.regexp_extract_all(url, pattern, F.lit(2)))
+    values = F.transform(pairs, lambda x: F.struct(F.array_position(keys, F.lower(x["0"])).alias("at"), decoded(decoded(x["1"])).alias("value")))
+    onward = F.array_sort(F.filter(values, lambda x: F.rlike(x["value"], F.lit(r"(?i)^(https?|hxxps?|www\.)"))))
+    return F.coalesce(plain_url(F.get(onward, F.lit(0))["value"]), F.lit(""))
+
+
+def redirect_chain(df: DataFrame, url_col: str, hops: int = 5) -> DataFrame:
+    """Adds `chain`, the addresses from `url_col` on along what queries hand on, `hops` at most, ending before one that was there."""
+    out = df.withColumn("chain", F.array(plain_url(F.col(url_col)))).withColumn("__last", F.get("chain", F.lit(0)))
+    for _ in range(hops - 1):
+        out = out.withColumn("__next", F.when(F.col("__last") == "", "").otherwise(redirect_target(F.col("__last"))))
+        fresh = (F.col("__next") != "") & ~F.array_contains("chain", F.col("__next"))
+        out = out.withColumns({"chain": F.when(fresh, F.array_append("chain", F.col("__next"))).otherwise(F.col("chain")), "__last": F.when(fresh, F.col("__next")).otherwise(F.lit(""))})
+    return out.drop("__last", "__next")
+
+
+def brand_token(host_: Column) -> Column:
+    """The first bank word in a host: short ones as a whole label or a part of one between hyphens, others within a label too; null without one."""
+    labels = F.filter(F.split(host_, r"\."), lambda x: x != "")
+    parts = F.flatten(F.transform(labels, lambda x: F.split(x, "-")))
+    joined = F.concat_ws(" ", labels)
+    return F.coalesce(*(F.when(F.array_contains(parts, t) | (joined.contains(t) if len(t) > 3 else F.lit(False)), t) for t in BANK_TOKENS))
+
+
+def base_label(host_: Column) -> Column:
+    """The first label, of letters, digits and hyphens."""
+    return F.regexp_replace(F.coalesce(F.get(F.filter(F.split(F.lower(host_), r"\."), lambda x: x != ""), F.lit(0)), F.lit("")), "[^a-z0-9-]", "")
+
+
+def named_host(host_: Column) -> Column:
+    """A struct of a host, its domain and its domain's first label: what the tests below ask for again and again is worked out once."""
+    rooted = F.get(F.transform(F.array(host_), lambda h: F.struct(h.alias("host"), registrable_domain(h).alias("root"))), F.lit(0))
+    return F.get(F.transform(F.array(rooted), lambda x: F.struct(x["host"].alias("host"), x["root"].alias("root"), base_label(x["root"]).alias("label"), base_label(x["host"]).alias("own"))), F.lit(0))
+
+
+def looks_like_official(named: Column, official: tuple[str, ...] = OFFICIAL_HOSTS) -> Column:
+    """`named` is a host as `named_host` gives it. Whether one that is not official is one or two letters off an official one, in its domain or in its first label: the nearest decides. Without a list
+    of official hosts, the bank words of five letters and more decide."""
+    root, label = named["root"], named["label"]
+    near = []
+    for n, o in enumerate(official):
+        own = o.split(".")[0]
+        by_root, by_label = F.levenshtein(root, F.lit(o)), F.when(label != "", F.levenshtein(label, F.lit(own))).otherwise(99)
+        gap = F.when(by_label < by_root, F.abs(F.length(label) - len(own))).otherwise(F.abs(F.length(root) - len(o)))
+        near.append(F.struct(F.least(by_root, by_label).alias("d"), F.lit(n).alias("n"), gap.alias("gap")))
+    for n, t in enumerate(() if official else BANK_TOKENS):
+        if len(t) >= 5 and not (len(t) >= 6 and t[-4:] in GENERIC_TAILS):
+            close = F.levenshtein(label, F.lit(t))
+            near.append(F.struct((F.when(label.endswith(t[-4:]), close).otherwise(99) if len(t) >= 6 else close).alias("d"), F.lit(n).alias("n"), F.abs(F.length(label) - len(t)).alias("gap")))
+    close = F.get(F.transform(F.array(F.array_min(F.array(*near))), lambda best: best["d"].between(1, 2) & (best["gap"] <= 2)), F.lit(0))
+    return ~is_under(named["host"], official) & close if official else close
+
+
+def looks_like_brand(named: Column, claims: Column) -> Column:
+    """Whether a host's first label is one letter off a bank word, or two where the text claims to be a bank."""
+    label = named["own"]
+    out = F.lit(False)
+    for t in BANK_TOKENS:
+        if len(t) > 3:
+            d, gap = F.levenshtein(label, F.lit(t)), F.abs(F.length(label) - len(t))
+            out = out | F.when(claims, d.between(1, 2) & (gap <= 2)).otherwise((d == 1) & (gap <= 1))
+    return (label != "") & out
+
+
+def variant_url(domain: Column, seed: Column) -> Column:
+    """A made address like an official one, by the seed: itself, two letters swapped, one dropped, one doubled, or letters that look alike."""
+    n = F.length(F.regexp_extract(domain, r"^([^.]*)", 1))
+    at = F.pmod(F.xxhash64(seed, domain), F.greatest(n - 1, F.lit(1))).cast("int")
+    head, tail = F.substring(domain, F.lit(1), at), lambda k: F.substring(domain, at + 1 + k, F.length(domain))
+    one, two = F.substring(domain, at + 1, F.lit(1)), F.substring(domain, at + 2, F.lit(1))
+    alike = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(domain, "rn", "m"), "vv", "w"), "o", "0"), "l", "1")
+    kind = F.pmod(F.xxhash64(domain, seed), F.lit(5))
+    made = F.when(kind == 0, domain).when(kind == 1, F.concat(head, two, one, tail(2))).when(kind == 2, F.concat(head, tail(1))).when(kind == 3, F.concat(head, one, one, tail(1))).otherwise(alike)
+    return F.concat(F.lit("https://"), made)

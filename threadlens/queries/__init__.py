@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlens.queries import decisions  # noqa: F401  registers its queries
+from threadlens.queries import decisions, engineering  # noqa: F401  these register their queries
 from threadlens.queries.tables import QUERIES, SQL, flagship
 
 
