@@ -165,10 +165,23 @@ def test_forward_sums_all_segmentations():
 
     words = ["▁aba", "▁abba", "b", "▁xab", "▁abababab"]
     assert np.allclose(np.exp(lattice.log_likelihood(words, p)), [[total(w, 0), total(w, 1)] for w in words])
-    expected = lattice.expected(words, np.ones(5), p[:, 0])
+    expected, likelihood = lattice.expected(words, np.ones(5), p[:, 0])
+    assert np.isclose(likelihood, lattice.log_likelihood(words, p)[:, 0].sum())
+    # the slope of the likelihood along the logarithm of a probability is what is expected of the piece
+    for k in range(8):
+        more = p.copy()
+        more[k] *= 1.0001
+        assert np.isclose((lattice.log_likelihood(words, more) - lattice.log_likelihood(words, p))[:, 0].sum() / np.log(1.0001), expected[k], rtol=1e-3, atol=1e-6)
     assert np.isclose(sum(expected[i] * len(x) for i, x in enumerate(pieces)) + expected[-1], sum(map(len, words)))
 
 
+def test_words_are_letters_of_any_length():
+    assert [w for t in language.tokens_of("½ ² Ⅷ x½y") for w in language.words_in(t)] == ["▁x", "▁y"]
+    lattice = language.Lattice(["▁a", "b"])
+    long = lattice.log_likelihood(["▁" + "qb" * 5000], np.array([[0.1, 0.2], [0.3, 0.2], [1e-15, 1e-14]]))[0]
+    assert np.isfinite(long).all() and np.allclose(long, [np.log(1e-15) * 5001 + np.log(0.3) * 5000, np.log(1e-14) * 5001 + np.log(0.2) * 5000])
+
+
 def test_language_held_out(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     held = [r for r in registered.op3_language(spark, SF).collect() if r.held_out]
@@ -248,13 +261,16 @@ def test_best_fit_is_tightest():
 def test_packing_query(spark, documents):
     info = {r.doc_id: (r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in documents.collect()}
     got = registered.op5_packing(spark, SF).collect()
-    size, rests = collections.Counter(), collections.defaultdict(list)
+    texts = {r.doc_id: tuple((r.text or "").lower().split()) for r in documents.collect()}
+    size, rests, clusters = collections.Counter(), collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
         size[r.doc_id] += r.n_tokens
         if r.n_tokens < 2048:
             rests[r.bin_id].append(info[r.doc_id][0])
+            clusters[r.bin_id].append(texts[r.doc_id])
         assert r.bin_tokens <= 2048
     assert size == {d: n for d, (_, n) in info.items()} and all(len(x) == len(set(x)) for x in rests.values())
+    assert all(len(x) == len(set(x)) for x in clusters.values())
 
 
 def test_packing_odd_rows(table, nothing):
@@ -306,25 +322,48 @@ def test_quality_query(spark, texts):
         assert tuple(r[1:6]) == n and r.base_failed == failed and not (failed and r.kept)
 
 
+def least_determinant(rows, rule):
+    """Centre and covariance of one group, by numpy: three starts, steps until nothing changes, the least determinant."""
+    floors, scale, k = np.array(list(quality.FLOORS.values()), float), quality.consistency(rule.support, rows.shape[1]), rows.shape[1]
+    middle = np.sort(rows, axis=0)[(len(rows) + 1) // 2 - 1].astype(float)
+    mad = np.sort(np.abs(rows - middle), axis=0)[(len(rows) + 1) // 2 - 1]
+    spread = np.sqrt((1.4826 * mad) ** 2 + floors**2)
+    bent = np.rint(1000 * np.tanh((rows - middle) / spread))
+    dev = np.cov(bent.T, bias=True) + 1000 * np.eye(k)
+    like = dev / np.sqrt(np.outer(np.diag(dev), np.diag(dev)))
+    starts = [(middle, np.diag(spread**2)), (rows.mean(axis=0), np.cov(rows.T, bias=True) + np.diag(floors**2)), (middle, like * np.outer(spread, spread))]
+    found = []
+    for centre, cov in starts:
+        for _ in range(rule.steps):
+            d2 = np.einsum("ij,jk,ik->i", rows - centre, np.linalg.inv(cov), rows - centre)
+            band = np.floor(np.log(1 + d2) * 100)
+            chosen = rows[band <= np.sort(band)[int(np.ceil(rule.support * len(rows))) - 1]]
+            before, centre, cov = centre, chosen.mean(axis=0), scale * np.cov(chosen.T, bias=True) + np.diag(floors**2)
+            if np.array_equal(before, centre):
+                break
+        found.append((np.linalg.slogdet(cov)[1], centre, cov))
+    return min(found, key=lambda x: x[0])[1:]
+
+
 def test_outliers_like_numpy(spark):
     rng = np.random.default_rng(0)
     names = list(quality.FLOORS)
-    rows = np.rint(rng.normal(500, 100, (400, 5)) @ np.array([[1, 0.3, 0, 0, 0], [0, 1, 0, 0, 0.2], [0, 0, 1, 0, 0], [0, 0, 0, 1, 0], [0, 0, 0, 0, 1]])).astype(int)
-    rows[:60] += 5000
+    rows = np.rint(rng.normal(500, 100, (400, 6)) @ (np.eye(6) + 0.3 * np.eye(6, k=1))).astype(int)
+    rows[:90] += rng.integers(1500, 2500, (90, 6))
     stats = spark.createDataFrame([("en", "s", *map(int, r)) for r in rows], "lang string, source string, " + ", ".join(f"{n} long" for n in names))
     m = quality.estimates(stats).first()
-    rule, floors, scale = quality.OutlierRule(), np.diag([f**2 for f in quality.FLOORS.values()]), 1.0
-    chosen = rows
-    for step in range(rule.steps + 1):
-        centre = chosen.mean(axis=0)
-        cov = (1 if not step else quality.consistency(rule.support, 5)) * ((chosen.T @ chosen) / len(chosen) - np.outer(centre, centre)) + floors
-        d2 = np.einsum("ij,jk,ik->i", rows - centre, np.linalg.inv(cov), rows - centre)
-        band = np.floor(np.log(1 + d2) * 100)
-        edge = np.sort(band)[int(np.ceil(rule.support * len(rows))) - 1]
-        chosen = rows[band <= edge]
-    assert np.allclose([m[f"m_{n}"] for n in names], centre) and centre.max() < 1200
+    centre, cov = least_determinant(rows, quality.OutlierRule())
+    assert np.allclose([m[f"m_{n}"] for n in names], centre) and centre.max() < 900
     low = np.linalg.cholesky(cov)
-    assert np.allclose([m[f"l_{a}_{b}"] for a, b in quality._pairs()], [low[i, j] for i in range(5) for j in range(i + 1)])
+    assert np.allclose([m[f"l_{a}_{b}"] for a, b in quality._pairs()], [low[i, j] for i in range(6) for j in range(i + 1)])
+
+
+def test_planted_junk_is_rejected(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(rng.randint(40, 200)))
+    rows = [(i, text(), "en", f"s{i % 4}") for i in range(300)] + [(1000 + i, " ".join("#" * rng.randint(1, 9) + rng.choice(WORDS) + "%&" for _ in range(80)), "en", f"s{i % 4}") for i in range(12)]
+    got = {r.doc_id: r.kept for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[1000 + i] for i in range(12)) and sum(not got[i] for i in range(300)) <= 3
 
 
 def test_quality_odd_rows(table, nothing):
@@ -389,11 +428,10 @@ def test_overlaps_query_finds_all_exact(spark, texts):
     assert want <= {r.doc_id for r in registered.op9_decontamination(spark, SF).collect()}
 
 
-def test_overlaps_without_broadcast(spark, table, nothing, monkeypatch):
+def test_overlaps_without_broadcast(spark, table, nothing):
     bench = spark.createDataFrame([(1, " ".join(LONG.split()[100:140]))], "item_id long, text string")
     one = sorted(map(tuple, decontaminate.overlaps(table, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
-    assert sorted(map(tuple, decontaminate.overlaps(table, bench).collect())) == one and {x[0] for x in one} == {5, 6}
+    assert sorted(map(tuple, decontaminate.overlaps(table, bench, broadcast_bytes=0).collect())) == one and {x[0] for x in one} == {5, 6}
     assert decontaminate.overlaps(nothing, bench).count() == 0 and decontaminate.overlaps(table, bench.limit(0)).count() == 0
 
 

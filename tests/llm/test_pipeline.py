@@ -2,7 +2,8 @@
 
 import re
 
-from tests.llm.test_operators import SF, counts, fingerprint, groups, base_spans
+from tests.llm.test_operators import SF, base_spans, counts
+from tests.llm.test_similar import survivors
 
 import corpus_pipeline as cp
 
@@ -22,8 +23,7 @@ def test_stages(spark, tmp_path):
                 c = counts(before[d].text)
                 assert c[0] >= 20 and 100 * c[4] <= 30 * c[0]
         elif name == "near_duplicates":
-            fps = {d: fingerprint(r.text) for d, r in before.items()}
-            assert set(after) == set(groups(fps, lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2).values())
+            assert set(after) == survivors({d: r.text for d, r in before.items()})
         elif name == "secret_scan":
             assert set(after) == set(before) and not any(base_spans(r.text) for r in after.values()) and all(r.n_chars == len(r.text) for r in after.values())
             assert all(after[d].text == r.text for d, r in before.items() if not base_spans(r.text) and "<secret>" not in after[d].text)
