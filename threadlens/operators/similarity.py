@@ -34,13 +34,14 @@ def unit(vector: Column) -> Column:
 def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 5, least: float = -1.0, block: int = BLOCK) -> DataFrame:
     """The k rows most similar to each query by cosine, itself excluded: (query_id, id, sim, rank), sim to 6 decimals, ties by id.
 
-    Queries are a stated set, taken `block` at a time, so what a task holds is bounded; each block is multiplied with every batch of rows, and
-    a batch leaves k rows for each query, before the shuffle. Null and empty vectors are left out.
+    Queries are a stated set, taken `block` at a time, so what the driver and a task hold is bounded; each block is multiplied with every batch of rows, a
+    batch leaves k rows for each query before the shuffle, and a block's result is written before the next is taken. Null and empty vectors are left out.
     """
     keyed = lambda d: d.where(F.size(vector_col) > 0).select(F.col(id_col).cast("long").alias("id"), unit(F.col(vector_col)).alias("v"))
-    asked = keyed(queries)
+    asked = written(keyed(queries))
     blocks = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    at = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     found = []
     for b in range(blocks):
         part = asked.where(F.col("block") == b).select("id", "v").toPandas()
@@ -59,11 +60,11 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k:
                     order = order[(own[order] != ids[q]) & (sims[order, q] >= least)][:k]
                     yield pd.DataFrame({"query_id": ids[q], "id": own[order], "sim": sims[order, q]})
 
-        found.append(keyed(rows).mapInPandas(multiply, "query_id long, id long, sim double"))
+        near = keyed(rows).mapInPandas(multiply, "query_id long, id long, sim double")
+        found.append(written(near.withColumn("rank", at).where(F.col("rank") <= k)))
     if not found:
-        found = [keyed(rows).limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim"))]
-    at = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
-    return reduce(DataFrame.union, found).withColumn("rank", at).where(F.col("rank") <= k)
+        found = [keyed(rows).limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim"), F.lit(1).alias("rank"))]
+    return reduce(DataFrame.union, found)
 
 
 def hashed_trigrams(df: DataFrame, id_col: str, text: Column, dims: int = 64) -> DataFrame:

@@ -266,7 +266,7 @@ def prefilter_gate(spark, sf_dir):
     return p.select("thread_id", "score", "action", F.array_join("signal_ids", ",").alias("signals"), "n_urls", "gate_pass")
 
 
-_PF = {i: v for i, v in cat.PREFILTER.items() if i not in ()}
+_PF = cat.PREFILTER
 _PF_SQL = " UNION ALL ".join(f"SELECT thread_id, ix, {n} AS ord, '{i}' AS id, {p} AS points FROM t WHERE regexp_matches(lower(text), '{pattern.replace(chr(39), chr(39) * 2)}')" for n, (i, (p, pattern)) in enumerate(_PF.items()))
 
 
@@ -409,8 +409,9 @@ p AS (SELECT a.conv_id, a.turn, len(list_intersect(a.g, b.g)) AS common, len(a.g
 SELECT conv_id, turn, round(CASE WHEN total - common = 0 THEN 0.0 ELSE 1 - common::DOUBLE / (total - common) END, 6) AS distance FROM p""")
 def sim_trigram_jaccard(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.trigrams(F.col("text")).alias("g"))
-    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("g").alias("b"))
-    return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(tx.jaccard_distance(F.col("g"), F.col("b")), 6).alias("distance"))
+    at = W.partitionBy("conv_id").orderBy("turn")
+    c = c.select("*", F.lag("turn").over(at).alias("t"), F.lag("g").over(at).alias("b")).where("t = turn - 1")
+    return c.select("conv_id", "turn", F.round(tx.jaccard_distance(F.col("g"), F.col("b")), 6).alias("distance"))
 
 
 @query()
