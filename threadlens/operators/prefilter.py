@@ -28,9 +28,9 @@ def text_signals(text: Column) -> Column:
     return _points(rows)
 
 
-def url_signals(urls: str) -> Column:
-    """Signals of the column named `urls`, an array of URLs with schemes."""
-    n, hosts = F.size(urls), F.array_distinct(F.transform(urls, host))
+def url_signals(urls: str, hosts: str) -> Column:
+    """Signals of the columns named: `urls`, an array of URLs with schemes, and `hosts`, their distinct hosts."""
+    n = F.size(urls)
     any_host = lambda test: F.exists(hosts, test)
     any_url = lambda test: F.exists(urls, test)
     ending = lambda u: F.exists(F.array(*(F.lit(e) for e in DOWNLOAD_ENDINGS)), lambda e: F.regexp_extract(path_and_query(u), r"^([^?]*)", 1).endswith(e))
@@ -64,10 +64,9 @@ GLOBAL_HINTS = (
 CONTEXT = "struct<is_saved_contact:boolean,copy_url:int,open_url:int,install_click:int,link_candidates:array<struct<text:string,href:string>>,final_url:string,hops:int,error:string>"
 
 
-def named_hosts(urls: str) -> Column:
-    """The distinct hosts of the column `urls` as structs, with their bank word."""
-    hosts = F.array_distinct(F.filter(F.transform(urls, host), lambda h: h != ""))
-    return F.transform(hosts, lambda h: F.struct(named_host(h).alias("n"), brand_token(h).alias("brand")))
+def named_hosts(hosts: str) -> Column:
+    """The hosts of the column named as structs, with their bank word."""
+    return F.transform(F.filter(hosts, lambda h: h != ""), lambda h: F.struct(named_host(h).alias("n"), brand_token(h).alias("brand")))
 
 
 def bank_signals(urls: str, hosts: str, text: str) -> Column:
@@ -139,10 +138,11 @@ def prefilter(threads: DataFrame, lines: int = cat.PREFILTER_LINES) -> DataFrame
     context = F.col("context") if "context" in threads.columns else F.lit(None)
     t = threads.select("thread_id", F.coalesce("text", F.lit("")).alias("whole"), context.cast(CONTEXT).alias("c"))
     t = t.select("*", F.array_join(recent_lines(F.col("whole"), lines), "\n").alias("window"))
-    t = t.withColumn("urls", loose_urls(F.col("window"))).withColumn("hosts", named_hosts("urls"))
+    t = t.withColumn("urls", loose_urls(F.col("window"))).withColumn("host_names", F.array_distinct(F.transform("urls", host)))
+    t = t.withColumn("hosts", named_hosts("host_names"))
     links = F.slice(F.concat(markdown_links(F.col("window")), F.coalesce("c.link_candidates", F.array().cast("array<struct<text:string,href:string>>"))), 1, 12)
     shown = _points([("pf_url_display_mismatch", 34, display_mismatch(links)), ("pf_url_bare_link", 22, bare_link(F.col("window"), F.col("urls")))])
-    t = t.withColumn("signals", F.concat(url_signals("urls"), bank_signals("urls", "hosts", "window"), text_signals(F.col("window")), context_signals("c"), shown))
+    t = t.withColumn("signals", F.concat(url_signals("urls", "host_names"), bank_signals("urls", "hosts", "window"), text_signals(F.col("window")), context_signals("c"), shown))
     has_url = F.size("urls") > 0
     opened = F.coalesce(F.col("c.open_url"), F.lit(0)) > 0
     acted = (F.coalesce(F.col("c.copy_url"), F.lit(0)) + F.coalesce(F.col("c.install_click"), F.lit(0))) > 0

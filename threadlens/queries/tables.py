@@ -15,7 +15,7 @@ from threadlens.operators import prefilter as pf
 from threadlens.operators import similarity as si
 from threadlens.plans import catalog as cat
 from threadlens.queries.templates import threads, threads_sql
-from threadlens.session import table
+from threadlens.session import table, written
 from threadlens.streaming import live
 
 QUERIES: dict = {}
@@ -187,7 +187,9 @@ def _rule_hits_sql() -> str:
 
 
 def _raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _turns(spark, sf_dir).select("thread_id", "ix", F.explode(an.rule_hits("text")).alias("h"))
+    turns = _turns(spark, sf_dir)
+    found = written(turns.select("text").distinct().select("text", an.rule_hits("text").alias("hits")).where(F.size("hits") > 0))
+    hits = turns.join(found, "text").select("thread_id", "ix", F.explode("hits").alias("h"))
     order = {(r[0], r[1]): n for n, r in enumerate(cat.RULES)}
     place = F.create_map(*(F.lit(x) for (i, label), n in order.items() for x in (f"{i}|{label}", n)))
     return hits.select("thread_id", "ix", F.element_at(place, F.concat_ws("|", "h.rule_id", "h.label")).alias("ord"), "h.rule_id", "h.weight", "h.label", "h.stage", "h.matched")
