@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
 #: Every so many positions forward and backward values are scaled; a character outside of all pieces costs about 1e-15 at most.
 SCALED = 8
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 SMOOTHING = 0.05
 
 
@@ -42,15 +43,14 @@ def vocabulary(path: str) -> list[str]:
     return [p for p in pieces if LETTERS.fullmatch(p.removeprefix(START))]
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased, each with the mark of a word's start."""
-    if not text:
-        return []
-    # the first pattern is quick and takes some numerals for letters; few words need the second
-    found = WORD.findall(text.lower())
-    if all(map(str.isalpha, found)):
-        return [START + w for w in found]
-    return [START + x for w in found for x in ([w] if w.isalpha() else LETTERS.findall(w))]
+def tokens_of(text: str | None) -> list[str]:
+    """Runs of letters, and of some numerals that are much like them, lower-cased."""
+    return WORD.findall(text.lower()) if text else []
+
+
+def words_in(token: str) -> list[str]:
+    """The runs of letters in a token, each with the mark of a word's start."""
+    return [START + x for x in ([token] if token.isalpha() else LETTERS.findall(token))]
 
 
 class Lattice:
@@ -174,6 +174,12 @@ class Lattice:
         return out, total
 
 
+@lru_cache(2)
+def lattice_of(pieces: tuple[str, ...]) -> Lattice:
+    """The lattice of a vocabulary, built once in each worker."""
+    return Lattice(list(pieces))
+
+
 @dataclass
 class Model:
     pieces: list[str]
@@ -186,7 +192,7 @@ class Training:
     """steps: most steps of expectation and maximisation; they end before if the log-likelihood grows by less than the share `gain`."""
 
     steps: int = 6
-    gain: float = 0.002
+    gain: float = 0.015
 
 
 def count_words(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -197,12 +203,14 @@ def count_words(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
         def settle() -> Iterator[pd.DataFrame]:
             for lang, c in held.items():
-                yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())}, columns=["lang", "word", "n"])
+                rows = [(w, n) for token, n in c.items() for w in words_in(token)]
+                if rows:
+                    yield pd.DataFrame({"lang": lang, "word": [r[0] for r in rows], "n": [r[1] for r in rows]}, columns=["lang", "word", "n"])
             held.clear()
 
         for part in parts:
             for lang, text in zip(part["lang"], part["text"]):
-                held.setdefault(lang, Counter()).update(words_of(text))
+                held.setdefault(lang, Counter()).update(tokens_of(text))
                 if sum(map(len, held.values())) > REMEMBERED:
                     yield from settle()
         yield from settle()
@@ -227,12 +235,21 @@ def learn(df: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col:
         table = {lang: p[:, k] for k, lang in enumerate(languages)}
 
         def expect(parts: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
-            lattice = Lattice(pieces)
+            lattice = lattice_of(tuple(pieces))
             total: dict[str, np.ndarray] = {}
-            for part in parts:
-                for lang, own in part.groupby("lang"):
+            held: list[pd.DataFrame] = []
+
+            def settle() -> None:  # many words at a time: arrays of words of one length are to be long
+                for lang, own in pd.concat(held).groupby("lang") if held else ():
                     counts, likelihood = lattice.expected(own["word"].tolist(), own["n"].to_numpy(float), table[lang])
                     total[lang] = total.get(lang, 0) + np.append(counts, likelihood)
+                held.clear()
+
+            for part in parts:
+                held.append(part)
+                if sum(map(len, held)) >= 1 << 17:
+                    settle()
+            settle()
             for lang, x in total.items():
                 some = np.flatnonzero(x)
                 yield pd.DataFrame({"lang": lang, "piece": some, "n": x[some]})
@@ -255,22 +272,27 @@ def identify(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(pieces)
+        lattice = lattice_of(tuple(pieces))
+        # a token's row; the first row is that of tokens without a letter
         place: dict[str, int] = {}
-        known = np.zeros((0, len(languages)))
+        known = np.zeros((1, len(languages)))
         for texts in batches:
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            for at in range(0, len(texts), 500):
-                split = [words_of(t) for t in texts.iloc[at : at + 500]]
+            for at in range(0, len(texts), 2500) if languages else ():
+                split = [tokens_of(t) for t in texts.iloc[at : at + 2500]]
                 if len(place) > REMEMBERED:
-                    place, known = {}, known[:0]
-                new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in place]
-                if new and languages:
-                    place.update(zip(new, range(len(place), len(place) + len(new))))
-                    known = np.concatenate([known, lattice.log_likelihood(new, p)])
+                    place, known = {}, known[:1]
+                new = list(set().union(*split).difference(place))
+                words = [words_in(token) for token in new]
+                rows = np.cumsum([len(w) > 0 for w in words]) + len(known) - 1
+                place.update((token, int(row) if w else 0) for token, row, w in zip(new, rows, words))
+                if flat := [x for w in words for x in w]:
+                    firsts = np.cumsum([0, *(len(w) for w in words if w)])[:-1]
+                    known = np.concatenate([known, np.add.reduceat(lattice.log_likelihood(flat, p), firsts, axis=0)])
                 for i, s in enumerate(split):
-                    if s and languages:
-                        total = known[[place[w] for w in s]].sum(axis=0)
+                    own = np.fromiter(map(place.__getitem__, s), np.int64, len(s))
+                    if own.any():
+                        total = known[own].sum(axis=0)
                         best = int(total.argmax())
                         lang[at + i], score[at + i] = languages[best], 1 / np.exp(total - total[best]).sum()
             yield pd.DataFrame({"lang": lang, "score": score})
