@@ -15,8 +15,7 @@ strings have equal anchors, and neighbours mostly the same one, so an anchor sta
 3. The runs found are merged for each document and cut out of its text.
 
 An anchor with more than HOT fragments is split: its fragments are dealt at random, suffix arrays of parts leave each different string once
-for each part, with its smallest document there, and the smallest of all parts is found by a grouping that is summed up before it is
-shuffled and joined back. Anchors that would make step 1 uneven are known from a sample of texts and dealt by fragment; the sample
+for each part, with its smallest document there, and these strings are dealt by their own hashes as fragments are in step 1. Anchors that would make step 1 uneven are known from a sample of texts and dealt by fragment; the sample
 decides where rows meet, not what is found.
 """
 
@@ -43,7 +42,7 @@ HOT = 2048
 CROWD, SAMPLE, SEEN = 1 << 17, 32 << 20, 8
 SEGMENT = 1 << 20
 #: Bytes of text whose anchors are packed together.
-SLICE = 16 << 20
+SLICE = 8 << 20
 CHUNK = 2 << 20
 #: Most tasks that shards are dealt to; beyond it a task works through several, one after another.
 MOST_TASKS = 1 << 14
@@ -184,9 +183,22 @@ def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Recor
 
 
 _FOUND = [("doc", pa.int64()), ("mark", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_()), ("runs", pa.binary())]
+SENT = "bucket int, docs binary, blob binary, " + FOUND
 _SENT = [("bucket", pa.int32()), ("docs", pa.binary()), ("blob", pa.binary()), *_FOUND]
 
 
+def _frames(h, c, doc, lo, runs, bucket, ids: np.ndarray, marks: np.ndarray) -> Iterator[tuple]:
+    """Rows of SENT: what goes to a bucket as one packed row. doc numbers the documents of `ids` and `marks`."""
+    bucket = bucket.astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    h, c, doc, lo, runs, bucket = (x[order] for x in (h, c, doc, lo, runs, bucket))
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
+        own, number = np.unique(doc[a:b], return_inverse=True)
+        names = np.stack([ids[own], marks[own]]).tobytes()
+        yield int(bucket[a]), names, pack_anchors(h[a:b], c[a:b], number, lo[a:b], runs[a:b]), None, None, None, None, None
+
+
 def _send(buckets: int, segment: int, crowded: np.ndarray):
     def settle(parts: list[bytes], base: list[tuple[int, int]]) -> tuple:
         data = np.frombuffer(b"".join(parts), np.uint8)
@@ -206,14 +218,7 @@ def _send(buckets: int, segment: int, crowded: np.ndarray):
         rows = [(None, None, None, *r) for r in _by_document(ids[doc[late]], marks[doc[late]], lo[late], runs[late])]
         h, c, doc, lo, runs = (x[~late] for x in (h, c, doc, lo, runs))
         dealt = np.where(np.isin(h, crowded), _mix(h * _M[0] + c), h) if len(crowded) else h
-        bucket = (dealt % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        h, c, doc, lo, runs, bucket = (x[order] for x in (h, c, doc, lo, runs, bucket))
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
-            own, number = np.unique(doc[a:b], return_inverse=True)
-            names = np.stack([ids[own], marks[own]]).tobytes()
-            rows.append((int(bucket[a]), names, pack_anchors(h[a:b], c[a:b], number, lo[a:b], runs[a:b]), None, None, None, None, None))
+        rows += _frames(h, c, doc, lo, runs, dealt % np.uint64(buckets), ids, marks)
         return _batch(rows, _SENT)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +251,9 @@ def _send(buckets: int, segment: int, crowded: np.ndarray):
     return send
 
 
-def _collapse(batches: Iterator[pa.RecordBatch], hot: int, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A shard's anchors -> runs that go as their fragment is in a smaller document, and fragments to be compared byte by byte."""
+def _collapse(batches: Iterator[pa.RecordBatch], hot: int | None, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A shard's anchors -> runs that go as their fragment is in a smaller document, and fragments to be compared byte by byte. Without `hot`, what is
+    dealt are single strings, of which nothing is left to be compared."""
 
     def shard(kept: list[tuple]) -> Iterator[tuple]:
         h, c, doc, mark, lo, runs = (np.concatenate(x) for x in zip(*kept))
@@ -259,6 +265,8 @@ def _collapse(batches: Iterator[pa.RecordBatch], hot: int, crowded: np.ndarray)
         least = doc[np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0))]
         late = doc > least
         yield from _by_document(doc[late], mark[late], lo[late], runs[late])
+        if hot is None:
+            return
         # anchors with several fragments, not all of one document; of a crowded one only a part of the fragments is here
         group = np.cumsum(new_h) - 1
         first = np.flatnonzero(new_h)
@@ -422,39 +430,40 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(kept)
 
 
-_PART = [*_FOUND, ("one", pa.int64()), ("two", pa.int64())]
-
-
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments in any order -> runs that go as the same part of CHUNK bytes has them in a smaller document, and the other strings of the part, named by
-    two hashes, with their places."""
+def _reduce(buckets: int):
+    """Fragments in any order -> rows of SENT: runs that go as the same part of CHUNK bytes has them in a smaller document, and the other strings of the part,
+    each with its own two hashes in place of an anchor's and a fragment's."""
 
-    def found(kept: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def found(kept: list[tuple]) -> pa.RecordBatch:
         doc, mark, places, fragments = _columns(kept)
         which, offset, least, data, begin = _strings(doc, fragments)
         late = doc[which] > least
-        yield _batch([(*r, None, None) for r in _placed(which[late], offset[late], doc, mark, places)], _PART)
+        rows = [(None, None, None, *r) for r in _placed(which[late], offset[late], doc, mark, places)]
         which, offset = which[~late], offset[~late]
         w, at = words_at(data), begin[which] + offset
         one, two = np.zeros(len(at), np.uint64), np.ones(len(at), np.uint64)
         for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
             one, two = _mix(one * _M[0] + w[at + k]), _mix((two ^ w[at + k]) * _M[1] + _M[2])
-        for a in range(0, len(which), 20000):
-            part = slice(a, a + 20000)
-            rows = [(d, m, None, False, pack_runs(places[f] + o, np.ones(len(places[f]), np.int64))) for f, o, d, m in zip(which[part].tolist(), offset[part].tolist(), doc[which[part]].tolist(), mark[which[part]].tolist())]
-            names = (one[part].view(np.int64).tolist(), two[part].view(np.int64).tolist())
-            yield _batch([(*r, x, y) for r, x, y in zip(rows, *names)], _PART)
+        count = np.fromiter(map(len, places), np.int64, len(places))[which]
+        each = np.repeat(np.arange(len(which)), count)
+        lo = (np.concatenate([places[x] for x in which.tolist()]) if len(which) else np.zeros(0, np.int64)) + offset[each]
+        h = one[each] >> np.uint64(16)
+        rows += _frames(h, two[each], which[each], lo, np.ones(len(each), np.int64), h % np.uint64(buckets), doc, mark)
+        return _batch(rows, _SENT)
 
-    kept, size = [], 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            kept.append(row)
-            size += len(row[4])
-            if size >= CHUNK:
-                yield from found(kept)
-                kept, size = [], 0
-    if kept:
-        yield from found(kept)
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                kept.append(row)
+                size += len(row[4])
+                if size >= CHUNK:
+                    yield found(kept)
+                    kept, size = [], 0
+        if kept:
+            yield found(kept)
+
+    return reduce
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,7 +532,7 @@ def removed_runs(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 2
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, -(-total // shard_bytes))
     crowded = crowded_anchors(docs, total, crowd, seen=seen)
-    sent = docs.mapInArrow(_send(buckets, segment, crowded), "bucket int, docs binary, blob binary, " + FOUND)
+    sent = docs.mapInArrow(_send(buckets, segment, crowded), SENT)
     # rows without a bucket are runs settled within a batch; they pass through beside the shards
     dealt = sent.repartition(min(buckets, max(partitions, MOST_TASKS)), F.coalesce("bucket", F.pmod("doc", F.lit(buckets)))).sortWithinPartitions("bucket")
     first = materialise(dealt.mapInArrow(_settled_or_collapsed(hot, crowded), FOUND))
@@ -536,14 +545,13 @@ def removed_runs(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 2
         return alone.union(compared.select("doc", "mark", "runs"))
     fetched = materialise(fetched)
     compared = fetched.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "mark").mapInArrow(_compare, FOUND)
-    parts = fetched.where("hot").drop("hot").repartition("doc", "mark", "places").mapInArrow(_reduce, FOUND + ", one long, two long")
-    parts = materialise(parts)
-    lows = parts.where("one is not null").groupBy("one", "two").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    late = parts.join(lows, ["one", "two"]).where("doc > low")
-    return alone.union(compared.select("doc", "mark", "runs")).union(parts.where("one is null").select("doc", "mark", "runs")).union(late.select("doc", "mark", "runs"))
+    parts = fetched.where("hot").drop("hot").repartition("doc", "mark", "places").mapInArrow(_reduce(partitions), SENT)
+    parts = parts.repartition(partitions, F.coalesce("bucket", F.pmod("doc", F.lit(partitions)))).sortWithinPartitions("bucket")
+    late = parts.mapInArrow(_settled_or_collapsed(None, crowded), FOUND)
+    return alone.union(compared.select("doc", "mark", "runs")).union(late.select("doc", "mark", "runs"))
 
 
-def _settled_or_collapsed(hot: int, crowded: np.ndarray):
+def _settled_or_collapsed(hot: int | None, crowded: np.ndarray):
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         through: list[pa.RecordBatch] = []
 
