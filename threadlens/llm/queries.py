@@ -8,7 +8,9 @@ from secrets import token_hex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.llm import conversations as _conversations
 from threadlens.llm import decontaminate as _decontaminate
+from threadlens.llm import exact as _exact
 from threadlens.llm import language as _language
 from threadlens.llm import packing as _packing
 from threadlens.llm import pii as _pii
@@ -75,7 +77,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OPERATORS = (op1_simhash, op2_secrets, op3_language, op4_repeats, op5_packing, op6_pseudonyms, op7_quality, op8_toxicity, op9_decontamination, op10_warc)
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exact.exact_groups(_read(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conversations.repaired(_conversations.damaged(_read(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
+OPERATORS = (op1_simhash, op2_secrets, op3_language, op4_repeats, op5_packing, op6_pseudonyms, op7_quality, op8_toxicity, op9_decontamination, op10_warc, op12_exact, op13_conversation_repair)
 
 #: Base 32 from the 40 hex digits of SHA-1, five digits (20 bits, 4 letters) at a time.
 _BASE32 = " || ".join(
@@ -91,6 +101,11 @@ FROM p JOIN first USING (h)
 """
 
 
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS x FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY x ORDER BY n DESC, doc_id NULLS LAST)
+"""
 
 
 def _op2_sql() -> str:
@@ -122,4 +137,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": _op2_sql(), "op10_warc": OP10_SQL}
+    return {"op2_secrets": _op2_sql(), "op10_warc": OP10_SQL, "op12_exact": OP12_SQL}
