@@ -13,6 +13,7 @@ from threadlens.llm import decontaminate as _decontaminate
 from threadlens.llm import exact as _exact
 from threadlens.llm import language as _language
 from threadlens.llm import packing as _packing
+from threadlens.llm import phrases as _phrases
 from threadlens.llm import pii as _pii
 from threadlens.llm import quality as _quality
 from threadlens.llm import secrets as _secrets
@@ -77,6 +78,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_groups(_read(spark, sf_dir, "documents"))
 
@@ -85,7 +90,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conversations.repaired(_conversations.damaged(_read(spark, sf_dir, "conversations")), present=F.col("present"))
 
 
-OPERATORS = (op1_simhash, op2_secrets, op3_language, op4_repeats, op5_packing, op6_pseudonyms, op7_quality, op8_toxicity, op9_decontamination, op10_warc, op12_exact, op13_conversation_repair)
+OPERATORS = (op1_simhash, op2_secrets, op3_language, op4_repeats, op5_packing, op6_pseudonyms, op7_quality, op8_toxicity, op9_decontamination, op10_warc, op11_phrases, op12_exact, op13_conversation_repair)
 
 #: Base 32 from the 40 hex digits of SHA-1, five digits (20 bits, 4 letters) at a time.
 _BASE32 = " || ".join(
@@ -101,6 +106,22 @@ FROM p JOIN first USING (h)
 """
 
 
+OP11_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda w: w <> '') AS w FROM t),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, w[i:i + m - 1] AS g, m, count(*) AS a FROM s, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, g, m, a, unnest(range(1, m)) AS k FROM g WHERE m >= 2 AND a >= 100),
+q AS (SELECT c.lang, c.g, c.m, c.a, k, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score
+      FROM c JOIN g l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN g r ON r.lang = c.lang AND r.g = c.g[k + 1:] JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (SELECT lang, a, g, m, unnest(range(2, m)) AS j FROM b),
+i AS (SELECT lang, a, g[x:x + j - 1] AS g FROM (SELECT lang, a, g, j, unnest(range(1, m - j + 2)) AS x FROM o)),
+z AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = b.lang AND i.g = b.g AND 100 * i.a >= 100 * b.a))
+SELECT lang, row_number() OVER v AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM z WINDOW v AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) QUALIFY rank <= 2000
+"""
 OP12_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS x FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256
@@ -137,4 +158,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": _op2_sql(), "op10_warc": OP10_SQL, "op12_exact": OP12_SQL}
+    return {"op2_secrets": _op2_sql(), "op10_warc": OP10_SQL, "op11_phrases": OP11_SQL, "op12_exact": OP12_SQL}
