@@ -38,7 +38,8 @@ def _matches(text: Column, pattern: str, group: int, kind: int) -> Column:
     some = F.rlike(text, F.lit(pattern))
     if kind == PATTERNS.index((ENDPOINT, 0)):
         some = F.contains(text, F.lit("://")) & some
-    return F.when(some, F.filter(zipped, lambda x: x["len"].isNotNull())).otherwise(F.filter(zipped, lambda x: F.lit(False)))
+    # the other branch must not hold `zipped`: what two branches share is worked out before the condition is looked at
+    return F.when(some, F.filter(zipped, lambda x: x["len"].isNotNull())).otherwise(F.array().cast("array<struct<p:int,gap:int,len:int,own:int>>"))
 
 
 def _found(text: Column) -> Column:
