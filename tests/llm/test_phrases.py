@@ -1,5 +1,6 @@
 """Collocations against plain counting, whatever the limits; odd rows; ranges that cut phrases; hashes that clash."""
 
+import bisect
 import collections
 import random
 import re
@@ -75,18 +76,26 @@ def test_ranges_cut_phrases():
     count, got = collections.Counter(), collections.Counter()
     for row in zip(*(k.tolist() for k in keys)):
         count.update(row[:d] for d in range(3, 7) if row[d - 1])
-    wide = phrases._wide(keys)
-    edges = np.unique(np.sort(wide)[np.arange(1, 40) * 100])
-    place = np.searchsorted(edges, wide, side="right")
+    rows = list(zip(*(k.tolist() for k in keys)))
+    edges = sorted(set(sorted(rows)[100::100]))
+    place = np.array([bisect.bisect_right(edges, r) for r in rows])
     for at in range(len(edges) + 1):
         own = place == at
-        around = [tuple(np.frombuffer(edges[i].ljust(48, b"\0"), ">u8").tolist()) for i in (at - 1, at) if 0 <= i < len(edges)]
+        around = [edges[i] for i in (at - 1, at) if 0 <= i < len(edges)]
         whole, n, part, m = phrases.mined([k[own] for k in keys], np.ones(int(own.sum()), np.int64), 3, around)
         got.update(dict(zip(whole, n)))
         got.update(dict(zip(part, m)))
     assert all(got[p] == n for p, n in count.items() if n >= 3)
-    blob = phrases.pack(keys, np.arange(4000))
-    assert all((a == b).all() for a, b in zip([*keys, np.arange(4000)], [*phrases.unpack(blob)[0], phrases.unpack(blob)[1]]))
+
+
+def test_packed_suffixes_come_back():
+    words = phrases.words_of([b"a b a b\na b a b c", b"", b"zz " * 70], 5)
+    found = phrases._suffixes(words, words.text.astype(np.uint64) + np.uint64(9), np.arange(len(words.name)) % 3 != 1)
+    keys = [found.key(i) for i in range(len(found.weight))]
+    assert keys == sorted(set(keys)) and found.weight.sum() == (np.arange(len(words.name)) % 3 != 1).sum()
+    parts = [phrases.unpack(phrases.pack(found, a, b)) for a, b in ((0, 3), (3, 5), (5, len(keys)))]
+    both = phrases._together(parts)
+    assert [both.key(i) for i in range(len(keys))] == keys and (both.weight == found.weight).all()
 
 
 def test_words_with_one_hash_are_noticed(spark, monkeypatch):
@@ -103,7 +112,7 @@ def test_words_with_one_hash_are_noticed(spark, monkeypatch):
     batch = [phrases.pa.RecordBatch.from_arrays([phrases.pa.array([1]), phrases.pa.array(["one two one"])], ["lang", "text"])]
     monkeypatch.setattr(phrases, "words_of", wrong)
     for words, lang, own in phrases._slices(batch, 5, 1000):
-        seen = [r["word"] for b in phrases._spellings(words, lang, np.arange(3)) for r in b.to_pylist()]
+        seen = [word for _, word in phrases._spellings(words, lang, np.arange(3))]
     assert sorted(seen) == [b"one", b"two"]
     monkeypatch.undo()
     real, calls = phrases._phrases, []

@@ -3,16 +3,15 @@
 A suffix is the language and up to DEPTH words from a place on, within its piece. Spark deals suffixes into ranges of their leading words, and a task sorts pointers to its own: they are split by one word into
 smaller, equal and larger ones; the equal part, whose size is a phrase's count, goes on with the next word until DEPTH, and any part with fewer than `least` suffixes is abandoned unsorted. Three jobs:
 
-1. Words are counted for each language. A filter of fixed size, a bit for each frequent word's hash, then says where a suffix may end early: no phrase with a rare word is frequent.
-2. Suffixes, equal ones of a slice as one with a count, are packed and dealt by range. The ranges come from a bounded sample of suffixes; they decide where rows meet, not what is counted. A phrase that reaches over the edge of
-   a range is counted in parts that are summed up. Beyond FAN ranges suffixes are dealt twice, coarsely and then finely, so that a slice sends FAN rows at most.
+1. Suffixes, equal ones of a slice as one with a count, are sorted, packed and dealt by range. The ranges come from a bounded sample of suffixes; they decide where rows meet, not what is counted. A phrase that reaches over the edge of
+   a range is counted in parts that are summed up. Beyond FAN ranges suffixes are dealt twice, coarsely and then finely, so that a slice sends FAN rows at most. What is dealt grows as the text does.
+2. Words are told apart by 64-bit hashes, which are proven to be different: the spellings of all words in frequent phrases are gathered, and if two of them have one hash, the work is done again with another seed.
 3. Phrases are scored with the counts of their parts by joins.
-
-Words are told apart by 64-bit hashes, which are proven to be different: all words that pass the filter are gathered, and if two of them have one hash, the work is done again with another seed.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +28,12 @@ from threadlens.llm.shared import fresh_name, materialise, sized
 PIECE_ENDS, WORD_GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 DEPTH = 5
 #: Bytes of text whose suffixes are packed together (a longer text is cut between words), and whose words are found at once.
-SLICE, BUFFER = 8 << 20, 1 << 20
+SLICE, BUFFER = 4 << 20, 1 << 20
 #: Suffixes that a range has, about; most ranges that one slice is dealt to, and most ranges in all.
-RANGE, FAN, MOST_RANGES = 1_500_000, 4096, 1 << 18
-#: Suffixes of the sample from which ranges come.
-SAMPLE = 1 << 19
-#: Bits of the filter of frequent words.
+RANGE, FAN, MOST_RANGES = 1_000_000, 4096, 1 << 18
+#: Suffixes of the sample from which ranges come: so many for each range, and so many at most, about; bytes of text for each.
+SAMPLE, MOST_SAMPLE, SPARSE = 64, 1 << 20, 500
+#: Bits of the filter of words whose spellings are gathered.
 FILTER_BITS = 26
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
@@ -140,30 +139,52 @@ def _slices(batches: Iterator[pa.RecordBatch], seed: int, slice_bytes: int) -> I
         yield together()
 
 
-def _summed(keys: list[np.ndarray], weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows of `keys` as one, with the sum of their weights. Rows are sorted by their second column and a hash of all (where hashes are alike some equal rows stay apart, which does no harm)."""
-    if not len(weight):
-        return keys, weight
-    h = np.zeros(len(weight), np.uint64)
-    for k in keys:
-        h = _mix(h + k) * np.uint64(SEEDS[1])
-    order = np.argsort((keys[1] & np.uint64(0xFFFFFFFF << 32)) | (h >> np.uint64(32)))
-    keys, weight = [k[order] for k in keys], weight[order]
-    new = np.zeros(len(weight), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
+@dataclass
+class Suffixes:
+    """Different suffixes in order, with counts: columns are numbers of `names`, which are sorted and begin with 0, for what lies beyond the end."""
+
+    names: np.ndarray
+    columns: list[np.ndarray]
+    weight: np.ndarray
+
+    def key(self, i: int) -> tuple[int, ...]:
+        return tuple(int(self.names[c[i]]) for c in self.columns)
+
+
+def _ordered(columns: list[np.ndarray], names: np.ndarray, weight: np.ndarray) -> Suffixes:
+    """Rows of numbers sorted, equal ones as one."""
+    width = max(1, int(len(names)).bit_length())
+    each = max(1, 63 // width)
+    # as many columns in one number as there is room for
+    wide = []
+    for k in range(0, len(columns), each):
+        number = np.zeros(len(weight), np.int64)
+        for c in columns[k : k + each]:
+            number = (number << width) | c
+        wide.append(number)
+    order = np.lexsort(wide[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in wide:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
     first = np.flatnonzero(new)
-    return [k[first] for k in keys], np.add.reduceat(weight, first)
-
+    return Suffixes(names, [c[order[first]] for c in columns], np.add.reduceat(weight[order], first) if len(first) else weight)
 
-def _count(seed: int, slice_bytes: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, lang, own in _slices(batches, seed, slice_bytes):
-            (lang, name), n = _summed([lang[own], words.name[own]], np.ones(int(own.sum()), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(lang.view(np.int64)), pa.array(name.view(np.int64)), pa.array(n)], ["lang", "name", "n"])
 
-    return count
+def _suffixes(words: Words, lang: np.ndarray, own: np.ndarray) -> Suffixes:
+    """The suffixes (lang, word, ..., word) that begin in the texts."""
+    n = len(lang)
+    names, number = np.unique(np.concatenate([np.zeros(1, np.uint64), words.name, lang]), return_inverse=True)
+    number = number.astype(np.int32)
+    word = number[1 : n + 1]
+    columns = [number[n + 1 :][own], word[own]]
+    for k in range(1, DEPTH):
+        following = np.zeros(n, np.int32)
+        if n > k:
+            following[:-k] = np.where(words.piece[k:] == words.piece[:-k], word[k:], 0)
+        columns.append(following[own])
+    return _ordered(columns, names, np.ones(int(own.sum()), np.int64))
 
 
 def _bit(lang: np.ndarray, name: np.ndarray, bits: int) -> np.ndarray:
@@ -182,124 +203,70 @@ def _bits(bits: int):
     return bit
 
 
-def _suffixes(words: Words, lang: np.ndarray, own: np.ndarray, frequent: np.ndarray, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Suffixes of two words at least that pass the filter, as columns (lang, word, ..., word; 0 beyond the end) with counts."""
-    at = _bit(lang, words.name, bits)
-    passes = (frequent[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    n = len(passes)
-    alive = passes & own
-    keys = [words.name]
-    going = passes.copy()
-    for k in range(1, DEPTH):
-        there = np.zeros(n, bool)
-        if n > k:
-            there[:-k] = going[:-k] & passes[k:] & (words.piece[k:] == words.piece[:-k])
-        following = np.zeros(n, np.uint64)
-        following[: max(n - k, 0)] = words.name[k:]
-        keys.append(np.where(there, following, np.uint64(0)))
-        if k == 1:
-            alive &= there
-        going = there
-    return _summed([lang[alive], *(k[alive] for k in keys)], np.ones(int(alive.sum()), np.int64))
-
-
-def _wide(keys: list[np.ndarray]) -> np.ndarray:
-    """Rows as byte strings that sort as the rows do."""
-    return np.stack(keys, axis=1).astype(">u8").reshape(-1).view(f"S{8 * len(keys)}") if len(keys[0]) else np.zeros(0, f"S{8 * len(keys)}")
-
-
-def pack(keys: list[np.ndarray], weight: np.ndarray) -> bytes:
-    """Columns as numbers of a dictionary of their own, by planes of bytes, compressed."""
-    names, number = np.unique(np.concatenate(keys), return_inverse=True)
+def pack(found: Suffixes, lo: int, hi: int) -> bytes:
+    """Rows lo to hi, columns as numbers of a dictionary of their own, by planes of bytes, compressed."""
+    columns, used = [c[lo:hi] for c in found.columns], np.zeros(len(found.names), bool)
+    for c in columns:
+        used[c] = True
+    renumbered, names = (np.cumsum(used) - 1).astype(np.int32), found.names[used]
     width = 2 if len(names) < 1 << 16 else 4
+    number = np.concatenate([renumbered[c] for c in columns])
     body = number.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    return zstandard.compress(np.array([len(names), len(weight), len(keys), width], "<i8").tobytes() + names.astype("<u8").tobytes() + body + weight.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    head = np.array([len(names), hi - lo, len(columns), width], "<i8").tobytes()
+    return zstandard.compress(head + names.astype("<u8").tobytes() + body + found.weight[lo:hi].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
 
 
-def unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+def unpack(blob: bytes) -> Suffixes:
     raw = zstandard.decompress(blob)
     names, n, columns, width = np.frombuffer(raw, "<i8", 4).tolist()
     at = 32 + 8 * names
     number = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * columns * width, at).reshape(width, -1).T).reshape(-1).view(f"<u{width}")
     weight = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at + n * columns * width).reshape(8, -1).T).reshape(-1).view("<i8").astype(np.int64)
-    values = np.frombuffer(raw, "<u8", names, 32).astype(np.uint64)[number]
-    return list(values.reshape(columns, n)), weight
+    return Suffixes(np.frombuffer(raw, "<u8", names, 32).astype(np.uint64), list(number.astype(np.int32).reshape(columns, n)), weight)
 
 
-_SENT = [("range", pa.int32()), ("blob", pa.binary()), ("lang", pa.int64()), ("name", pa.int64()), ("word", pa.binary())]
-SENT = "range int, blob binary, lang long, name long, word binary"
+def _together(parts: list[Suffixes]) -> Suffixes:
+    """Several parts as one, with one dictionary; rows are neither sorted nor summed up."""
+    names = np.unique(np.concatenate([p.names for p in parts]))
+    places = [np.searchsorted(names, p.names).astype(np.int32) for p in parts]
+    columns = [np.concatenate([at[p.columns[k]] for at, p in zip(places, parts)]) for k in range(DEPTH + 1)]
+    return Suffixes(names, columns, np.concatenate([p.weight for p in parts]))
 
 
-def _framed(keys: list[np.ndarray], weight: np.ndarray, edges: np.ndarray, shift: int) -> Iterator[tuple[int, bytes]]:
-    """A packed row for each range that suffixes go to."""
-    place = np.searchsorted(edges, _wide(keys), side="right") >> shift
-    order = np.argsort(place, kind="stable")
-    cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-        own = order[a:b]
-        yield int(place[own[0]]), pack([k[own] for k in keys], weight[own])
+def _frames(found: Suffixes, edges: list[tuple[int, ...]], shift: int) -> pa.RecordBatch:
+    """A packed row for each range that suffixes go to. A range has what is not smaller than the edge before it."""
+    cuts, rows = [0], range(len(found.weight))
+    inner = [*range((1 << shift) - 1, len(edges), 1 << shift)]
+    for i in inner:
+        cuts.append(bisect_left(rows, edges[i], lo=cuts[-1], key=found.key))
+    cuts.append(len(rows))
+    sent = [(place, pack(found, lo, hi)) for place, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in sent], pa.int32()), pa.array([r[1] for r in sent], pa.binary())], ["range", "blob"])
 
 
-def _send(seed: int, slice_bytes: int, frequent, bits: int, edges, shift: int):
+def _send(seed: int, slice_bytes: int, edges, shift: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of SENT: packed suffixes, and the words that pass the filter."""
         for words, lang, own in _slices(batches, seed, slice_bytes):
-            frames = list(_framed(*_suffixes(words, lang, own, frequent.value, bits), edges.value, shift))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in frames], pa.int32()), pa.array([r[1] for r in frames], pa.binary()), *(pa.nulls(len(frames), t) for _, t in _SENT[2:])], [n for n, _ in _SENT])
-            at = _bit(lang, words.name, bits)
-            passes = np.flatnonzero((frequent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
-            # every different spelling of a name is sent: the bytes of all its places are held against the first one's
-            yield from _spellings(words, lang, passes)
+            yield _frames(_suffixes(words, lang, own), edges.value, shift)
 
     return send
 
 
-def _spellings(words: Words, lang: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    found = {}
-    order = at[np.lexsort((words.size[at], words.name[at], lang[at]))]
-    if len(order):
-        l, n, size, begin = lang[order], words.name[order], words.size[order], words.begin[order]
-        first = np.append(True, (l[1:] != l[:-1]) | (n[1:] != n[:-1]))
-        head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        other = size != size[head]  # then byte by byte, as far as the shorter words go
-        rows, k = np.flatnonzero(~first & ~other), 0
-        while len(rows := rows[size[rows] > k]):
-            unlike = words.data[begin[rows] + k] != words.data[begin[head[rows]] + k]
-            other[rows[unlike]] = True
-            rows, k = rows[~unlike], k + 1
-        for i in np.flatnonzero(first | other).tolist():
-            found[int(l[i].view(np.int64)), int(n[i].view(np.int64)), words.data[begin[i] : begin[i] + size[i]].tobytes()] = True
-    rows = list(found)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], [n for n, _ in _SENT])
-
-
-def _sampled(seed: int, slice_bytes: int, frequent, bits: int, share: int):
-    """Of the suffixes one in `share`, chosen by their place in the slice, as byte strings; and how many there were."""
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, lang, own in _slices(batches, seed, slice_bytes):
-            keys, weight = _suffixes(words, lang, own, frequent.value, bits)
-            yield pa.RecordBatch.from_arrays([pa.array([r.ljust(8 * (DEPTH + 1), b"\0") for r in _wide([k[::share] for k in keys]).tolist()], pa.binary())], ["key"])
-
-    return sample
-
-
-def _redeal(edges, shift: int, most: int):
+def _redeal(edges, most: int):
     """Packed suffixes of coarse ranges -> the same in fine ranges, `most` suffixes at a time."""
 
     def redeal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[Suffixes] = []
         size = 0
 
         def settle() -> pa.RecordBatch:
-            keys, weight = [np.concatenate(x) for x in zip(*(h[0] for h in held))], np.concatenate([h[1] for h in held])
-            frames = list(_framed(*_summed(keys, weight), edges.value, shift))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in frames], pa.int32()), pa.array([r[1] for r in frames], pa.binary())], ["range", "blob"])
+            whole = _together(held)
+            return _frames(_ordered(whole.columns, whole.names, whole.weight), edges.value, 0)
 
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 held.append(unpack(blob))
-                size += len(held[-1][1])
+                size += len(held[-1].weight)
                 if size >= most:
                     yield settle()
                     held, size = [], 0
@@ -309,11 +276,54 @@ def _redeal(edges, shift: int, most: int):
     return redeal
 
 
+def _spell(seed: int, slice_bytes: int, wanted, bits: int):
+    """(lang, name, word) of the words that pass the filter, each spelling once for each task."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], bytes] = {}
+        for words, lang, own in _slices(batches, seed, slice_bytes):
+            at = _bit(lang, words.name, bits)
+            passes = np.flatnonzero((wanted.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
+            rows = [(*key, word) for key, word in _spellings(words, lang, passes) if seen.setdefault(key, word) is word or seen[key] != word]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["lang", "name", "word"])
+
+    return spell
+
+
+def _spellings(words: Words, lang: np.ndarray, at: np.ndarray) -> Iterator[tuple[tuple[int, int], bytes]]:
+    """((language, name), word) of the words at `at`: one for each name, and every other spelling of it: the bytes of all its places are held against the first one's."""
+    order = at[np.lexsort((words.size[at], words.name[at], lang[at]))]
+    if not len(order):
+        return
+    l, n, size, begin = lang[order], words.name[order], words.size[order], words.begin[order]
+    first = np.append(True, (l[1:] != l[:-1]) | (n[1:] != n[:-1]))
+    head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    other = size != size[head]
+    rows, k = np.flatnonzero(~first & ~other), 0
+    while len(rows := rows[size[rows] > k]):
+        unlike = words.data[begin[rows] + k] != words.data[begin[head[rows]] + k]
+        other[rows[unlike]] = True
+        rows, k = rows[~unlike], k + 1
+    for i in np.flatnonzero(first | other).tolist():
+        yield (int(l[i].view(np.int64)), int(n[i].view(np.int64))), words.data[begin[i] : begin[i] + size[i]].tobytes()
+
+
+def _sampled(seed: int, slice_bytes: int, share: int):
+    """Of the suffixes of a slice every `share`-th in order, and how many there are of each in all."""
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, lang, own in _slices(batches, seed, slice_bytes):
+            found = _suffixes(words, lang, own)
+            yield pa.RecordBatch.from_arrays([pa.array([list(np.array(found.key(i), np.uint64).view(np.int64)) for i in range(share // 2, len(found.weight), share)], pa.list_(pa.int64()))], ["key"])
+
+    return sample
+
+
 def mined(keys: list[np.ndarray], weight: np.ndarray, least: int, edges: list[tuple[int, ...]]) -> tuple[list[tuple[int, ...]], list[int], list[tuple[int, ...]], list[int]]:
-    """Counts of the phrases of two words at least: (whole phrases with `least` or more, their counts, phrases that reach over one of `edges`, what is counted of them here).
+    """Counts of phrases: (whole phrases with `least` or more, their counts, phrases that reach over one of `edges`, what is counted of them here).
 
     Multikey quicksort of pointers: a part with fewer than `least` suffixes is abandoned. keys[0] is the language; a word of 0 is the end."""
-    open_ones = {e[:k] for e in edges for k in range(3, DEPTH + 2) if e[k - 1]}
+    open_ones = {e[:k] for e in edges for k in range(2, DEPTH + 2) if e[k - 1]}
     partial, parts = sorted(open_ones), []
     for phrase in partial:
         same = np.ones(len(weight), bool)
@@ -321,7 +331,7 @@ def mined(keys: list[np.ndarray], weight: np.ndarray, least: int, edges: list[tu
             same &= k == np.uint64(word)
         parts.append(int(weight[same].sum()))
     found, counts = [], []
-    waiting = [(np.arange(len(weight)), 0, ())]
+    waiting = [(np.arange(len(weight), dtype=np.int32), 0, ())]
     while waiting:
         pointers, depth, prefix = waiting.pop()
         own = weight[pointers]
@@ -341,7 +351,7 @@ def mined(keys: list[np.ndarray], weight: np.ndarray, least: int, edges: list[tu
         n, phrase = int(own[equal].sum()), (*prefix, int(pivot))
         if n < least:
             continue
-        if depth >= 2 and phrase not in open_ones:
+        if depth and phrase not in open_ones:
             found.append(phrase)
             counts.append(n)
         if depth < DEPTH:
@@ -351,24 +361,31 @@ def mined(keys: list[np.ndarray], weight: np.ndarray, least: int, edges: list[tu
 
 def _mine(edges, least: int):
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed suffixes, sorted by range -> (lang, words, n, whole)."""
+        """Packed suffixes, sorted by range -> (lang, words, n, whole). Without words: how many words of a language there are in a range."""
         current, held = None, []
 
         def settle() -> pa.RecordBatch:
-            keys, weight = [np.concatenate(x) for x in zip(*(h[0] for h in held))], np.concatenate([h[1] for h in held])
-            around = [tuple(np.frombuffer(edges.value[i].ljust(8 * (DEPTH + 1), b"\0"), ">u8").tolist()) for i in (current - 1, current) if 0 <= i < len(edges.value)]
-            whole, n, partial, parts = mined(keys, weight, least, around)
-            rows = [*zip(whole, n, [True] * len(n)), *((p, m, False) for p, m in zip(partial, parts) if m)]
-            signed = lambda x: x - (1 << 64) if x >> 63 else x
+            part = _together(held)
+            held.clear()
+            # an edge as numbers of the dictionary; one that has a word not in it is no prefix of anything here from that word on
+            around = []
+            for i in (current - 1, current):
+                if 0 <= i < len(edges.value):
+                    at = np.searchsorted(part.names, np.array(edges.value[i], np.uint64))
+                    at = np.where(part.names[np.minimum(at, len(part.names) - 1)] == np.array(edges.value[i], np.uint64), at, -1).tolist()
+                    around.append(tuple(at[: at.index(-1)] + [0] * (len(at) - at.index(-1)) if -1 in at else at))
+            whole, n, partial, parts = mined(part.columns, part.weight, least, around)
+            totals = np.bincount(part.columns[0], part.weight).astype(np.int64)
+            rows = [*zip(whole, n, [True] * len(n)), *((p, m, False) for p, m in zip(partial, parts) if m), *(((int(x),), int(totals[x]), False) for x in np.flatnonzero(totals))]
+            names = part.names.view(np.int64).tolist()
             return pa.RecordBatch.from_arrays(
-                [pa.array([signed(r[0][0]) for r in rows], pa.int64()), pa.array([[signed(x) for x in r[0][1:]] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], ["lang", "words", "n", "whole"]
+                [pa.array([names[r[0][0]] for r in rows], pa.int64()), pa.array([[names[x] for x in r[0][1:]] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], ["lang", "words", "n", "whole"]
             )
 
         for batch in batches:
             for place, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if held and place != current:
                     yield settle()
-                    held = []
                 current = place
                 held.append(unpack(blob))
         if held:
@@ -382,46 +399,41 @@ class _Clash(Exception):
 
 
 def _phrases(texts: DataFrame, least: int, seed: int, slice_bytes: int, range_size: int, fan: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From (lang as a hash, text): (lang, words, a) of frequent phrases of one to DEPTH words, (lang, name, word) of frequent words, (lang, n) of all words."""
+    """From (lang as a hash, text): (lang, words, a) of frequent phrases of one to DEPTH words, (lang, name, word) of the words in those of two at least, (lang, n) of all words."""
     spark = texts.sparkSession
     sc = spark.sparkContext
-    counted = texts.mapInArrow(_count(seed, slice_bytes), "lang long, name long, n long").groupBy("lang", "name").agg(F.sum("n").alias("n"))
-    # the rare words of a language as one row, which has no name
-    counted = materialise(counted.groupBy("lang", F.when(F.col("n") >= least, F.col("name")).alias("name")).agg(F.sum("n").alias("n")))
-    single = counted.where("name is not null")
-    sizes = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-    # at most 2 ** (bits - 6) rows, whatever the number of words
-    rows = single.select("lang", "name").mapInArrow(_bits(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    frequent = sc.broadcast(table)
-    # no more suffixes than places of frequent words; the sample has some SAMPLE of them, from slices all over the input
-    places = single.agg(F.sum("n")).first()[0] or 0
-    ranges = min(MOST_RANGES, -(-places // range_size))
-    chosen = np.zeros(0, f"S{8 * (DEPTH + 1)}")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, -(-total // (6 * range_size)))  # a word and its gap have some six bytes
+    chosen: list[tuple[int, ...]] = []
     if ranges > 1:
-        some = max(1, places // (16 * SAMPLE))  # of the texts, one in so many
-        of_texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(some)) == 0)
-        sample = of_texts.mapInArrow(_sampled(seed, slice_bytes, frequent, bits, max(1, places // some // SAMPLE)), "key binary").toPandas()["key"].tolist()
-        if sample:
-            ordered = np.sort(np.array(sample, chosen.dtype))
-            chosen = np.unique(ordered[np.arange(1, ranges) * len(ordered) // ranges])
+        size = min(MOST_SAMPLE, SAMPLE * ranges)
+        some = max(1, total // (SPARSE * size))  # of the texts, one in so many
+        share = max(1, total // some // (6 * size))
+        sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(some)) == 0).mapInArrow(_sampled(seed, slice_bytes, share), "key array<bigint>").collect()
+        ordered = sorted(tuple(x % (1 << 64) for x in r.key) for r in sample)
+        chosen = sorted({ordered[i * len(ordered) // ranges] for i in range(1, ranges)}) if ordered else []
     edges, shift = sc.broadcast(chosen), 0
     while (len(chosen) >> shift) + 1 > fan:
         shift += 1
-    sent = materialise(texts.mapInArrow(_send(seed, slice_bytes, frequent, bits, edges, shift), SENT))
-    words = materialise(sent.where("name is not null").groupBy("lang", "name").agg(F.min("word").alias("word"), (F.min("word") != F.max("word")).alias("clash")))
-    if not words.where("clash").isEmpty():
-        raise _Clash
-    frames = sent.where("blob is not null").select("range", "blob")
+    frames = texts.mapInArrow(_send(seed, slice_bytes, edges, shift), "range int, blob binary")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if shift:
-        frames = frames.repartition(min((len(chosen) >> shift) + 1, max(partitions, fan)), "range").mapInArrow(_redeal(edges, 0, 4 * range_size), "range int, blob binary")
+        frames = frames.repartition(min((len(chosen) >> shift) + 1, max(partitions, fan)), "range").mapInArrow(_redeal(edges, 4 * range_size), "range int, blob binary")
     dealt = frames.repartition(min(len(chosen) + 1, max(partitions, fan)), "range").sortWithinPartitions("range")
     counts = materialise(dealt.mapInArrow(_mine(edges, least), "lang long, words array<bigint>, n long, whole boolean"))
-    over = counts.where("not whole").groupBy("lang", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    phrases = counts.where("whole").select("lang", "words", "n").union(over).union(single.select("lang", F.array("name"), "n"))
-    return materialise(phrases.withColumnRenamed("n", "a")), words.join(single.select("lang", "name"), ["lang", "name"], "left_semi").drop("clash"), sizes
+    over = counts.where("not whole and size(words) > 0").groupBy("lang", "words").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    phrases = materialise(counts.where("whole").select("lang", "words", F.col("n").alias("a")).union(over))
+    sizes = materialise(counts.where("size(words) = 0").groupBy("lang").agg(F.sum("n").alias("n")))
+    wanted = materialise(phrases.where("size(words) > 1").select("lang", F.explode("words").alias("name")).distinct())
+    # at most 2 ** (bits - 6) rows, whatever the number of words
+    rows = wanted.mapInArrow(_bits(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    spelt = texts.mapInArrow(_spell(seed, slice_bytes, sc.broadcast(table), bits), "lang long, name long, word binary")
+    words = materialise(spelt.groupBy("lang", "name").agg(F.min("word").alias("word"), (F.min("word") != F.max("word")).alias("clash")).join(wanted, ["lang", "name"], "left_semi"))
+    if not words.where("clash").isEmpty():
+        raise _Clash
+    return phrases, words.drop("clash"), sizes
 
 
 def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
