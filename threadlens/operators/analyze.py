@@ -170,14 +170,24 @@ def text_features(texts: DataFrame) -> DataFrame:
     return t.select("*", F.expr(f"{actor_hint()} AS hint"), F.concat(rule_hits("text"), url_feature_hits(F.col("text"), F.col("urls"))).alias("own_hits"))
 
 
+def featured(turns: DataFrame) -> DataFrame:
+    """`turns` with `text_features` of each text. Messages repeat (templates, forwarded texts, short answers), so all patterns are tried once on each distinct
+    text; what was found is written. Texts meet by a hash of 128 bits, so none is shuffled but once."""
+    more = [c for c in turns.columns if c not in ("thread_id", "ix", "role", "text")]
+    t = turns.select("thread_id", "ix", F.coalesce("role", F.lit("U")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("mark", F.md5("text"))
+    texts = t.select("mark", "text").distinct()
+    found = written(text_features(texts).withColumn("mark", F.md5("text")).drop("text"))
+    return t.join(found, "mark").drop("mark")
+
+
 def turn_table(turns: DataFrame) -> DataFrame:
-    """One row for each turn: include (whether it counts as a threat), score, stage, urls, hits (the kept ones, with `ord`), and its cues as q_<name>.
+    """One row for each turn: include (whether it counts as a threat), score, stage, urls, hits (the kept ones, with `ord`), and its cues as q_<name>."""
+    return settled(featured(turns))
 
-    Messages repeat (templates, forwarded texts, short answers), so all patterns are tried once on each distinct text; what was found is written.
-    """
-    more = [c for c in ("speaker",) if c in turns.columns]
-    t = turns.select("thread_id", "ix", F.coalesce("role", F.lit("U")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *more)
-    t = t.join(written(text_features(t.select("text").distinct())), "text")
+
+def settled(t: DataFrame) -> DataFrame:
+    """`turn_table` from turns whose texts are `featured`: what depends on the turns around."""
+    more = [c for c in ("speaker",) if c in t.columns]
     q = {k: F.col(f"q_{k}") for k in cat.CUES}
     own = W.partitionBy("thread_id")
     t = t.withColumn("roles", F.max(F.col("role") != "U").over(own))
@@ -296,7 +306,12 @@ def analyze(turns: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     `calls(thread_id, otp_asked, remote_asked, urgent_pressured, first_contact)` adds what was said on the telephone. Null texts are empty;
     turns of one thread that share `ix` are taken in any order.
     """
-    table = written(turn_table(turns))  # three uses below
+    return analyzed(turn_table(turns), calls)
+
+
+def analyzed(table: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """`analyze` from a `turn_table`."""
+    table = written(table)  # three uses below
     hits = exploded_hits(table).unionByName(sequence_hits(table))
     if calls is not None:
         flags = {"call_otp": "otp_asked", "call_remote": "remote_asked", "call_urgent": "urgent_pressured", "call_first_contact": "first_contact"}

@@ -12,6 +12,7 @@ from threadlens.functions.urls import (
     redirect_target, registrable_domain,
 )
 from threadlens.plans import catalog as cat
+from threadlens.session import written
 
 
 def _points(rows: list[tuple[str, Column | int, Column]]) -> Column:
@@ -143,6 +144,8 @@ def prefilter(threads: DataFrame, lines: int = cat.PREFILTER_LINES) -> DataFrame
     links = F.slice(F.concat(markdown_links(F.col("window")), F.coalesce("c.link_candidates", F.array().cast("array<struct<text:string,href:string>>"))), 1, 12)
     shown = _points([("pf_url_display_mismatch", 34, display_mismatch(links)), ("pf_url_bare_link", 22, bare_link(F.col("window"), F.col("urls")))])
     t = t.withColumn("signals", F.concat(url_signals("urls", "host_names"), bank_signals("urls", "hosts", "window"), text_signals(F.col("window")), context_signals("c"), shown))
+    if not threads.isStreaming:  # some sixty patterns, of which six columns below make use
+        t = written(t)
     has_url = F.size("urls") > 0
     opened = F.coalesce(F.col("c.open_url"), F.lit(0)) > 0
     acted = (F.coalesce(F.col("c.copy_url"), F.lit(0)) + F.coalesce(F.col("c.install_click"), F.lit(0))) > 0
