@@ -46,6 +46,8 @@ SLICE = 8 << 20
 CHUNK = 2 << 20
 #: Most tasks that shards are dealt to; beyond it a task works through several, one after another.
 MOST_TASKS = 1 << 14
+#: Most shards that one slice is dealt to at once. Where there are more, anchors are dealt twice: to FAN groups of shards, then from there to shards, REDEAL anchors at a time. So what a slice sends does not grow with the input.
+FAN, REDEAL = 1280, 2 << 20
 PLACE = np.uint64((1 << 22) - 1)
 NO_ID = np.iinfo(np.int64).max
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -199,7 +201,25 @@ def _frames(h, c, doc, lo, runs, bucket, ids: np.ndarray, marks: np.ndarray) ->
         yield int(bucket[a]), names, pack_anchors(h[a:b], c[a:b], number, lo[a:b], runs[a:b]), None, None, None, None, None
 
 
-def _send(buckets: int, segment: int, crowded: np.ndarray):
+def _settle_and_frame(h, c, doc, lo, runs, ids: np.ndarray, marks: np.ndarray, shards: int, group: int, crowded: np.ndarray) -> pa.RecordBatch:
+    """Rows of SENT for anchors that are together here: those whose fragment has a smaller document among them are settled, the others go to their shards, or to groups of `group` shards.
+
+    So of a fragment that is everywhere each slice, and then each redeal, sends its smallest document on and no other."""
+    order = np.lexsort((ids[doc], c, h))
+    h, c, doc, lo, runs = (x[order] for x in (h, c, doc, lo, runs))
+    new = (np.diff(h, prepend=h[0] + np.uint64(1)) != 0) | (np.diff(c, prepend=c[0]) != 0) if len(h) else np.zeros(0, bool)
+    least = ids[doc][np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else np.zeros(0, np.int64)
+    late = ids[doc] > least
+    rows = [(None, None, None, *r) for r in _by_document(ids[doc[late]], marks[doc[late]], lo[late], runs[late])]
+    h, c, doc, lo, runs = (x[~late] for x in (h, c, doc, lo, runs))
+    dealt = np.where(np.isin(h, crowded), _mix(h * _M[0] + c), h) if len(crowded) else h
+    rows += _frames(h, c, doc, lo, runs, dealt % np.uint64(shards) // np.uint64(group), ids, marks)
+    return _batch(rows, _SENT)
+
+
+def _send(shards: int, segment: int, crowded: np.ndarray, fan: int = FAN):
+    group = -(-shards // fan)
+
     def settle(parts: list[bytes], base: list[tuple[int, int]]) -> tuple:
         data = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(p) for p in parts])
@@ -208,18 +228,9 @@ def _send(buckets: int, segment: int, crowded: np.ndarray):
         return h >> np.uint64(16), c, doc[text], lo - (np.cumsum(sizes) - sizes)[text] + offset[text], runs
 
     def packed(held: list[tuple], ids: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
-        h, c, doc, lo, runs = (np.concatenate(x) for x in zip(*held))
+        columns = [np.concatenate(x) for x in zip(*held)]
         held.clear()
-        order = np.lexsort((ids[doc], c, h))
-        h, c, doc, lo, runs = (x[order] for x in (h, c, doc, lo, runs))
-        new = (np.diff(h, prepend=h[0] + np.uint64(1)) != 0) | (np.diff(c, prepend=c[0]) != 0) if len(h) else np.zeros(0, bool)
-        least = ids[doc][np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else np.zeros(0, np.int64)
-        late = ids[doc] > least
-        rows = [(None, None, None, *r) for r in _by_document(ids[doc[late]], marks[doc[late]], lo[late], runs[late])]
-        h, c, doc, lo, runs = (x[~late] for x in (h, c, doc, lo, runs))
-        dealt = np.where(np.isin(h, crowded), _mix(h * _M[0] + c), h) if len(crowded) else h
-        rows += _frames(h, c, doc, lo, runs, dealt % np.uint64(buckets), ids, marks)
-        return _batch(rows, _SENT)
+        return _settle_and_frame(*columns, ids, marks, shards, group, crowded)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors packed for their shards, and the runs whose fragment has a smaller document in the same slice of a batch."""
@@ -251,6 +262,34 @@ def _send(buckets: int, segment: int, crowded: np.ndarray):
     return send
 
 
+def _redeal(shards: int, crowded: np.ndarray, most: int = REDEAL):
+    """Frames of groups of shards -> frames of shards, `most` anchors at a time; rows without a bucket pass through."""
+
+    def settle(held: list[tuple]) -> pa.RecordBatch:
+        h, c, number, lo, runs, ids, marks = (list(x) for x in zip(*held))
+        held.clear()
+        before = np.cumsum([0, *map(len, ids[:-1])])
+        doc = np.concatenate([n.astype(np.int64) + b for n, b in zip(number, before)])
+        return _settle_and_frame(np.concatenate(h), np.concatenate(c), doc, np.concatenate(lo), np.concatenate(runs), np.concatenate(ids), np.concatenate(marks), shards, 1, crowded)
+
+    def redeal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            yield batch.filter(batch.column(0).is_null())
+            packed = batch.filter(batch.column(0).is_valid())
+            for docs, blob in zip(packed.column(1).to_pylist(), packed.column(2).to_pylist()):
+                names = np.frombuffer(docs, np.int64).reshape(2, -1)
+                held.append((*unpack_anchors(blob), *names))
+                size += len(held[-1][0])
+                if size >= most:
+                    yield settle(held)
+                    size = 0
+        if held:
+            yield settle(held)
+
+    return redeal
+
+
 def _collapse(batches: Iterator[pa.RecordBatch], hot: int | None, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A shard's anchors -> runs that go as their fragment is in a smaller document, and fragments to be compared byte by byte. Without `hot`, what is
     dealt are single strings, of which nothing is left to be compared."""
@@ -525,16 +564,19 @@ def compressed(text: Column) -> Column:
     return F.pandas_udf(_compress, "binary")(text)
 
 
-def removed_runs(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 24 << 20, hot: int = HOT, segment: int = SEGMENT, crowd: int = CROWD, seen: int = SEEN) -> DataFrame:
+def removed_runs(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 24 << 20, hot: int = HOT, segment: int = SEGMENT, crowd: int = CROWD, seen: int = SEEN, fan: int = FAN) -> DataFrame:
     """(doc, mark, runs): runs of starts of repeated strings. doc is the id, the largest long for null; mark is a hash of the text."""
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, -(-total // shard_bytes))
     crowded = crowded_anchors(docs, total, crowd, seen=seen)
-    sent = docs.mapInArrow(_send(buckets, segment, crowded), SENT)
-    # rows without a bucket are runs settled within a batch; they pass through beside the shards
-    dealt = sent.repartition(min(buckets, max(partitions, MOST_TASKS)), F.coalesce("bucket", F.pmod("doc", F.lit(buckets)))).sortWithinPartitions("bucket")
+    sent = docs.mapInArrow(_send(buckets, segment, crowded, fan), SENT)
+    # rows without a bucket are runs settled within a slice; they pass through beside the shards
+    by = F.coalesce("bucket", F.pmod("doc", F.lit(buckets)))
+    if buckets > fan:
+        sent = sent.repartition(max(partitions, fan), by).sortWithinPartitions("bucket").mapInArrow(_redeal(buckets, crowded), SENT)
+    dealt = sent.repartition(min(buckets, max(partitions, MOST_TASKS)), by).sortWithinPartitions("bucket")
     first = materialise(dealt.mapInArrow(_settled_or_collapsed(hot, crowded), FOUND))
     asked = first.where("anchor is not null").groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "hot", "runs")).alias("asked"))
     fragments = docs.select("doc", "mark", compressed(F.col("text")).alias("text")).join(asked, ["doc", "mark"]).select("doc", "mark", "text", "asked")
