@@ -192,7 +192,7 @@ class Training:
     """steps: most steps of expectation and maximisation; they end before if the log-likelihood grows by less than the share `gain`."""
 
     steps: int = 6
-    gain: float = 0.015
+    gain: float = 0.002
 
 
 def count_words(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
