@@ -104,14 +104,14 @@ def test_words_with_one_hash_are_noticed(spark, monkeypatch):
     seen = []
     right = phrases.words_of
 
-    def wrong(parts, seed):
-        words = right(parts, seed)
+    def wrong(parts, seed, bits):
+        words = right(parts, seed, bits)
         words.name = np.full_like(words.name, 7)
         return words
 
     batch = [phrases.pa.RecordBatch.from_arrays([phrases.pa.array([1]), phrases.pa.array(["one two one"])], ["lang", "text"])]
     monkeypatch.setattr(phrases, "words_of", wrong)
-    for words, lang, own in phrases._slices(batch, 5, 1000):
+    for words, lang, own in phrases._slices(batch, (5, 64), 1000):
         seen = [word for _, word in phrases._spellings(words, lang, np.arange(3))]
     assert sorted(seen) == [b"one", b"two"]
     monkeypatch.undo()

@@ -5,7 +5,7 @@ smaller, equal and larger ones; the equal part, whose size is a phrase's count,
 
 1. Suffixes, equal ones of a slice as one with a count, are sorted, packed and dealt by range. The ranges come from a bounded sample of suffixes; they decide where rows meet, not what is counted. A phrase that reaches over the edge of
    a range is counted in parts that are summed up. Beyond FAN ranges suffixes are dealt twice, coarsely and then finely, so that a slice sends FAN rows at most. What is dealt grows as the text does.
-2. Words are told apart by 64-bit hashes, which are proven to be different: the spellings of all words in frequent phrases are gathered, and if two of them have one hash, the work is done again with another seed.
+2. Words are told apart by hashes of 56 bits (64 from a terabyte on), which are proven to be different: the spellings of all words in frequent phrases are gathered, and if two of them have one hash, the work is done again with another seed.
 3. Phrases are scored with the counts of their parts by joins.
 """
 
@@ -28,11 +28,13 @@ from threadlens.llm.shared import fresh_name, materialise, sized
 PIECE_ENDS, WORD_GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 DEPTH = 5
 #: Bytes of text whose suffixes are packed together (a longer text is cut between words), and whose words are found at once.
-SLICE, BUFFER = 4 << 20, 1 << 20
+SLICE, BUFFER = 8 << 20, 1 << 20
 #: Suffixes that a range has, about; most ranges that one slice is dealt to, and most ranges in all.
-RANGE, FAN, MOST_RANGES = 1_000_000, 4096, 1 << 18
+RANGE, FAN, MOST_RANGES = 3_000_000, 4096, 1 << 18
 #: Suffixes of the sample from which ranges come: so many for each range, and so many at most, about; bytes of text for each.
 SAMPLE, MOST_SAMPLE, SPARSE = 64, 1 << 20, 500
+#: Bits of a word's name in inputs of less than a terabyte; larger ones have names of 64 bits.
+NAME_BITS = 56
 #: Bits of the filter of words whose spellings are gathered.
 FILTER_BITS = 26
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -58,8 +60,8 @@ class Words:
     piece: np.ndarray
 
 
-def words_of(parts: list[bytes], seed: int) -> Words:
-    """Words of texts, folded bytes with the same ends as pieces. A word's name is a hash of its bytes, never 0."""
+def words_of(parts: list[bytes], seed: int, bits: int = 64) -> Words:
+    """Words of texts, folded bytes with the same ends as pieces. A word's name is a hash of its bytes of so many bits, never 0."""
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     ends = data == 10
     gap = ends | (data == 32)
@@ -72,7 +74,7 @@ def words_of(parts: list[bytes], seed: int) -> Words:
     back = np.uint64(pow(seed | 1, -1, 1 << 64))
     inverse = np.cumprod(np.full(len(data), back, np.uint64), dtype=np.uint64)
     name = _mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(seed))
-    name = np.maximum(name, np.uint64(1))
+    name = np.maximum(name >> np.uint64(64 - bits), np.uint64(1))
     lengths = np.array([len(p) + 1 for p in parts])
     text = np.searchsorted(np.cumsum(lengths), begin, side="right")
     piece = np.cumsum(ends)[begin] if len(begin) else begin
@@ -99,13 +101,13 @@ def _segments(raw: bytes, most: int) -> Iterator[tuple[bytes, int]]:
     yield raw[at:], len(raw) - at
 
 
-def _slices(batches: Iterator[pa.RecordBatch], seed: int, slice_bytes: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
+def _slices(batches: Iterator[pa.RecordBatch], naming: tuple[int, int], slice_bytes: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
     """(words, language of each, whether a suffix begins there) of texts of about `slice_bytes` each. Batches are (language, text)."""
     held: list[tuple[Words, np.ndarray, np.ndarray]] = []
     parts, langs, owned, size, taken = [], [], [], 0, 0
 
     def settle() -> None:
-        words = words_of(parts, seed)
+        words = words_of(parts, *naming)
         starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
         held.append((words, np.array(langs, np.int64).view(np.uint64)[words.text], words.begin < (starts + np.array(owned))[words.text]))
         parts.clear(), langs.clear(), owned.clear()
@@ -141,7 +143,7 @@ def _slices(batches: Iterator[pa.RecordBatch], seed: int, slice_bytes: int) -> I
 
 @dataclass
 class Suffixes:
-    """Different suffixes in order, with counts: columns are numbers of `names`, which are sorted and begin with 0, for what lies beyond the end."""
+    """Different suffixes in order, with counts: columns are numbers of `names`, of which 0 is what lies beyond the end."""
 
     names: np.ndarray
     columns: list[np.ndarray]
@@ -203,31 +205,53 @@ def _bits(bits: int):
     return bit
 
 
+def _planes(a: np.ndarray, kind: str) -> bytes:
+    return a.astype(kind).view(np.uint8).reshape(len(a), np.dtype(kind).itemsize).T.tobytes()
+
+
 def pack(found: Suffixes, lo: int, hi: int) -> bytes:
-    """Rows lo to hi, columns as numbers of a dictionary of their own, by planes of bytes, compressed."""
-    columns, used = [c[lo:hi] for c in found.columns], np.zeros(len(found.names), bool)
-    for c in columns:
-        used[c] = True
-    renumbered, names = (np.cumsum(used) - 1).astype(np.int32), found.names[used]
-    width = 2 if len(names) < 1 << 16 else 4
-    number = np.concatenate([renumbered[c] for c in columns])
-    body = number.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    head = np.array([len(names), hi - lo, len(columns), width], "<i8").tobytes()
-    return zstandard.compress(head + names.astype("<u8").tobytes() + body + found.weight[lo:hi].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
+    """Rows lo to hi, by planes of bytes, compressed. Languages and first words, which are in order, are numbers of a sorted dictionary; further words are numbers of one by frequency, or, where they come once, stand in a row of their own."""
+    head, rest = np.concatenate([c[lo:hi] for c in found.columns[:2]]), np.concatenate([c[lo:hi] for c in found.columns[2:]])
+    used = np.zeros(len(found.names), bool)
+    used[head] = True
+    sorted_names, numbers = found.names[used], (np.cumsum(used) - 1)[head]
+    count = np.bincount(rest, minlength=len(found.names))
+    often = np.flatnonzero(count > 1)
+    often = often[np.argsort(-count[often], kind="stable")]
+    rank = np.zeros(len(found.names), np.int64)
+    rank[often] = np.arange(len(often))
+    once = count[rest] == 1
+    places = np.where(once, len(often), rank[rest])
+    wide = 2 if max(len(sorted_names), len(often) + 1) < 1 << 16 else 4
+    alone = found.names[rest[once]]
+    sizes = np.array([hi - lo, len(sorted_names), len(often), len(alone), wide], "<i8").tobytes()
+    body = b"".join([_planes(np.diff(sorted_names, prepend=np.uint64(0)), "<u8"), _planes(found.names[often], "<u8"), _planes(alone, "<u8"), _planes(numbers, f"<u{wide}"), _planes(places, f"<u{wide}"), _planes(found.weight[lo:hi], "<i8")])
+    return zstandard.compress(sizes + body, 3)
 
 
 def unpack(blob: bytes) -> Suffixes:
     raw = zstandard.decompress(blob)
-    names, n, columns, width = np.frombuffer(raw, "<i8", 4).tolist()
-    at = 32 + 8 * names
-    number = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * columns * width, at).reshape(width, -1).T).reshape(-1).view(f"<u{width}")
-    weight = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at + n * columns * width).reshape(8, -1).T).reshape(-1).view("<i8").astype(np.int64)
-    return Suffixes(np.frombuffer(raw, "<u8", names, 32).astype(np.uint64), list(number.astype(np.int32).reshape(columns, n)), weight)
+    rows, n_sorted, n_often, n_alone, wide = np.frombuffer(raw, "<i8", 5).tolist()
+    at = 40
+
+    def take(n: int, kind: str) -> np.ndarray:
+        nonlocal at
+        width = np.dtype(kind).itemsize
+        out = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind)
+        at += n * width
+        return out
+
+    names = np.concatenate([np.cumsum(take(n_sorted, "<u8"), dtype=np.uint64), take(n_often, "<u8"), take(n_alone, "<u8")]).astype(np.uint64)
+    head, rest, weight = take(2 * rows, f"<u{wide}").astype(np.int32), take((DEPTH - 1) * rows, f"<u{wide}").astype(np.int32), take(rows, "<i8").astype(np.int64)
+    once = rest == n_often
+    rest += n_sorted
+    rest[once] = n_sorted + n_often + np.arange(n_alone)
+    return Suffixes(names, [*head.reshape(2, rows), *rest.reshape(DEPTH - 1, rows)], weight)
 
 
 def _together(parts: list[Suffixes]) -> Suffixes:
     """Several parts as one, with one dictionary; rows are neither sorted nor summed up."""
-    names = np.unique(np.concatenate([p.names for p in parts]))
+    names = np.unique(np.concatenate([np.zeros(1, np.uint64), *(p.names for p in parts)]))  # 0 stays the end, whether a suffix here has one or not
     places = [np.searchsorted(names, p.names).astype(np.int32) for p in parts]
     columns = [np.concatenate([at[p.columns[k]] for at, p in zip(places, parts)]) for k in range(DEPTH + 1)]
     return Suffixes(names, columns, np.concatenate([p.weight for p in parts]))
@@ -244,9 +268,9 @@ def _frames(found: Suffixes, edges: list[tuple[int, ...]], shift: int) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in sent], pa.int32()), pa.array([r[1] for r in sent], pa.binary())], ["range", "blob"])
 
 
-def _send(seed: int, slice_bytes: int, edges, shift: int):
+def _send(naming: tuple[int, int], slice_bytes: int, edges, shift: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, lang, own in _slices(batches, seed, slice_bytes):
+        for words, lang, own in _slices(batches, naming, slice_bytes):
             yield _frames(_suffixes(words, lang, own), edges.value, shift)
 
     return send
@@ -276,12 +300,12 @@ def _redeal(edges, most: int):
     return redeal
 
 
-def _spell(seed: int, slice_bytes: int, wanted, bits: int):
+def _spell(naming: tuple[int, int], slice_bytes: int, wanted, bits: int):
     """(lang, name, word) of the words that pass the filter, each spelling once for each task."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], bytes] = {}
-        for words, lang, own in _slices(batches, seed, slice_bytes):
+        for words, lang, own in _slices(batches, naming, slice_bytes):
             at = _bit(lang, words.name, bits)
             passes = np.flatnonzero((wanted.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
             rows = [(*key, word) for key, word in _spellings(words, lang, passes) if seen.setdefault(key, word) is word or seen[key] != word]
@@ -308,11 +332,11 @@ def _spellings(words: Words, lang: np.ndarray, at: np.ndarray) -> Iterator[tuple
         yield (int(l[i].view(np.int64)), int(n[i].view(np.int64))), words.data[begin[i] : begin[i] + size[i]].tobytes()
 
 
-def _sampled(seed: int, slice_bytes: int, share: int):
+def _sampled(naming: tuple[int, int], slice_bytes: int, share: int):
     """Of the suffixes of a slice every `share`-th in order, and how many there are of each in all."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, lang, own in _slices(batches, seed, slice_bytes):
+        for words, lang, own in _slices(batches, naming, slice_bytes):
             found = _suffixes(words, lang, own)
             yield pa.RecordBatch.from_arrays([pa.array([list(np.array(found.key(i), np.uint64).view(np.int64)) for i in range(share // 2, len(found.weight), share)], pa.list_(pa.int64()))], ["key"])
 
@@ -403,19 +427,20 @@ def _phrases(texts: DataFrame, least: int, seed: int, slice_bytes: int, range_si
     spark = texts.sparkSession
     sc = spark.sparkContext
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    naming = (seed, NAME_BITS if total < 1 << 40 else 64)
     ranges = min(MOST_RANGES, -(-total // (6 * range_size)))  # a word and its gap have some six bytes
     chosen: list[tuple[int, ...]] = []
     if ranges > 1:
         size = min(MOST_SAMPLE, SAMPLE * ranges)
         some = max(1, total // (SPARSE * size))  # of the texts, one in so many
         share = max(1, total // some // (6 * size))
-        sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(some)) == 0).mapInArrow(_sampled(seed, slice_bytes, share), "key array<bigint>").collect()
+        sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(some)) == 0).mapInArrow(_sampled(naming, slice_bytes, share), "key array<bigint>").collect()
         ordered = sorted(tuple(x % (1 << 64) for x in r.key) for r in sample)
         chosen = sorted({ordered[i * len(ordered) // ranges] for i in range(1, ranges)}) if ordered else []
     edges, shift = sc.broadcast(chosen), 0
     while (len(chosen) >> shift) + 1 > fan:
         shift += 1
-    frames = texts.mapInArrow(_send(seed, slice_bytes, edges, shift), "range int, blob binary")
+    frames = texts.mapInArrow(_send(naming, slice_bytes, edges, shift), "range int, blob binary")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if shift:
         frames = frames.repartition(min((len(chosen) >> shift) + 1, max(partitions, fan)), "range").mapInArrow(_redeal(edges, 4 * range_size), "range int, blob binary")
@@ -429,7 +454,7 @@ def _phrases(texts: DataFrame, least: int, seed: int, slice_bytes: int, range_si
     rows = wanted.mapInArrow(_bits(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    spelt = texts.mapInArrow(_spell(seed, slice_bytes, sc.broadcast(table), bits), "lang long, name long, word binary")
+    spelt = texts.mapInArrow(_spell(naming, slice_bytes, sc.broadcast(table), bits), "lang long, name long, word binary")
     words = materialise(spelt.groupBy("lang", "name").agg(F.min("word").alias("word"), (F.min("word") != F.max("word")).alias("clash")).join(wanted, ["lang", "name"], "left_semi"))
     if not words.where("clash").isEmpty():
         raise _Clash
