@@ -41,10 +41,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of tables that `written` made, in order.
+_WRITTEN: list[str] = []
+
+
+def tables_so_far() -> int:
+    return len(_WRITTEN)
+
+
+def remove_tables(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that were `written` after `tables_so_far` gave `since`; for use once what reads them is itself written."""
+    while len(_WRITTEN) > since:
+        remove_folder(spark, _WRITTEN.pop())
+
+
 def written(df: DataFrame, stem: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder. Unlike a checkpoint it is read by columns, so a text that stands beside a
     few numbers is read only where it is asked for."""
     path = shared_folder(df.sparkSession, stem)
+    _WRITTEN.append(path)
     empty = [c for c, kind in df.dtypes if kind == "void"]  # columns of nothing but nulls, which Parquet does not know
     stored = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in empty})
     stored.write.parquet(path)
