@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import decontaminate, packing, quality, secrets, simhash
-from threadlens.llm.shared import remove_folder, shared_folder
+from threadlens.llm.shared import remove_folder, remove_tables, shared_folder, tables_so_far
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "pipeline")
     before = None
     for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
+        path, tables = f"{folder}/{number}-{name}", tables_so_far()
         stage(spark, docs, sf_dir).write.parquet(path)
+        remove_tables(spark, tables)
         docs = spark.read.parquet(path)
         if before:  # a stage's rows are written: what it read is needed no more
             remove_folder(spark, before)
