@@ -311,15 +311,23 @@ def analyze(turns: DataFrame, calls: DataFrame | None = None) -> DataFrame:
 
 def analyzed(table: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """`analyze` from a `turn_table`."""
-    table = written(table)  # three uses below
+    return judged(written(table), calls)  # three uses below
+
+
+def weighed_hits(table: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """All hits of a `turn_table`, of sequences and of what was said on the telephone, with `diminished`."""
     hits = exploded_hits(table).unionByName(sequence_hits(table))
     if calls is not None:
         flags = {"call_otp": "otp_asked", "call_remote": "remote_asked", "call_urgent": "urgent_pressured", "call_first_contact": "first_contact"}
         said = F.array_compact(F.array(*(F.when(F.coalesce(F.col(c), F.lit(False)), F.struct(F.lit(i).alias("rule_id"), F.lit(i).alias("label"), F.lit("install" if i == "call_remote" else "info" if i in ("call_urgent", "call_first_contact") else "verify").alias("stage"), F.lit(float(cat.CALL_WEIGHTS[i])).alias("weight"))) for i, c in flags.items())))
         extra = calls.select("thread_id", F.lit(None).cast("long").alias("ix"), F.posexplode(said).alias("ord", "h")).select("thread_id", F.lit(1 << 40).alias("ix"), "ord", "h.*", F.array().cast("array<string>").alias("matched"))
         hits = hits.unionByName(extra)
-    weighed = diminished(hits)
-    scored = weighed.groupBy("thread_id").agg(F.sum("diminished").alias("total"), F.count("*").alias("n_hits"), F.collect_set("rule_id").alias("ids"), F.collect_set(F.concat_ws("|", "rule_id", "stage")).alias("staged_ids"), F.max_by("rule_id", F.struct("diminished", -F.col("ix"), -F.col("ord"))).alias("top_rule"))
+    return diminished(hits)
+
+
+def judged(table: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """`analyze` from a `turn_table` that is written."""
+    scored = weighed_hits(table, calls).groupBy("thread_id").agg(F.sum("diminished").alias("total"), F.count("*").alias("n_hits"), F.collect_set("rule_id").alias("ids"), F.collect_set(F.concat_ws("|", "rule_id", "stage")).alias("staged_ids"), F.max_by("rule_id", F.struct("diminished", -F.col("ix"), -F.col("ord"))).alias("top_rule"))
     rolled = table.groupBy("thread_id").agg(F.count("*").alias("n_turns"), F.max(F.size("urls") > 0).alias("any_url"), F.max(F.exists("urls", lambda u: F.rlike(host(u), F.lit(cat.INTERNAL_HOST)))).alias("internal_host"), *(F.max(F.when(F.col("include") | F.lit(k in cat.THREAD_CUES), F.col(f"q_{k}")).otherwise(False)).alias(f"q_{k}") for k in cat.CUES))
     none = F.array().cast("array<string>")
     joined = rolled.join(scored, "thread_id", "left").withColumns({"ids": F.coalesce("ids", none), "staged_ids": F.coalesce("staged_ids", none), "score_total": F.least(F.lit(100.0), F.floor(F.coalesce("total", F.lit(0.0)) * 100 + 0.5) / 100), "n_hits": F.coalesce("n_hits", F.lit(0))})

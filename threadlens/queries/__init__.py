@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadlens.queries import blocks, decisions, engineering, nested, scenarios, vectors  # noqa: F401  these register their queries
+from threadlens.queries import blocks, dataset, decisions, engineering, nested, scenarios, vectors  # noqa: F401  these register their queries
 from threadlens.queries.tables import QUERIES, SQL, flagship
 
 

@@ -6,7 +6,7 @@ come from the event, so the rules see varied text. The sentences are our own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTENCES = [
@@ -62,14 +62,14 @@ SENTENCES = [
 _N = len(SENTENCES)
 
 
-def threads(events: DataFrame) -> DataFrame:
-    """turns(thread_id, ix, role, text): a thread for each user and block of 4096 event ids, which bounds a hot user's threads."""
+def threads(events: DataFrame, *more: Column) -> DataFrame:
+    """turns(thread_id, ix, role, text): a thread for each user and block of 4096 event ids, which bounds a hot user's threads; and `more` columns of the events."""
     pick = (F.col("event_id") + F.length("event_type")) % _N
     amount = (F.abs(F.floor(F.col("value") * 100)).cast("long") % 900 + 100) * 1000
     text = F.get(F.array(*(F.lit(s) for s in SENTENCES)), pick.cast("int"))
     text = F.replace(F.replace(text, F.lit("{amount}"), amount.cast("string")), F.lit("{host}"), F.concat(F.lit("h"), (F.col("event_id") % 97).cast("string"), F.lit(".example.shop")))
     thread = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("event_id") / 4096).cast("long").cast("string"))
-    return events.select(thread.alias("thread_id"), F.col("event_id").alias("ix"), F.substring(text, 1, 1).alias("role"), F.substring(text, 4, 1000).alias("text"))
+    return events.select(thread.alias("thread_id"), F.col("event_id").alias("ix"), F.substring(text, 1, 1).alias("role"), F.substring(text, 4, 1000).alias("text"), *more)
 
 
 def threads_sql() -> str:
