@@ -152,15 +152,15 @@ def text_vectors(df: DataFrame, id_col: str, text_col: str, width: int = 256) ->
     return counts.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double")).alias("v"))
 
 
-def _firsts(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group, by parts first, as one group may hold most rows."""
-    near = df.withColumn("__salt", F.pmod(F.xxhash64("seq"), F.lit(64)))
+def _firsts(df: DataFrame, keys: list[str], order: list[Column], k: int, dealt_by: str = "seq") -> DataFrame:
+    """The first k rows of each group with their place, `at`; by parts first, as one group may hold most rows."""
+    near = df.withColumn("__salt", F.pmod(F.xxhash64(dealt_by), F.lit(64)))
     near = near.withColumn("at", F.row_number().over(W.partitionBy(*keys, "__salt").orderBy(*order))).where(F.col("at") <= k)
     return near.withColumn("at", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("at") <= k).drop("__salt")
 
 
 def _most_frequent(counts: DataFrame, key: str, name: str, k: int, alias: str) -> DataFrame:
-    top = counts.withColumn("at", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), name))).where(F.col("at") <= k)
+    top = _firsts(counts, [key], [F.desc("n"), F.col(name)], k, name)
     return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat(F.col(name), F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("x")))), lambda r: r["x"]).alias(alias))
 
 
