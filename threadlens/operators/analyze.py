@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from threadlens.functions.text import SPACE, java_pattern
 from threadlens.functions.urls import extract_scored_urls, host, url_feature_hits
 from threadlens.plans import catalog as cat
-from threadlens.session import sql_text, written
+from threadlens.session import spread, sql_text, written
 
 FACTORS = (1.0, 0.85, 0.70, 0.55, 0.45, 0.35)
 HIT = "struct<rule_id:string,label:string,stage:string,weight:double,matched:array<string>>"
@@ -175,7 +175,7 @@ def featured(turns: DataFrame) -> DataFrame:
     text; what was found is written. Texts meet by a hash of 128 bits, so none is shuffled but once."""
     more = [c for c in turns.columns if c not in ("thread_id", "ix", "role", "text")]
     t = turns.select("thread_id", "ix", F.coalesce("role", F.lit("U")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("mark", F.md5("text"))
-    texts = t.select("mark", "text").distinct()
+    texts = spread(t.select("mark", "text").distinct(), "mark")
     found = written(text_features(texts).withColumn("mark", F.md5("text")).drop("text"))
     return t.join(found, "mark").drop("mark")
 
