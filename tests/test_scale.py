@@ -8,3 +8,16 @@ SF = "/root/testdata/sf0.001"
 def test_patterns_are_not_tried_on_turns(spark):
     plan = tables._raw_hits(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan and "regexp_extract" not in plan
+
+
+def test_frozen_numbers_that_hold_each_other(spark):
+    from pyspark.sql import functions as F
+
+    from threadlens.operators import corpus as co
+
+    many = " ".join(str(n) for n in range(100000, 101100)) + " 1000 1001"
+    rows = [(1, "1234 and 12345, 1234"), (2, many), (3, None), (4, "77 none")]
+    got = {r.i: r for r in spark.createDataFrame(rows, "i int, text string").select("i", co.frozen(F.col("text"), r"\d{4,}", "num").alias("t")).collect()}
+    assert got[1].t == "<NUM_1> and <NUM_2>, <NUM_1>"
+    assert got[2].t == " ".join(f"<NUM_{n}>" for n in range(1, 1103))
+    assert got[3].t is None and got[4].t == "77 none"

@@ -91,10 +91,12 @@ def parent_id(mutant: Column) -> Column:
 
 
 def frozen(text: Column, pattern: str, kind: str) -> Column:
-    """The text with the distinct matches of a pattern replaced by numbered placeholders, first seen first."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    named = F.transform(found, lambda x, i: F.struct(x.alias("raw"), F.concat(F.lit(f"<{kind.upper()}_"), (i + 1).cast("string"), F.lit(">")).alias("mark")))
-    return F.aggregate(named, text, lambda t, x: F.replace(t, x["raw"], x["mark"]))
+    """The text with the distinct matches of a pattern replaced by numbered placeholders, first seen first. All in one pass, so a match that holds another, or a placeholder's own number, is never taken apart."""
+    all_ = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.array_distinct(all_)
+    marks = F.map_from_arrays(found, F.transform(found, lambda x, i: F.concat(F.lit(f"<{kind.upper()}_"), (i + 1).cast("string"), F.lit(">"))))
+    pieces = F.zip_with(F.split(text, pattern, -1), all_, lambda between, x: F.concat(between, F.coalesce(F.element_at(marks, x), F.lit(""))))
+    return F.array_join(pieces, "")
 
 
 def missing_terms(text: Column, terms: tuple[str, ...]) -> Column:
