@@ -21,3 +21,25 @@ def test_frozen_numbers_that_hold_each_other(spark):
     assert got[1].t == "<NUM_1> and <NUM_2>, <NUM_1>"
     assert got[2].t == " ".join(f"<NUM_{n}>" for n in range(1, 1103))
     assert got[3].t is None and got[4].t == "77 none"
+
+
+def test_windows_of_threads_sort_no_features(spark, monkeypatch):
+    from threadlens.operators import analyze as an
+
+    seen, plain = [], an._around
+    monkeypatch.setattr(an, "_around", lambda t: seen.append(t.columns) or plain(t))
+    turns = spark.createDataFrame([("a", 0, "S", "call 1"), ("a", 1, "R", "call 1")], "thread_id string, ix long, role string, text string")
+    assert [(r.ix, r.text) for r in an.turn_table(turns).orderBy("ix").collect()] == [(0, "call 1"), (1, "call 1")]
+    assert [sorted(c) for c in seen] == [["hint", "ix", "mark", "q_otp", "role", "thread_id"]]
+
+
+def test_words_near_a_bank(spark):
+    from pyspark.sql import functions as F
+
+    from threadlens.functions import urls as ux
+
+    words = ["kbstar", "kbstarr", "kbsta", "kbst", "xbstar", "shinhan", "shinhna", "abc", "kakaobnk", ""]
+    df = spark.createDataFrame([(f"{w}.com",) for w in words], "h string").withColumn("n", ux.named_host(F.col("h")))
+    near = lambda a, b: df.select(F.min(F.levenshtein(F.lit(a), F.lit(b)))).first()[0]
+    got = {r.h: r.b for r in df.select("h", ux.looks_like_brand(F.col("n"), F.lit(True)).alias("b")).collect()}
+    assert got == {f"{w}.com": w != "" and any(1 <= near(w, t) <= 2 for t in ux.BANK_TOKENS if len(t) > 3) for w in words}

@@ -181,18 +181,34 @@ def featured(turns: DataFrame) -> DataFrame:
 
 
 def turn_table(turns: DataFrame) -> DataFrame:
-    """One row for each turn: include (whether it counts as a threat), score, stage, urls, hits (the kept ones, with `ord`), and its cues as q_<name>."""
-    return settled(featured(turns))
+    """One row for each turn: include (whether it counts as a threat), score, stage, urls, hits (the kept ones, with `ord`), and its cues as q_<name>.
+
+    Threads are gone through with a hash in place of each text and the two features that count there, so what a task sorts is small; texts and all else that was found are joined afterwards, and sorted no more."""
+    more = [c for c in turns.columns if c not in ("thread_id", "ix", "role", "text")]
+    t = turns.select("thread_id", "ix", F.coalesce("role", F.lit("U")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("mark", F.md5("text"))
+    found = written(text_features(spread(t.select("mark", "text").distinct(), "mark")).withColumn("mark", F.md5("text")))
+    around = _around(t.drop("text").join(found.select("mark", "hint", "q_otp"), "mark")).drop("hint", "q_otp")
+    return _decided(around.join(found, "mark").drop("mark"))
 
 
 def settled(t: DataFrame) -> DataFrame:
     """`turn_table` from turns whose texts are `featured`: what depends on the turns around."""
-    more = [c for c in ("speaker",) if c in t.columns]
-    q = {k: F.col(f"q_{k}") for k in cat.CUES}
+    return _decided(_around(t))
+
+
+def _around(t: DataFrame) -> DataFrame:
+    """Adds roles, include and seen, from role, hint and q_otp of a thread's turns."""
     own = W.partitionBy("thread_id")
     t = t.withColumn("roles", F.max(F.col("role") != "U").over(own))
     t = t.withColumn("include", F.expr("CASE WHEN roles THEN role = 'S' OR (role = 'U' AND hint = 'demand') ELSE hint <> 'comply' END"))
-    t = t.select("*", F.max(F.col("include") & q["otp"]).over(own.orderBy("ix").rowsBetween(W.unboundedPreceding, 0)).alias("seen"), F.expr("size(urls) > 0 AS has_url"))
+    return t.withColumn("seen", F.max(F.col("include") & F.col("q_otp")).over(own.orderBy("ix").rowsBetween(W.unboundedPreceding, 0)))
+
+
+def _decided(t: DataFrame) -> DataFrame:
+    """Each turn by itself, once `_around` has added what it needs."""
+    more = [c for c in ("speaker",) if c in t.columns]
+    q = {k: F.col(f"q_{k}") for k in cat.CUES}
+    t = t.withColumn("has_url", F.expr("size(urls) > 0"))
     # heaviest first, in catalogue order among equals
     raw = F.concat("own_hits", context_hits())
     ranked = F.transform(F.array_sort(F.transform(raw, lambda h, i: F.struct((-h["weight"]).alias("w"), i.alias("i"), h.alias("h")))), lambda x: x["h"])
