@@ -169,7 +169,11 @@ LOOSE = (
 def loose_urls(text: Column, most: int = 12) -> Column:
     """URLs with or without scheme, hidden ones among them, made plain; first seen first."""
     t = F.coalesce(text, F.lit(""))
-    found = F.transform(F.concat(*(_all(t, p) for p in LOOSE)), lambda x: _trimmed_tail(plain_url(x)))
+    low = F.lower(t)
+    # what a text must have for each of the patterns to be found: those without pay for this test only
+    must = (low.contains("://"), low.contains("www."), low.contains("hxxp"), t.contains("//"), t.contains("[.]") | t.contains("(.)") | t.contains("{.}"), t.contains("."))
+    found = F.concat(*(F.when(m, _all(t, p)).otherwise(F.array().cast("array<string>")) for m, p in zip(must, LOOSE, strict=True)))
+    found = F.transform(found, lambda x: _trimmed_tail(plain_url(x)))
     return F.slice(F.array_distinct(F.filter(found, lambda x: x != "")), 1, most)
 
 
@@ -220,21 +224,22 @@ def named_host(host_: Column) -> Column:
     return F.get(F.transform(F.array(rooted), lambda x: F.struct(x["host"].alias("host"), x["root"].alias("root"), base_label(x["root"]).alias("label"), base_label(x["host"]).alias("own"))), F.lit(0))
 
 
+def _few_apart(x: Column, word: str) -> Column:
+    """In how many letters `x` and `word` differ, if in two at most, else 99. Lengths never differ by more than that."""
+    return F.pmod(F.levenshtein(x, F.lit(word), 2), F.lit(100))
+
+
 def looks_like_official(named: Column, official: tuple[str, ...] = OFFICIAL_HOSTS) -> Column:
     """`named` is a host as `named_host` gives it. Whether one that is not official is one or two letters off an official one, in its domain or in its first label: the nearest decides. Without a list
     of official hosts, the bank words of five letters and more decide."""
     root, label = named["root"], named["label"]
     near = []
-    for n, o in enumerate(official):
-        own = o.split(".")[0]
-        by_root, by_label = F.levenshtein(root, F.lit(o)), F.when(label != "", F.levenshtein(label, F.lit(own))).otherwise(99)
-        gap = F.when(by_label < by_root, F.abs(F.length(label) - len(own))).otherwise(F.abs(F.length(root) - len(o)))
-        near.append(F.struct(F.least(by_root, by_label).alias("d"), F.lit(n).alias("n"), gap.alias("gap")))
-    for n, t in enumerate(() if official else BANK_TOKENS):
+    for o in official:
+        near.append(F.least(_few_apart(root, o), F.when(label != "", _few_apart(label, o.split(".")[0])).otherwise(99)))
+    for t in () if official else BANK_TOKENS:
         if len(t) >= 5 and not (len(t) >= 6 and t[-4:] in GENERIC_TAILS):
-            close = F.levenshtein(label, F.lit(t))
-            near.append(F.struct((F.when(label.endswith(t[-4:]), close).otherwise(99) if len(t) >= 6 else close).alias("d"), F.lit(n).alias("n"), F.abs(F.length(label) - len(t)).alias("gap")))
-    close = F.get(F.transform(F.array(F.array_min(F.array(*near))), lambda best: best["d"].between(1, 2) & (best["gap"] <= 2)), F.lit(0))
+            near.append(F.when(label.endswith(t[-4:]), _few_apart(label, t)).otherwise(99) if len(t) >= 6 else _few_apart(label, t))
+    close = F.array_min(F.array(*near)).isin(1, 2)
     return ~is_under(named["host"], official) & close if official else close
 
 
@@ -244,8 +249,7 @@ def looks_like_brand(named: Column, claims: Column) -> Column:
     out = F.lit(False)
     for t in BANK_TOKENS:
         if len(t) > 3:
-            d, gap = F.levenshtein(label, F.lit(t)), F.abs(F.length(label) - len(t))
-            out = out | F.when(claims, d.between(1, 2) & (gap <= 2)).otherwise((d == 1) & (gap <= 1))
+            out = out | F.when(claims, _few_apart(label, t).isin(1, 2)).otherwise(_few_apart(label, t) == 1)
     return (label != "") & out
 
 

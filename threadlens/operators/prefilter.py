@@ -12,7 +12,7 @@ from threadlens.functions.urls import (
     redirect_target, registrable_domain,
 )
 from threadlens.plans import catalog as cat
-from threadlens.session import written
+from threadlens.session import spread, written
 
 
 def _points(rows: list[tuple[str, Column | int, Column]]) -> Column:
@@ -70,10 +70,14 @@ def named_hosts(hosts: str) -> Column:
     return F.transform(F.filter(hosts, lambda h: h != ""), lambda h: F.struct(named_host(h).alias("n"), brand_token(h).alias("brand")))
 
 
-def bank_signals(urls: str, hosts: str, text: str) -> Column:
-    """Signals of hosts that are like a bank's. `urls`, `hosts` (of `named_hosts`) and `text` name columns."""
-    low = F.lower(text)
-    claims = F.rlike(low, F.lit(BANK_CLAIM[0])) & F.rlike(low, F.lit(BANK_CLAIM[1]))
+def bank_claims(text: Column) -> Column:
+    """Whether a text claims to be a bank."""
+    return F.rlike(F.lower(text), F.lit(BANK_CLAIM[0])) & F.rlike(F.lower(text), F.lit(BANK_CLAIM[1]))
+
+
+def bank_signals(urls: str, hosts: str, claims_col: str) -> Column:
+    """Signals of hosts that are like a bank's. `urls`, `hosts` (of `named_hosts`) and `claims_col` (of `bank_claims`) name columns, so that each is worked out once, not for every host and word."""
+    claims = F.col(claims_col)
     foreign = lambda test: F.exists(hosts, lambda x: ~is_under(x["n"]["host"], OFFICIAL_HOSTS) & test(x))
     branded = foreign(lambda x: F.coalesce((F.length(x["brand"]) > 3) | claims & x["brand"].isNotNull(), F.lit(False)))
     onward = F.exists(urls, lambda u: ~is_under(host(u), OFFICIAL_HOSTS) & is_under(host(redirect_target(u)), OFFICIAL_HOSTS))
@@ -138,12 +142,14 @@ def prefilter(threads: DataFrame, lines: int = cat.PREFILTER_LINES) -> DataFrame
     with their points. A click on a link makes the action `auto`. `context` is of the type CONTEXT."""
     context = F.col("context") if "context" in threads.columns else F.lit(None)
     t = threads.select("thread_id", F.coalesce("text", F.lit("")).alias("whole"), context.cast(CONTEXT).alias("c"))
+    if not threads.isStreaming:
+        t = spread(t, "thread_id")
     t = t.select("*", F.array_join(recent_lines(F.col("whole"), lines), "\n").alias("window"))
     t = t.withColumn("urls", loose_urls(F.col("window"))).withColumn("host_names", F.array_distinct(F.transform("urls", host)))
-    t = t.withColumn("hosts", named_hosts("host_names"))
+    t = t.withColumns({"hosts": named_hosts("host_names"), "claims": bank_claims(F.col("window"))})
     links = F.slice(F.concat(markdown_links(F.col("window")), F.coalesce("c.link_candidates", F.array().cast("array<struct<text:string,href:string>>"))), 1, 12)
     shown = _points([("pf_url_display_mismatch", 34, display_mismatch(links)), ("pf_url_bare_link", 22, bare_link(F.col("window"), F.col("urls")))])
-    t = t.withColumn("signals", F.concat(url_signals("urls", "host_names"), bank_signals("urls", "hosts", "window"), text_signals(F.col("window")), context_signals("c"), shown))
+    t = t.withColumn("signals", F.concat(url_signals("urls", "host_names"), bank_signals("urls", "hosts", "claims"), text_signals(F.col("window")), context_signals("c"), shown))
     if not threads.isStreaming:  # some sixty patterns, of which six columns below make use
         t = written(t)
     has_url = F.size("urls") > 0
