@@ -64,7 +64,10 @@ def engine_results(cases: DataFrame, turns: DataFrame) -> DataFrame:
         joined(F.collect_list(F.when(F.col("role") == "R", F.struct("ix", F.col("text").alias("line")))), " ").alias("r_text"), joined(F.collect_list(F.when(F.col("role") != "R", F.struct("ix", F.col("text").alias("line")))), "\n").alias("sender_text"),
     )
     whole = written(whole)
-    pf = prefilter(whole.select("thread_id", "text")).select("thread_id", F.col("score").alias("pf_score"), F.col("action").alias("pf_action"), "gate_pass")
+    # texts of short threads repeat: each is tried once
+    marked = whole.select("thread_id", F.md5("text").alias("mark"), "text")
+    pf = prefilter(marked.select(F.col("mark").alias("thread_id"), "text").distinct())
+    pf = marked.select("thread_id", "mark").join(pf.select(F.col("thread_id").alias("mark"), F.col("score").alias("pf_score"), F.col("action").alias("pf_action"), "gate_pass"), "mark").drop("mark")
     all_ = an.judged(t, asked).drop("stage_peak").join(whole.drop("text"), "thread_id").join(pf, "thread_id").join(found, "thread_id", "left").join(asked, "thread_id")
     none = F.array().cast("array<string>")
     all_ = all_.withColumns({
