@@ -43,3 +43,13 @@ def test_words_near_a_bank(spark):
     near = lambda a, b: df.select(F.min(F.levenshtein(F.lit(a), F.lit(b)))).first()[0]
     got = {r.h: r.b for r in df.select("h", ux.looks_like_brand(F.col("n"), F.lit(True)).alias("b")).collect()}
     assert got == {f"{w}.com": w != "" and any(1 <= near(w, t) <= 2 for t in ux.BANK_TOKENS if len(t) > 3) for w in words}
+
+
+def test_length_of_a_vector_is_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from threadlens.operators import similarity as si
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(si.unit(F.col("v")).alias("u"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 1
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
