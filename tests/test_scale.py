@@ -53,3 +53,57 @@ def test_length_of_a_vector_is_worked_out_once(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(si.unit(F.col("v")).alias("u"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 1
     assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+
+
+def test_patterns_that_need_hangul(spark):
+    from pyspark.sql import functions as F
+
+    from threadlens.functions.text import needs_hangul
+    from threadlens.operators import analyze as an
+    from threadlens.queries.templates import SENTENCES
+
+    assert [needs_hangul(p) for p in ("가나", "(가|나)b", "(가|b)", "x가?", "(가나)+", "[가b]", "a(?=가)", "(가.{0,3}|b나)\\s*c", "apk|앱")] == [True, True, False, False, True, False, False, True, False]
+    texts = [*SENTENCES, *("".join(x if x < "가" else "" for x in s) for s in SENTENCES), "", "otp apk anydesk https://bit.ly/x KT VIP gov24 2fa", "가"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain, skip = an.matches, lambda patterns, text="text", prefix="(?i)", hangul=None: plain(patterns, text, prefix)
+    got = [str(sorted(map(str, an.text_features(df).collect())))]
+    try:
+        an.matches = skip
+        got.append(str(sorted(map(str, an.text_features(df).collect()))))
+    finally:
+        an.matches = plain
+    assert got[0] == got[1] and got[0].count("rule_id") > 50
+    assert "hangul" not in an.text_features(df).columns
+    assert df.where(F.rlike("text", F.lit(an.HANGUL))).count() == sum(any("가" <= c <= "힣" for c in t) for t in texts)
+
+
+def test_known_texts_are_not_tried_again(spark, monkeypatch):
+    from threadlens.operators import analyze as an
+
+    turns = lambda *texts: spark.createDataFrame([("a", i, "S", t) for i, t in enumerate(texts)], "thread_id string, ix long, role string, text string")
+    known = an.marked_features(an.marked(turns("인증번호 알려 주세요", "call 1")))
+    seen, plain = [], an.text_features
+    monkeypatch.setattr(an, "text_features", lambda texts: seen.append(sorted(r.text for r in texts.collect())) or plain(texts))
+    both = turns("인증번호 알려 주세요", "call 1", "anydesk 설치해 주세요")
+    got = an.analyze(both, known=known).collect()
+    assert seen == [["anydesk 설치해 주세요"]] and got == an.analyze(both).collect()
+
+
+def test_rebuilt_thread_takes_its_parts_apart_once(spark):
+    from pyspark.sql import functions as F
+
+    from threadlens.operators import engineering as en
+
+    df = spark.createDataFrame([("S: a\nR: b\nS: c", "x\ny"), ("S: a\nR: b\nS: c", "x y"), ("S: a\nS: c", "x\ny\nz w"), ("R: b", "x"), (None, "x"), ("S: a", None)], "p string, c string").select(en.rebuilt_thread(F.col("p"), F.col("c")).alias("t"))
+    assert [r.t for r in df.collect()] == ["S: x\nR: b\nS: y", "S: x y\nR: b\nS: c", "S: x\nS: y z w", "R: b", "", ""]
+    assert df._jdf.queryExecution().analyzed().toString().count("^\\s*S:") <= 1
+
+
+def test_mutants_are_dealt_over_all_cores(spark, monkeypatch):
+    from threadlens.operators import mutants as mu
+
+    seen, plain = [], mu.gated
+    monkeypatch.setattr(mu, "gated", lambda c, *more: seen.append(c.rdd.getNumPartitions()) or plain(c, *more))
+    t = spark.createDataFrame([(f"t{i}", f"S: please call the office {i}\nR: ok\nS: call the office now") for i in range(20)], "thread_id string, text string")
+    assert mu.mutants(t, mu.Preset(n=1, tries=1, target=None)).count() == 20
+    assert seen and min(seen) >= 8

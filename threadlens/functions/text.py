@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from re import _constants as regex
+from re import _parser as regex_parser
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,28 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"\b", BOUNDARY)
 
 
+#: A Hangul syllable.
+HANGUL = "[\uAC00-\uD7A3]"
+
+
+def needs_hangul(pattern: str) -> bool:
+    """Whether each match of a pattern holds a Hangul syllable; False where that is not plain to see."""
+    syllable = lambda code: 0xAC00 <= code <= 0xD7A3
+
+    def needs(items) -> bool:
+        return any(
+            syllable(x) if op is regex.LITERAL
+            else all(needs(branch) for branch in x[1]) if op is regex.BRANCH
+            else needs(x[3]) if op is regex.SUBPATTERN
+            else all(kind is regex.LITERAL and syllable(y) or kind is regex.RANGE and syllable(y[0]) and syllable(y[1]) for kind, y in x) if op is regex.IN
+            else x[0] > 0 and needs(x[2]) if op in (regex.MAX_REPEAT, regex.MIN_REPEAT)
+            else False
+            for op, x in items
+        )
+
+    return needs(regex_parser.parse(pattern))
+
+
 def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 

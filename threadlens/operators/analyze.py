@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadlens.functions.text import SPACE, java_pattern
+from threadlens.functions.text import HANGUL, SPACE, java_pattern, needs_hangul
 from threadlens.functions.urls import extract_scored_urls, host, url_feature_hits
 from threadlens.plans import catalog as cat
 from threadlens.session import spread, sql_text, written
@@ -20,14 +20,20 @@ FACTORS = (1.0, 0.85, 0.70, 0.55, 0.45, 0.35)
 HIT = "struct<rule_id:string,label:string,stage:string,weight:double,matched:array<string>>"
 
 
-def matches(patterns: list[str], text: str = "text", prefix: str = "(?i)") -> str:
-    """SQL: whether one of the patterns is found in the column `text`."""
-    return "(" + " OR ".join(f"rlike({text}, {sql_text(prefix + java_pattern(p))})" for p in patterns) + ")"
+def matches(patterns: list[str], text: str = "text", prefix: str = "(?i)", hangul: str | None = None) -> str:
+    """SQL: whether one of the patterns is found in the column `text`. `hangul` names a column that tells whether the text has a Hangul syllable: patterns that
+    cannot match without one are not tried where there is none."""
+    found = lambda p: f"rlike({text}, {sql_text(prefix + java_pattern(p))})"
+    only = [p for p in patterns if hangul and needs_hangul(p)]
+    tests = [found(p) for p in patterns if p not in only]
+    if only:
+        tests.append(f"({hangul} AND ({' OR '.join(map(found, only))}))")
+    return "(" + " OR ".join(tests) + ")"
 
 
-def rule_hits(text: str = "text") -> Column:
+def rule_hits(text: str = "text", hangul: str | None = None) -> Column:
     """Array of hits of the catalogue on one text, in catalogue order: the distinct matches of all patterns of a rule, 6 at most;
-    the weight counts up to three of them. `text` names the column. Written as SQL: 28 rules are 28 expressions."""
+    the weight counts up to three of them. `text` names the column, `hangul` one as in `matches`. Written as SQL: 28 rules are 28 expressions."""
     trimmed = f"x -> regexp_replace(x, {sql_text(f'^{SPACE}+|{SPACE}+' + chr(92) + 'z')}, '')"
     hits = []
     for rule_id, label, stage, weight, patterns in cat.RULES:
@@ -38,13 +44,13 @@ def rule_hits(text: str = "text") -> Column:
         matched = f"slice(array_distinct(transform(concat({', '.join(found)}), {trimmed})), 1, 6)"
         hit = f"named_struct('rule_id', {sql_text(rule_id)}, 'label', {sql_text(label)}, 'stage', '{stage}', 'weight', {float(weight)}D * least(3, size(m)), 'matched', m)"
         # texts without a match, nearly all of them, pay for the test only
-        hits.append(f"CASE WHEN {matches(patterns, text)} THEN transform(array({matched}), m -> {hit}) ELSE CAST(array() AS array<{HIT}>) END")
+        hits.append(f"CASE WHEN {matches(patterns, text, hangul=hangul)} THEN transform(array({matched}), m -> {hit}) ELSE CAST(array() AS array<{HIT}>) END")
     return F.expr(f"flatten(array({', '.join(hits)}))")
 
 
-def actor_hint(text: str = "text") -> str:
+def actor_hint(text: str = "text", hangul: str | None = None) -> str:
     """SQL: demand, comply or neutral. Reads q_otp_relay_demand beside the text."""
-    count = lambda patterns: "(" + " + ".join(f"CAST(rlike(lower({text}), {sql_text(java_pattern(p))}) AS INT)" for p in patterns) + ")"
+    count = lambda patterns: "(" + " + ".join(f"CAST({matches([p], f'lower({text})', '', hangul)} AS INT)" for p in patterns) + ")"
     d, c = count(cat.DEMAND_PATTERNS), count(cat.COMPLY_PATTERNS)
     return f"CASE WHEN trim({text}) = '' THEN 'neutral' WHEN q_otp_relay_demand THEN 'demand' WHEN {d} >= 2 AND {d} > {c} THEN 'demand' WHEN {c} >= 2 AND {c} >= {d} THEN 'comply' ELSE 'neutral' END"
 
@@ -166,8 +172,18 @@ def stage_rank(stage: Column) -> Column:
 
 def text_features(texts: DataFrame) -> DataFrame:
     """`texts(text)` -> text, what depends on it alone: urls, the cues q_<name>, the hint, and the hits of the catalogue and of URL features."""
-    t = texts.select("text", extract_scored_urls(F.col("text")).alias("urls"), *(F.expr(f"{matches(p)} AS q_{k}") for k, p in cat.CUES.items()))
-    return t.select("*", F.expr(f"{actor_hint()} AS hint"), F.concat(rule_hits("text"), url_feature_hits(F.col("text"), F.col("urls"))).alias("own_hits"))
+    t = texts.select("text", F.rlike("text", F.lit(HANGUL)).alias("hangul"))
+    t = t.select("text", "hangul", extract_scored_urls(F.col("text")).alias("urls"), *(F.expr(f"{matches(p, hangul='hangul')} AS q_{k}") for k, p in cat.CUES.items()))
+    return t.select("*", F.expr(f"{actor_hint(hangul='hangul')} AS hint"), F.concat(rule_hits("text", "hangul"), url_feature_hits(F.col("text"), F.col("urls"))).alias("own_hits")).drop("hangul")
+
+
+def marked_features(turns: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """`text_features` of the distinct texts of `turns(text, mark)`, with their marks; written. What `known`, such a table, has already is not tried again."""
+    texts = turns.select("mark", "text").distinct()
+    if known is not None:
+        texts = texts.join(known.select("mark"), "mark", "left_anti")
+    found = written(text_features(spread(texts, "mark")).withColumn("mark", F.md5("text")))
+    return found if known is None else known.unionByName(found)
 
 
 def featured(turns: DataFrame) -> DataFrame:
@@ -180,13 +196,18 @@ def featured(turns: DataFrame) -> DataFrame:
     return t.join(found, "mark").drop("mark")
 
 
-def turn_table(turns: DataFrame) -> DataFrame:
+def marked(turns: DataFrame) -> DataFrame:
+    """`turns` with roles and texts in place of nulls, and `mark`, a hash of the text."""
+    more = [c for c in turns.columns if c not in ("thread_id", "ix", "role", "text")]
+    return turns.select("thread_id", "ix", F.coalesce("role", F.lit("U")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("mark", F.md5("text"))
+
+
+def turn_table(turns: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row for each turn: include (whether it counts as a threat), score, stage, urls, hits (the kept ones, with `ord`), and its cues as q_<name>.
 
-    Threads are gone through with a hash in place of each text and the two features that count there, so what a task sorts is small; texts and all else that was found are joined afterwards, and sorted no more."""
-    more = [c for c in turns.columns if c not in ("thread_id", "ix", "role", "text")]
-    t = turns.select("thread_id", "ix", F.coalesce("role", F.lit("U")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("mark", F.md5("text"))
-    found = written(text_features(spread(t.select("mark", "text").distinct(), "mark")).withColumn("mark", F.md5("text")))
+    Threads are gone through with a hash in place of each text and the two features that count there, so what a task sorts is small; texts and all else that was found are joined afterwards, and sorted no more. `known` is a table of `marked_features` that may hold some of the texts."""
+    t = marked(turns)
+    found = marked_features(t, known)
     around = _around(t.drop("text").join(found.select("mark", "hint", "q_otp"), "mark")).drop("hint", "q_otp")
     return _decided(around.join(found, "mark").drop("mark"))
 
@@ -316,13 +337,13 @@ def with_risk(df: DataFrame) -> DataFrame:
     return df.selectExpr("*", *(f"{e} AS {n}" for n, e in risk_steps(has)))
 
 
-def analyze(turns: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+def analyze(turns: DataFrame, calls: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """One row for each thread: score_total, stage_peak, risk_level, hard_high, n_turns, n_hits, top_rule.
 
     `calls(thread_id, otp_asked, remote_asked, urgent_pressured, first_contact)` adds what was said on the telephone. Null texts are empty;
-    turns of one thread that share `ix` are taken in any order.
+    turns of one thread that share `ix` are taken in any order. `known` is as in `turn_table`.
     """
-    return analyzed(turn_table(turns), calls)
+    return analyzed(turn_table(turns, known), calls)
 
 
 def analyzed(table: DataFrame, calls: DataFrame | None = None) -> DataFrame:

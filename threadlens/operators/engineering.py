@@ -80,17 +80,17 @@ def speaker_parts(text: Column) -> Column:
 
 def rebuilt_thread(text: Column, changed: Column) -> Column:
     """The thread with its sender's lines in turn replaced by the lines `changed`; what is left over joins the last, and a line without a new one stays."""
-    at = F.transform(speaker_parts(text)["sender"], lambda x: x["at"])
-    n, new = F.size(at), F.transform(F.split(changed, "\n"), lambda x: trim_all(x))
-    one = trim_all(F.regexp_replace(F.array_join(new, " "), r"\s+", " "))
-
-    def line(x: Column, i: Column) -> Column:
-        k = F.array_position(at, i)
-        last = trim_all(F.regexp_replace(F.array_join(F.slice(new, n, F.greatest(F.size(new), F.lit(1))), " "), r"\s+", " "))
-        own = F.when(F.size(new) < n, F.when(k == 1, one).otherwise("")).when(k == n, last).otherwise(F.coalesce(F.get(new, (k - 1).cast("int")), F.lit("")))
+    new = F.transform(F.split(changed, "\n"), lambda x: trim_all(x))
+    held = F.struct(F.transform(speaker_parts(text)["sender"], lambda x: x["at"]).alias("at"), new.alias("new"), trim_all(F.regexp_replace(F.array_join(new, " "), r"\s+", " ")).alias("one"))
+
+    def line(h: Column, x: Column, i: Column) -> Column:
+        k, n = F.array_position(h["at"], i), F.size(h["at"])
+        last = trim_all(F.regexp_replace(F.array_join(F.slice(h["new"], n, F.greatest(F.size(h["new"]), F.lit(1))), " "), r"\s+", " "))
+        own = F.when(F.size(h["new"]) < n, F.when(k == 1, h["one"]).otherwise("")).when(k == n, last).otherwise(F.coalesce(F.get(h["new"], (k - 1).cast("int")), F.lit("")))
         return F.when(k == 0, x).when(own == "", x).otherwise(F.concat(F.lit("S: "), own))
 
-    return F.array_join(F.transform(lines_of(text), line), "\n")
+    # an array of one, so that its parts are worked out once a thread, not once a line
+    return F.transform(F.array(held), lambda h: F.array_join(F.transform(lines_of(text), lambda x, i: line(h, x, i)), "\n"))[0]
 
 
 #: Endings of sentences and what they may become; drawn for each parent, variant and seed.

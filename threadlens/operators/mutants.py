@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from threadlens.functions.blocks import phone_turns
 from threadlens.functions.text import trigrams
 from threadlens.operators import engineering as en
-from threadlens.operators.analyze import analyze
+from threadlens.operators.analyze import analyze, marked, marked_features
 from threadlens.plans.dialect import SPARK
-from threadlens.session import written
+from threadlens.session import spread, written
 
 #: The least score that a thread of a risk level is to have.
 SCORE_MIN = {"high": 45, "medium": 25}
@@ -72,8 +72,8 @@ def _turns(threads: DataFrame) -> DataFrame:
     return threads.select("thread_id", F.posexplode(phone_turns(F.col("thread"))).alias("ix", "t")).select("thread_id", F.col("ix").cast("long").alias("ix"), F.col("t.who").alias("role"), F.col("t.text").alias("text"))
 
 
-def gated(candidates: DataFrame, preset: Preset) -> DataFrame:
-    """Candidates with distance (of trigrams), similarity (cosine of the sets of words), the analysis of their thread, and drop_reason, the first gate that they fail, empty for none. Only what passes the gates of wording is analysed."""
+def gated(candidates: DataFrame, preset: Preset, known: DataFrame | None = None) -> DataFrame:
+    """Candidates with distance (of trigrams), similarity (cosine of the sets of words), the analysis of their thread, and drop_reason, the first gate that they fail, empty for none. Only what passes the gates of wording is analysed; `known` is as in `analyze`."""
     back = en.restored(F.col("mutated"), F.col("spans"))
     c = candidates.withColumn("back", back).withColumn("text", F.col("back.text"))
     terms = lambda text: F.array_compact(F.array(*(F.when(F.contains(text, F.lit(a)), a) for a in preset.anchors)))
@@ -87,7 +87,7 @@ def gated(candidates: DataFrame, preset: Preset) -> DataFrame:
     (name, step), = en.mutation_gates(SPARK, preset.least, preset.most, preset.sim)
     none = c.withColumns({"got_risk": F.col("exp_risk"), "got_stage": F.col("exp_stage"), "got_score": F.col("exp_score_min")}).withColumn(name, F.expr(step))
     c = written(none.drop("got_risk", "got_stage", "got_score"))
-    got = analyze(_turns(c.where(f"{name} = ''").select(F.col("key").alias("thread_id"), "thread"))).select(F.col("thread_id").alias("key"), F.col("risk_level").alias("got_risk"), F.col("stage_peak").alias("got_stage"), F.col("score_total").alias("got_score"))
+    got = analyze(_turns(c.where(f"{name} = ''").select(F.col("key").alias("thread_id"), "thread")), known=known).select(F.col("thread_id").alias("key"), F.col("risk_level").alias("got_risk"), F.col("stage_peak").alias("got_stage"), F.col("score_total").alias("got_score"))
     return c.withColumnRenamed(name, "worded").join(got, "key", "left").withColumn(name, F.when(F.col("worded") != "", F.col("worded")).otherwise(F.expr(step))).drop("worded", "key")
 
 
@@ -96,21 +96,23 @@ def mutants(threads: DataFrame, preset: Preset = PRESETS["fast200_v2"], seed: in
 
     A mutant is kept if it meets all gates; its analysis must have the risk and stage of its parent's and the least score of that risk. Variants that fail are drawn again, `preset.tries` times at most or until `preset.target` mutants are kept; those that never pass
     come with a null attempt and text and the reason of their last one. With a target the first ones by attempt, thread and variant are returned. Draws are hashes of seed, thread, variant and attempt, alike for any partitioning. Each attempt is written before the
-    next, which holds what failed only. Threads without a sender's line are left out; ids must be unique.
+    next, which holds what failed only. Rows are few and take long, so they are dealt over all cores; of a mutant's turns only those without a known text are tried anew. Threads without a sender's line are left out; ids must be unique.
     """
     parts = en.speaker_parts(F.col("parent"))["sender"]
-    t = threads.select("thread_id", F.coalesce("text", F.lit("")).alias("parent")).withColumn("sender", F.array_join(F.transform(parts, lambda x: x["text"]), "\n")).where("trim(sender) <> ''")
+    t = spread(threads, "thread_id").select("thread_id", F.coalesce("text", F.lit("")).alias("parent")).withColumn("sender", F.array_join(F.transform(parts, lambda x: x["text"]), "\n")).where("trim(sender) <> ''")
     t = written(t.withColumn("f", en.freeze(F.col("sender"))).select("thread_id", "parent", "sender", F.col("f.text").alias("frozen"), "f.spans"))
     fills = written(followers(t, "frozen", preset.topk))
     least = reduce(lambda c, x: c.when(F.col("risk_level") == x[0], float(x[1])), SCORE_MIN.items(), F).otherwise(0.0)
-    expected = analyze(_turns(t.select("thread_id", F.col("parent").alias("thread")))).select("thread_id", F.col("risk_level").alias("exp_risk"), F.col("stage_peak").alias("exp_stage"), F.least(least, F.col("score_total")).alias("exp_score_min"))
+    turns = _turns(t.select("thread_id", F.col("parent").alias("thread")))
+    known = marked_features(marked(turns))
+    expected = analyze(turns, known=known).select("thread_id", F.col("risk_level").alias("exp_risk"), F.col("stage_peak").alias("exp_stage"), F.least(least, F.col("score_total")).alias("exp_score_min"))
     parents = written(t.join(expected, "thread_id"))
     open_ = parents.select("thread_id", F.explode(F.sequence(F.lit(1), F.lit(preset.n))).alias("variant"), F.lit("").alias("drop_reason"))
     kept, n = [], 0
     columns = ["thread_id", "variant", "attempt", "text", "distance", "similarity", "got_risk", "got_stage", "got_score", "drop_reason"]
     for attempt in range(1, preset.tries + 1):
-        asked = open_.select("thread_id", "variant").join(parents, "thread_id")
-        tried = written(gated(drawn(asked, fills, preset, attempt, seed), preset).select("thread_id", "variant", F.lit(attempt).alias("attempt"), F.col("thread").alias("text"), *columns[4:]))
+        asked = spread(open_.select("thread_id", "variant").join(parents, "thread_id"), "thread_id", "variant")
+        tried = written(gated(drawn(asked, fills, preset, attempt, seed), preset, known).select("thread_id", "variant", F.lit(attempt).alias("attempt"), F.col("thread").alias("text"), *columns[4:]))
         kept.append(tried.where("drop_reason = ''"))
         open_ = tried.where("drop_reason <> ''")
         n += kept[-1].count()
