@@ -61,3 +61,25 @@ def test_sparse_cosine_of_two_columns(spark):
     rows = [({"a": 1.0, "b": 2.0}, {"b": 3.0, "c": 4.0}), ({}, {"a": 1.0}), (None, {"a": 1.0}), ({"a": 2.0}, {"a": 5.0})]
     got = [r[0] for r in spark.createDataFrame(rows, "x map<string,double>, y map<string,double>").select(F.round(ve.sparse_cosine("x", "y"), 6)).collect()]
     assert got == [round(6 / math.sqrt(5) / 5, 6), 0.0, 0.0, 1.0]
+
+
+def test_sparse_search_in_blocks(spark, monkeypatch):
+    """Blocks of few features, strings as ids, and tasks that see a block only."""
+    rng = random.Random(5)
+    cells = [(f"k{i:03}", f"f{rng.randint(0, 9)}", rng.choice([0.5, 1.0])) for i in range(120) for _ in range(5)]
+    vectors = ve.written(ve.sparse_vectors(spark.createDataFrame(cells, "id string, f string, w double"), "id", "f", "w"))
+    asked = vectors.where("id like '%0'")
+    seen, plain = spark.sparkContext.accumulator(0), ve._scored
+
+    def counted(k, least):
+        score = plain(k, least)
+        return lambda classes, queries: (seen.add(1), score(classes, queries))[1]
+
+    monkeypatch.setattr(ve, "_scored", counted)
+    few = sorted(map(tuple, ve.sparse_top_k(vectors, asked, 3, 0.5, entries=100).collect()))
+    assert seen.value > 4
+    assert few == sorted(map(tuple, ve.sparse_top_k(vectors, asked, 3, 0.5).collect())) and len(few) == 36
+    maps = {r.id: {x.f: x.u for x in r.vec} for r in vectors.collect()}
+    for q in [i for i in maps if i.endswith("0")]:
+        sims = sorted((-round(sum(u * maps[i].get(f, 0.0) for f, u in maps[q].items()), 6), i) for i in maps if i != q)[:3]
+        assert [(q, i, -s, n) for n, (s, i) in enumerate(sims, 1)] == sorted((x for x in few if x[0] == q), key=lambda x: x[3])

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,12 +17,8 @@ from threadlens.session import written
 
 #: Vectors among which one task elects leaders, about; rows that are held against them at once.
 FRONT, ROWS = 8192, 1024
-#: A table is sent to all executors if it has at most so many rows.
-SMALL = 1 << 18
-
-
-def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Features of a block of sparse vectors, about.
+ENTRIES = 1 << 18
 
 
 def greedy_clusters(rows: DataFrame, id_col: str, vector_col: str, least: float = 0.86, front: int = FRONT) -> DataFrame:
@@ -105,25 +102,54 @@ def _first_members(vectors: DataFrame, k: int) -> DataFrame:
     return near.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def sparse_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.4) -> DataFrame:
+def _scored(k: int, least: float):
+    """Of a block of classes (c, low, f, u) and one of queries (q, f, u): each query's k best classes with a cosine of `least` or more, to 6 decimals, ties by low."""
+
+    def score(classes: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, asked = classes["c"].to_numpy(), queries["q"].to_numpy()
+        low = np.unique(classes["low"].to_numpy(), return_inverse=True)[1]
+        lists = [[t[name].combine_chunks() for name in ("f", "u")] for t in (classes, queries)]
+        terms = pa.concat_arrays([f.flatten() for f, _ in lists]).dictionary_encode().indices.to_numpy()
+        u, v = (x.flatten().to_numpy() for _, x in lists)
+        sizes, reach = (np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]) for _, x in lists)
+        own, theirs = terms[: len(u)], terms[len(u) :]
+        order = np.argsort(own, kind="stable")
+        rows, weights = np.repeat(np.arange(len(ids)), np.diff(sizes))[order], u[order]
+        ends = np.searchsorted(own[order], np.arange(terms.max(initial=-1) + 2))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, q in enumerate(asked):
+            sims = np.zeros(len(ids))
+            for at in range(reach[n], reach[n + 1]):
+                part = slice(ends[theirs[at]], ends[theirs[at] + 1])
+                sims[rows[part]] += v[at] * weights[part]  # a class has a feature once
+            near = np.flatnonzero(sims >= least - 1e-6)
+            sim = np.round(sims[near], 6)
+            near, sim = near[sim >= least], sim[sim >= least]
+            best = np.lexsort((low[near], -sim))[:k]
+            found.append((np.full(len(best), q), ids[near[best]], sim[best]))
+        q, c, sim = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"q": pa.array(q, pa.int64()), "c": pa.array(c, pa.int64()), "sim": pa.array(sim, pa.float64())})
+
+    return score
+
+
+def sparse_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.4, entries: int = ENTRIES) -> DataFrame:
     """(query_id, id, sim, rank): for each query the k rows with the largest cosine of `least` (above 0) or more, itself left out; sim to 6 decimals, ties by id. Both tables are of `sparse_vectors`.
 
-    An inverted index with prefixes: of a row only its rarest features are looked up, as far as what the rest can add, by the largest weight that a query has there or by its own length, reaches `least`. No pair that is near enough is lost, and
-    frequent features are mostly never joined. Candidates are then compared whole. Equal vectors are one, so copies form no pairs; k + 1 of them are listed at most.
+    Classes of equal vectors and distinct queries are dealt to blocks of some `entries` features each, and each block of the ones meets each block of the others in a task, which adds up a query's cosines along an inverted index of its classes and passes on the k + 1 best. So
+    memory is bounded, no pair leaves its task, and a pair costs as many steps as it has features in common. All queries meet all rows: with queries in proportion to the rows the work is quadratic, by nature. Equal vectors are one, so copies form no pairs; k + 1 of them are listed at most.
     """
     classes = written(_first_members(vectors, k + 1).select(F.monotonically_increasing_id().alias("c"), "vec", "ids"))
-    asked = written(queries.groupBy("vec").agg(F.min("id").alias("q")))
-    wanted = asked.select("q", F.explode("vec").alias("x")).select("q", "x.f", "x.u")
-    posted = classes.select("c", F.explode("vec").alias("x")).select("c", "x.f", "x.u")
-    known = written(posted.groupBy("f").agg(F.count("*").alias("n")).join(wanted.groupBy("f").agg(F.max("u").alias("most")), "f", "left").select("f", "n", F.coalesce("most", F.lit(0.0)).alias("most")))
-    after = W.partitionBy("c").orderBy("n", "f").rowsBetween(0, W.unboundedFollowing)
-    reach = F.least(F.sum(F.col("u") * F.col("most")).over(after), F.sqrt(F.sum(F.col("u") * F.col("u")).over(after)))
-    prefix = posted.join(_small(known), "f").withColumn("reach", reach).where((F.col("reach") >= least - 1e-6) & (F.col("most") > 0)).select("c", "f")
-    pairs = prefix.join(wanted.select("q", "f"), "f").select("c", "q").distinct()
-    as_map = F.map_from_entries("vec")
-    both = pairs.join(classes.select("c", as_map.alias("a")), "c").join(_small(asked.select("q", as_map.alias("b")), 1 << 14), "q")
-    sim = F.round(sparse_cosine("a", "b"), 6)
-    near = both.select("c", "q", sim.alias("sim")).where(F.col("sim") >= least)
+    asked = written(queries.select("vec").distinct().select(F.monotonically_increasing_id().alias("q"), "vec"))
+    blocks = lambda df: 1 + (df.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0] - 1) // entries
+    here, there = max(blocks(classes), 1), max(blocks(asked), 1)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    row = F.pmod(F.xxhash64("c"), F.lit(here)).alias("row")
+    column = F.pmod(F.xxhash64("q"), F.lit(there)).alias("column")
+    parts = (F.col("vec")["f"].alias("f"), F.col("vec")["u"].alias("u"))
+    met = classes.select(row, F.explode(every(there)).alias("column"), "c", F.get("ids", F.lit(0)).alias("low"), *parts).repartition(here * there, "row", "column")
+    wanted = asked.select(column, F.explode(every(here)).alias("row"), "q", *parts).repartition(here * there, "row", "column")
+    near = met.groupBy("row", "column").cogroup(wanted.groupBy("row", "column")).applyInArrow(_scored(k + 1, least), "q long, c long, sim double")
     listed = near.join(classes.select("c", "ids"), "c").select("q", "sim", F.explode("ids").alias("id"))
     best = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("sim"), "id"))
     listed = written(listed.withColumn("n", best("q")).where(F.col("n") <= k + 1).drop("n"))
