@@ -65,3 +65,18 @@ def test_recall_just_above_the_threshold(spark):
                 rows.append((10**7 + d, " ".join(words)))
     kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(pairs) > 100 and sum(a in kept and b in kept for a, b in pairs) <= 0.01 * len(pairs)
+
+
+def test_shingle_sets_are_passed_on_in_small_batches():
+    import pyarrow as pa
+    import xxhash
+
+    from threadlens.llm import simhash
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(50)] + [None, "", "a b", "a b"]
+    made = list(simhash._gram_rows(5, 42, most=100)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    assert len(made) == 17 and max(len(b.column(1).flatten()) for b in made) <= 136
+    rows = [r for b in made for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    sets = list(simhash._shingle_sets(texts, 5, 42))
+    assert [g for _, g in rows] == [x.view("int64").tolist() for x in sets]
+    assert [k % (1 << 64) for k, _ in rows] == [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets]

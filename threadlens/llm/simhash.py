@@ -223,6 +223,30 @@ def _shingle_sets(texts: pd.Series, width: int, seed: int) -> Iterator[np.ndarra
         yield np.unique(np.array([digest(b" ".join(g), seed) for g in grams], np.uint64))
 
 
+def _gram_rows(width: int, seed: int, most: int = 1 << 16):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A text's key and shingle set for each text; passed on whenever there are `most` shingles, so that sets of few texts are held at once."""
+
+        def emit(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), grams], ["key", "grams"])
+
+        for batch in batches:
+            keys, sets, total = [], [], 0
+            for found in _shingle_sets((x.as_py() for x in batch.column(0)), width, seed):
+                keys.append(xxhash.xxh64_intdigest(found.tobytes(), seed))
+                sets.append(found)
+                total += len(found)
+                if total >= most:
+                    yield emit(keys, sets)
+                    keys, sets, total = [], [], 0
+            if keys:
+                yield emit(keys, sets)
+
+    return rows
+
+
 def _sketches(texts: pd.Series, width: int, bands: int, rows: int, seed: int) -> pd.DataFrame:
     """For each text a key of its shingle set, the set's fingerprint, and `bands` hashes of `rows` least permuted shingles each."""
     rng = np.random.default_rng(seed)
@@ -299,19 +323,13 @@ def _similar_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for texts in batches:
             yield _sketches(texts, width, bands, rows, seed)
 
-    @F.pandas_udf("key long, grams array<long>")
-    def grams(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            found = list(_shingle_sets(texts, width, seed))
-            yield pd.DataFrame({"key": np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in found], np.uint64).view(np.int64), "grams": [x.view(np.int64) for x in found]})
-
     docs = materialise(df.select(F.col(id_col).alias("id"), _row_mark(df).alias("row_mark"), sketch(F.col(text_col)).alias("s")).select("id", "row_mark", "s.*"))
     reps = docs.dropDuplicates(["key"]).select("key", "fp", "bands")
     dealt = reps.select("key", "fp", F.posexplode("bands").alias("kind", "value"))
     size = dealt.groupBy("kind", "value").agg(F.count("*").alias("members"), F.min("key").alias("hub"), F.min_by("fp", "key").alias("hub_fp")).where("members > 1")
     dealt = materialise(dealt.join(size, ["kind", "value"]))
     met = dealt.select("key").distinct()
-    sets = materialise(df.select(grams(F.col(text_col)).alias("g")).select("g.*").join(met, "key", "left_semi").dropDuplicates(["key"]))
+    sets = materialise(df.select(F.col(text_col)).mapInArrow(_gram_rows(width, seed), "key long, grams array<long>").join(met, "key", "left_semi").dropDuplicates(["key"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
