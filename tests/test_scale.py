@@ -107,3 +107,30 @@ def test_mutants_are_dealt_over_all_cores(spark, monkeypatch):
     t = spark.createDataFrame([(f"t{i}", f"S: please call the office {i}\nR: ok\nS: call the office now") for i in range(20)], "thread_id string, text string")
     assert mu.mutants(t, mu.Preset(n=1, tries=1, target=None)).count() == 20
     assert seen and min(seen) >= 8
+
+
+def test_corpus_rules_over_ends_of_lines(spark):
+    import random
+
+    from threadlens.plans import decisions as de
+    from threadlens.queries import decisions as qd
+
+    rng = random.Random(4)
+    sides = sorted({x for pair in de.seams() for x in pair})
+    pieces = [*sides, "통합 신고 대응 센터", "보이스 피싱", "계좌 이체", "otp", "plain", "", " ", "faq", "문자", "apk\n설치"]
+    rows = [(f"t{t}", i if rng.random() < 0.97 else 0, "S", rng.choice([None, *(" ".join(rng.choices(pieces, k=rng.randint(1, 3))) for _ in range(8))])) for t in range(250) for i in range(rng.randint(1, 6))]
+    rows += [(f"s{n}", i, "S", text) for n, (a, b) in enumerate(de.seams()) for i, text in enumerate((f"x {a} ", "", f" {b} y"))]
+    rows += [("u", 0, "S", "통합 보이스피싱"), ("u", 1, "S", "신고 안내"), ("v", 0, "S", "로그인 인증"), ("v", 1, "S", "문자 확인")]
+    turns = spark.createDataFrame(rows, "thread_id string, ix long, role string, text string")
+    got, want = (sorted(map(tuple, f(turns).collect())) for f in (qd._counted, qd._body_counts))
+    assert got == want and len(got) == len({r[0] for r in rows})
+
+
+def test_corpus_rules_are_tried_once_on_each_line(spark, monkeypatch):
+    from threadlens.queries import decisions as qd
+
+    seen, plain = [], qd._body_counts
+    monkeypatch.setattr(qd, "_body_counts", lambda turns: seen.append(turns.select("thread_id").distinct().count()) or plain(turns))
+    texts = ("문자 로그인 인증", "은행 보안 점검", "지금 즉시", "계좌 이체 바랍니다")
+    turns = spark.createDataFrame([(f"t{t}", i, "S", text) for t in range(9) for i, text in enumerate(texts)], "thread_id string, ix long, role string, text string")
+    assert qd._counted(turns).count() == 9 and seen == [0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from threadlens.plans import catalog as cat
 from threadlens.plans.dialect import Spark, Steps
 
@@ -196,16 +198,36 @@ def without_boilerplate(d: Spark, text: str = "text") -> str:
     return text
 
 
+def seams() -> list[tuple[str, str]]:
+    """What stands on both sides of each gap (\\s*) of the patterns of `without_boilerplate` and `corpus_counts`: only there can a match go on over a line's end. An empty side may be anything."""
+    side = r"[^|()\\*+?.{}\[\]]*"
+    found = [(m[1], m[2]) for p in (*BOILERPLATE, *(r[2] for r in CORPUS_RULES)) for m in re.finditer(rf"({side})\\s\*(?=({side}))", p)]
+    return list(dict.fromkeys(found))
+
+
+def seam_masks(d: Spark, texts: list[str]) -> Steps:
+    """tails and heads of a line, bits of the `seams` whose first side it ends with and whose second it begins with, in any of the `texts`, its forms while boilerplate goes; a blank form begins with all."""
+    either = lambda test: "(" + " OR ".join(test(t) for t in texts) + ")"
+    bits = lambda rows: " + ".join(f"CASE WHEN {c} THEN {1 << n}L ELSE 0L END" for n, c in enumerate(rows))
+    tails = [either(lambda t: d.found(t, rf"{a}\s*\z")) for a, _ in seams()]
+    heads = [either(lambda t: d.found(t, rf"^\s*(?:{b}|\z)")) for _, b in seams()]
+    return [("tails", bits(tails)), ("heads", bits(heads))]
+
+
 def corpus_counts(d: Spark, text: str = "body") -> Steps:
     """n_<i> for the rules in their order, and the signature: of each of three categories the rule found most often, the first among equals."""
-    steps = [(f"n_{i}", d.count(text, p)) for i, (_, _, p) in enumerate(CORPUS_RULES)]
+    return [*((f"n_{i}", d.count(text, p)) for i, (_, _, p) in enumerate(CORPUS_RULES)), corpus_signature()]
+
+
+def corpus_signature() -> tuple[str, str]:
+    """The signature from n_<i>."""
     picks = []
     for category in ("channel", "action", "impersonation"):
         own = [i for i, r in enumerate(CORPUS_RULES) if r[1] == category]
         most = f"greatest({', '.join(f'n_{i}' for i in own)})"
         picks.append(f"CASE WHEN {most} = 0 THEN '{category}:none' " + " ".join(f"WHEN n_{i} = {most} THEN '{CORPUS_RULES[i][0]}'" for i in own) + " END")
     others = " + ".join(f"n_{i}" for i in range(1, len(CORPUS_RULES)))
-    return [*steps, ("signature", f"CASE WHEN n_0 > 0 AND {others} = 0 THEN 'channel:portal|action:portal|imp:portal' ELSE concat_ws('|', {', '.join(picks)}) END")]
+    return ("signature", f"CASE WHEN n_0 > 0 AND {others} = 0 THEN 'channel:portal|action:portal|imp:portal' ELSE concat_ws('|', {', '.join(picks)}) END")
 
 
 #: A stub's features and the case types that they point to, first match first.

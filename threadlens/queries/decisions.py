@@ -14,7 +14,7 @@ from threadlens.plans import decisions as de
 from threadlens.plans.dialect import DUCK, SPARK, stepped
 from threadlens.queries.tables import _raw_hits, _rule_hits_sql, query
 from threadlens.queries.templates import threads, threads_sql
-from threadlens.session import table
+from threadlens.session import spread, table, written
 
 IDS = sorted({i for ids in cat.RISK_FLAGS.values() for i in ids} | set(de.ACTION_ANCHORS))
 RISK_CUES = sorted({"q_" + k for k in cat.THREAD_CUES})
@@ -273,15 +273,42 @@ _BODY = f"SELECT thread_id, {de.without_boilerplate(DUCK, 'text')} AS body FROM
 _XR_OUT = ["thread_id", "signature", *(f"CAST(n_{i} AS INT) AS n_{i}" for i in range(len(de.CORPUS_RULES)))]
 
 
-def _bodies(spark, sf_dir) -> DataFrame:
+def _body_counts(turns: DataFrame) -> DataFrame:
+    """(thread_id, n_<i>, signature): the corpus rules on the threads' whole texts."""
     lines = F.array_sort(F.collect_list(F.struct("ix", "text")))
-    t = threads(table(spark, sf_dir, "events")).groupBy("thread_id").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
-    return t.selectExpr("thread_id", f"{de.without_boilerplate(SPARK)} AS body")
+    t = turns.groupBy("thread_id").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
+    return _stepped(t.selectExpr("thread_id", f"{de.without_boilerplate(SPARK)} AS body"), de.corpus_counts(SPARK, "body"), _XR_OUT)
+
+
+def _counted(turns: DataFrame) -> DataFrame:
+    """`_body_counts`, from counts of the lines. Lines repeat (messages do), so patterns are tried once on each distinct one and a thread's counts are sums. Where a
+    match could go on over a line's end, by what stands on both sides of it (`de.seams`), or lines have no order, the thread's whole text is gone through."""
+    counts = [f"n_{i}" for i in range(len(de.CORPUS_RULES))]
+    t = turns.select("thread_id", "ix", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.md5("text"))
+    texts, forms = spread(t.select("mark", "text").distinct(), "mark"), ["text"]
+    for n, p in enumerate(de.BOILERPLATE):
+        texts = texts.selectExpr("*", f"{SPARK.swap(forms[-1], p, ' ')} AS form_{n}")
+        forms.append(f"form_{n}")
+    steps = [*de.seam_masks(SPARK, forms), *de.corpus_counts(SPARK, forms[-1])[:-1]]
+    found = written(texts.selectExpr("mark", *(f"{e} AS {n}" for n, e in steps)))
+    few = found.limit((1 << 16) + 1).count() <= 1 << 16
+    send = lambda df: F.broadcast(df) if few else df
+    at = W.partitionBy("thread_id").orderBy("ix")
+    masks = t.select("thread_id", "ix", "mark").join(send(found.select("mark", "tails", "heads")), "mark")
+    seam = (F.col("tails").bitwiseAND(F.lead("heads").over(at)) != 0) | (F.col("ix") == F.lead("ix").over(at)) | F.col("ix").isNull()
+    held = masks.select("thread_id", "mark", F.coalesce(seam, F.lit(False)).alias("seam")).join(send(found.select("mark", *counts)), "mark")
+    summed = written(held.groupBy("thread_id").agg(F.max("seam").alias("seam"), *(F.sum(c).cast("int").alias(c) for c in counts)))
+    whole = _body_counts(turns.join(summed.where("seam").select("thread_id"), "thread_id", "left_semi"))
+    return _stepped(summed.where("NOT seam"), [de.corpus_signature()], _XR_OUT).unionByName(whole)
+
+
+def _corpus(spark, sf_dir) -> DataFrame:
+    return _counted(threads(table(spark, sf_dir, "events")))
 
 
 @query(stepped(_BODY, de.corpus_counts(DUCK, "body"), _XR_OUT))
 def corpus_rules(spark, sf_dir):
-    return _stepped(_bodies(spark, sf_dir), de.corpus_counts(SPARK, "body"), _XR_OUT)
+    return _corpus(spark, sf_dir)
 
 
 _KEYS = ", ".join(f"CASE WHEN n_{i} > 0 THEN '{k}' END" for i, (k, _, _) in enumerate(de.CORPUS_RULES))
@@ -292,7 +319,7 @@ _TOTALS = ", ".join(f"n_{i}" for i in range(len(de.CORPUS_RULES)))
 s AS (SELECT signature, key, sum(total)::BIGINT AS total, count(*) AS doc_freq FROM e WHERE total > 0 GROUP BY signature, key), r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY total DESC, key)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 12""")
 def corpus_top_signals(spark, sf_dir):
     """Of each signature the rules that its documents have most, with their document frequency."""
-    c = _stepped(_bodies(spark, sf_dir), de.corpus_counts(SPARK, "body"), ["*"])
+    c = _corpus(spark, sf_dir)
     each = F.array(*(F.struct(F.lit(k).alias("key"), F.col(f"n_{i}").alias("total")) for i, (k, _, _) in enumerate(de.CORPUS_RULES)))
     s = c.select("signature", F.explode(each).alias("e")).where("e.total > 0").groupBy("signature", "e.key").agg(F.sum("e.total").alias("total"), F.count("*").alias("doc_freq"))
     return top_per_group(s, ["signature"], [F.desc("total"), F.col("key")], 12)
@@ -301,7 +328,7 @@ def corpus_top_signals(spark, sf_dir):
 @query(f"SELECT signature, count(*) AS n FROM (SELECT signature, list_filter([{_KEYS}], lambda x: x IS NOT NULL) AS keys FROM ({stepped(_BODY, de.corpus_counts(DUCK, 'body'), ['*'])})) WHERE len(keys) >= 3 AND len(list_filter(keys, lambda k: starts_with(k, 'action:') OR starts_with(k, 'imp:') OR starts_with(k, 'pressure:') OR starts_with(k, 'platform:'))) > 0 GROUP BY signature")
 def corpus_cluster_filter(spark, sf_dir):
     """Documents with three rules at least, one of them an action, an impersonation, pressure or a platform."""
-    c = _stepped(_bodies(spark, sf_dir), de.corpus_counts(SPARK, "body"), ["*"])
+    c = _corpus(spark, sf_dir)
     keys = F.array_compact(F.array(*(F.when(F.col(f"n_{i}") > 0, F.lit(k)) for i, (k, _, _) in enumerate(de.CORPUS_RULES))))
     c = c.select("signature", keys.alias("keys")).where((F.size("keys") >= 3) & F.exists("keys", lambda k: F.rlike(k, F.lit("^(action|imp|pressure|platform):"))))
     return c.groupBy("signature").agg(F.count("*").alias("n"))
