@@ -80,3 +80,57 @@ def test_shingle_sets_are_passed_on_in_small_batches():
     sets = list(simhash._shingle_sets(texts, 5, 42))
     assert [g for _, g in rows] == [x.view("int64").tolist() for x in sets]
     assert [k % (1 << 64) for k, _ in rows] == [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets]
+
+
+def near_copies(n, seed=3):
+    """Copies of one text, each with one to eight words replaced: pairs have similarities from 0.4 to 0.95."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = {}
+    for d in range(n):
+        copy = list(words)
+        for i in rng.sample(range(len(copy)), rng.randrange(1, 9)):
+            copy[i] = f"x{rng.randrange(10**9)}"
+        texts[d] = " ".join(copy)
+    return texts
+
+
+@pytest.mark.parametrize("plan", [{}, {"shard_limit": 16}, {"gram_limit": 4000}])
+def test_large_group_of_near_copies(spark, plan):
+    texts = near_copies(120)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(frame, **plan).collect()}
+    sets = {d: shingles(t) for d, t in texts.items()}
+    expected = groups(sets, lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert found == expected and 2 < len(set(expected.values())) < 100
+
+
+def test_rows_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """A shard passes on less rows than it has members; all pairs of a group would be 19900, most of them in several shards."""
+    made, kind = [], type(spark.range(1))
+    plain = kind.mapInArrow
+
+    def counting(self, func, schema, *more, **named):
+        out = plain(self, func, schema, *more, **named)
+        if schema == "a long, b long":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", counting)
+    frame = spark.createDataFrame(list(near_copies(200).items()), "doc_id long, text string")
+    assert simhash.similar_groups(frame).count() == 200
+    assert len(made) == 1 and made[0] < 24 * 200
+
+
+def test_shards_are_cut_at_any_batch():
+    import numpy as np
+    import pyarrow as pa
+
+    sets = list(simhash._shingle_sets(near_copies(60).values(), 5, 42))
+    rows = [(kind, kind // 2, k, 0, k, g.view("int64").tolist()) for kind in range(3) for k, g in enumerate(sets) if kind < 2 or k < 3]
+    schema = pa.schema([(c, pa.int64()) for c in ("kind", "value", "key", "fp", "comp")] + [("grams", pa.list_(pa.int64()))])
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+    whole = [r for b in simhash._near_links(24, 0.8)(iter(table.to_batches())) for r in zip(*(c.to_pylist() for c in b.columns))]
+    small = [r for b in simhash._near_links(24, 0.8)(iter(table.to_batches(max_chunksize=7))) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert whole == small and 2 < len(whole) < 2 * 60
+    assert all(len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) for a, b in whole)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm.components import connected_components
-from threadlens.llm.shared import fresh_name, materialise
+from threadlens.llm.shared import fresh_name, materialise, sized
 
 BITS = 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -107,14 +107,15 @@ def grow_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return parent, edge, root
 
 
-def search_forest(fp: np.ndarray, parent: np.ndarray, edge: np.ndarray, root: np.ndarray, radius: int, chunk: int = _CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def search_forest(fp: np.ndarray, parent: np.ndarray, edge: np.ndarray, root: np.ndarray, radius: int, chunk: int = _CHUNK, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Yields pairs (query row, row found) at `radius` or less in the same tree, itself excluded. A query follows an edge
-    only if its key is within `radius` of the query's distance to the node."""
+    only if its key is within `radius` of the query's distance to the node. Queries are the rows `asked`, or all."""
+    asked = np.arange(len(fp)) if asked is None else asked
     inner = np.flatnonzero(parent >= 0)
     order = inner[np.lexsort((edge[inner], parent[inner]))]
     keys = parent[order] * (BITS + 1) + edge[order]
-    for at in range(0, len(fp), chunk):
-        query = np.arange(at, min(at + chunk, len(fp)))
+    for at in range(0, len(asked), chunk):
+        query = asked[at : at + chunk]
         node = root[query]
         while len(query):
             d = np.bitwise_count(fp[query] ^ fp[node]).astype(np.int64)
@@ -248,10 +249,10 @@ def _gram_rows(width: int, seed: int, most: int = 1 << 16):
 
 
 def _sketches(texts: pd.Series, width: int, bands: int, rows: int, seed: int) -> pd.DataFrame:
-    """For each text a key of its shingle set, the set's fingerprint, and `bands` hashes of `rows` least permuted shingles each."""
+    """For each text a key of its shingle set, the set's size and fingerprint, and `bands` hashes of `rows` least permuted shingles each."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    keys, prints, named = [], [], []
+    keys, lengths, prints, named = [], [], [], []
 
     def flush(sets: list[np.ndarray]) -> None:
         sizes = np.array([len(x) for x in sets], np.int64)
@@ -269,67 +270,111 @@ def _sketches(texts: pd.Series, width: int, bands: int, rows: int, seed: int) ->
     for found in _shingle_sets(texts, width, seed):
         keys.append(xxhash.xxh64_intdigest(found.tobytes(), seed))
         held.append(found)
+        lengths.append(len(found))
         total += len(found)
         if total > 1 << 18:
             flush(held)
             held, total = [], 0
     if held:
         flush(held)
-    return pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "fp": np.concatenate(prints) if prints else np.zeros(0, np.int64), "bands": named})
-
-
-def _near_pairs(radius: int, rows: int):
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of kind, value, key, fp and comp come sorted by shard; whole shards are taken together until there are `rows` of them."""
-        kept: list[tuple[np.ndarray, ...]] = []
+    return pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "n": np.array(lengths, np.int64), "fp": np.concatenate(prints) if prints else np.zeros(0, np.int64), "bands": named})
+
+
+def _linked(key: np.ndarray, fp: np.ndarray, comp: np.ndarray, sizes: np.ndarray, grams: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of one shard that join its groups `comp` as all pairs at `radius` or less whose Jaccard similarity is `least` or more do;
+    less links than groups. `grams` holds the sets one after the other. Of two groups one is not the largest, so only sets outside of that are searched."""
+    group = np.unique(comp, return_inverse=True)[1]
+    asked = np.flatnonzero(group != np.bincount(group).argmax())
+    made: list[tuple[int, int]] = []
+    if len(asked):
+        forest = grow_forest(np.zeros(len(key), np.int64), fp)
+        # an index from each shingle to the sets that have it
+        gram = np.unique(grams, return_inverse=True)[1]
+        holders = np.repeat(np.arange(len(key)), sizes)[np.argsort(gram, kind="stable")]
+        many = np.bincount(gram)
+        first = np.cumsum(many) - many
+        ends = np.cumsum(sizes)
+        for at in range(0, len(asked), 1 << 8):
+            hits = list(search_forest(fp, *forest, radius, asked=asked[at : at + (1 << 8)]))
+            if not hits:
+                continue
+            a, b = (np.concatenate(x) for x in zip(*hits))
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            heads = np.flatnonzero(np.diff(a, prepend=-1))
+            for one, near in zip(a[heads], np.split(b, heads[1:])):
+                near = near[group[near] != group[one]]
+                if not len(near):
+                    continue
+                own = gram[ends[one] - sizes[one] : ends[one]]
+                n = many[own]
+                common = np.bincount(holders[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(key))[near]
+                near = near[common >= least * (sizes[one] + sizes[near] - common)]
+                for other in near[np.unique(group[near], return_index=True)[1]]:
+                    made.append((one, other))
+                    group[group == group[other]] = group[one]
+    one, other = np.array(made, np.int64).reshape(-1, 2).T
+    return key[one], key[other]
+
+
+def _near_links(radius: int, least: float):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of kind, value, key, fp, comp and grams come sorted by shard; one shard is held at a time."""
 
-        def emit(kind, value, key, fp, comp):
-            shard = np.cumsum((np.diff(kind, prepend=kind[0] - 1) != 0) | (np.diff(value, prepend=value[0]) != 0))
-            fp = fp.view(np.uint64)
-            for a, b in search_forest(fp, *grow_forest(shard, fp), radius, 1 << 10):
-                new = (key[a] < key[b]) & (comp[a] != comp[b])
-                if new.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a[new]]), pa.array(key[b[new]])], ["a", "b"])
+        def emit(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            key, fp, comp = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (2, 3, 4))
+            sizes = np.concatenate([np.diff(p.column(5).offsets.to_numpy()) for p in parts]).astype(np.int64)
+            grams = np.concatenate([p.column(5).flatten().to_numpy(zero_copy_only=False) for p in parts])
+            a, b = _linked(key, fp.view(np.uint64), comp, sizes, grams, radius, least)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kept.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)))
-            if sum(len(x[0]) for x in kept) >= rows:
-                kind, value, key, fp, comp = (np.concatenate(x) for x in zip(*kept))
-                cut = int(np.argmax((kind == kind[-1]) & (value == value[-1])))
-                if cut:
-                    yield from emit(kind[:cut], value[:cut], key[:cut], fp[:cut], comp[:cut])
-                kept = [(kind[cut:], value[cut:], key[cut:], fp[cut:], comp[cut:])]
-        if kept:
-            yield from emit(*(np.concatenate(x) for x in zip(*kept)))
+            kind, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            cuts = [0, *(np.flatnonzero((np.diff(kind) != 0) | (np.diff(value) != 0)) + 1), batch.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                if held and last != (kind[at], value[at]):
+                    yield emit(held)
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last = kind[at], value[at]
+        if held:
+            yield emit(held)
 
-    return pairs
+    return links
 
 
-def _similar_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, radius: int = 24, bands: int = 24, rows: int = 4, shard_limit: int = 4096, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def _similar_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, radius: int = 24, bands: int = 24, rows: int = 4, shard_limit: int = 4096, gram_limit: int = 1 << 21, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Two tables: the rows as `(id, row_mark, key)`, key naming a text's set of `width`-word shingles, and `(key, root)` for the keys that have links,
     root being the smallest key reachable over links of sets whose Jaccard similarity is `least` or more. Equal sets have one key and need no link.
 
     Sets of similarity 0.8 differ in some 10 of 64 bits, and as many bit blocks as that takes leave a few bits to each, whose shards grow
     with the table. So shards are named by `bands` hashes of `rows` min-hashes each: sets of similarity 0.8 share none with probability
-    3e-6 and differ in over 24 bits with about 4e-6. A shard's members are first held against its least key; what that leaves
-    in different groups is searched in the shard's BK-tree. Every pair is verified on the whole sets before it is a link.
-    A shard over `shard_limit` is dealt to shards of each two of its parts, so no task holds more and no pair is lost.
+    3e-6 and differ in over 24 bits with about 4e-6. A shard's members are first held against its least key. Where that leaves
+    different groups in a shard of over two, the whole sets go to the shard: what its BK-tree finds is verified there, and only links that
+    join groups come out, less than it has members. Every pair is verified on the whole sets before it is a link.
+    A shard of over `shard_limit` sets or `gram_limit` shingles is dealt to shards of each two of its parts, so no task holds more and no pair is lost.
+    Shingle sets are made anew only for texts that share a shard with another; of a set that many texts have, for one row.
     """
 
-    @F.pandas_udf("key long, fp long, bands array<long>")
+    @F.pandas_udf("key long, n long, fp long, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield _sketches(texts, width, bands, rows, seed)
 
     docs = materialise(df.select(F.col(id_col).alias("id"), _row_mark(df).alias("row_mark"), sketch(F.col(text_col)).alias("s")).select("id", "row_mark", "s.*"))
-    reps = docs.dropDuplicates(["key"]).select("key", "fp", "bands")
-    dealt = reps.select("key", "fp", F.posexplode("bands").alias("kind", "value"))
+    reps = docs.dropDuplicates(["key"]).select("key", "n", "fp", "bands")
+    dealt = reps.select("key", "n", "fp", F.posexplode("bands").alias("kind", "value"))
     size = dealt.groupBy("kind", "value").agg(F.count("*").alias("members"), F.min("key").alias("hub"), F.min_by("fp", "key").alias("hub_fp")).where("members > 1")
     dealt = materialise(dealt.join(size, ["kind", "value"]))
+    mark = fresh_name(df, "row_mark")
     met = dealt.select("key").distinct()
-    sets = materialise(df.select(F.col(text_col)).mapInArrow(_gram_rows(width, seed), "key long, grams array<long>").join(met, "key", "left_semi").dropDuplicates(["key"]))
+    read = materialise(docs.join(met, "key", "left_semi").groupBy("key").agg(F.min("row_mark").alias(mark)).select(mark).distinct())
+    texts = df.withColumn(mark, _row_mark(df)).select(mark, F.col(f"`{text_col}`")).join(sized(read, 32 << 20, 16), mark, "left_semi")
+    sets = materialise(texts.select(F.col(f"`{text_col}`")).mapInArrow(_gram_rows(width, seed), "key long, grams array<long>").dropDuplicates(["key"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
@@ -341,19 +386,19 @@ def _similar_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tried = materialise(dealt.where((F.col("key") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
     links = verified(tried)
     found = connected_components(links)
-    open_ = dealt.select("kind", "value", "key", "fp").join(found, dealt.key == found.node, "left").select("kind", "value", "key", "fp", F.coalesce("root", "key").alias("comp"))
+    open_ = dealt.where("members > 2").select("kind", "value", "key", "n", "fp").join(found, dealt.key == found.node, "left").select("kind", "value", "key", "n", "fp", F.coalesce("root", "key").alias("comp"))
     open_ = materialise(open_)
-    mixed = open_.groupBy("kind", "value").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("kind", "value", "members")
+    mixed = open_.groupBy("kind", "value").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("kind", "value", "members", "shingles")
     open_ = open_.join(mixed, ["kind", "value"])
-    parts = F.ceil(F.col("members") / (shard_limit // 2)).cast("long")
+    parts = F.least(F.greatest(F.ceil(F.col("members") / (shard_limit // 2)), F.ceil(F.col("shingles") / (gram_limit // 2))), F.col("members")).cast("long")
     own = F.pmod(F.xxhash64("key"), parts)
     # a shard in one piece is tile 0; else a tile for each two parts
     others = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: j != own)
-    tiles = F.when(F.col("members") <= shard_limit, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda j: 1 + F.least(j, own) * parts + F.greatest(j, own)))
+    whole = (F.col("members") <= shard_limit) & (F.col("shingles") <= gram_limit)
+    tiles = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda j: 1 + F.least(j, own) * parts + F.greatest(j, own)))
     shards = open_.withColumn("tile", F.explode(tiles)).select((F.col("kind") + F.col("tile") * bands).alias("kind"), "value", "key", "fp", "comp")
-    shards = shards.repartition("kind", "value").sortWithinPartitions("kind", "value")
-    more = shards.mapInArrow(_near_pairs(radius, 1 << 14), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(more)
+    shards = shards.join(sets, "key").select("kind", "value", "key", "fp", "comp", "grams").repartition("kind", "value").sortWithinPartitions("kind", "value")
+    more = materialise(shards.mapInArrow(_near_links(radius, least), "a long, b long").distinct())
     if not more.isEmpty():
         found = connected_components(links.union(more))
     return docs.select("id", "row_mark", "key"), found
