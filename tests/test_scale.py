@@ -134,3 +134,15 @@ def test_corpus_rules_are_tried_once_on_each_line(spark, monkeypatch):
     texts = ("문자 로그인 인증", "은행 보안 점검", "지금 즉시", "계좌 이체 바랍니다")
     turns = spark.createDataFrame([(f"t{t}", i, "S", text) for t in range(9) for i, text in enumerate(texts)], "thread_id string, ix long, role string, text string")
     assert qd._counted(turns).count() == 9 and seen == [0]
+
+
+def test_corpus_counts_keep_their_names(spark):
+    import re
+
+    from threadlens.queries import decisions as qd
+
+    turns = spark.createDataFrame([("t", 0, "S", "통합 보이스피싱"), ("t", 1, "S", "신고 안내"), ("u", 0, "S", "계좌 이체")], "thread_id string, ix long, role string, text string")
+    for made in (qd._counted(turns), qd._body_counts(turns)):
+        plan = made._jdf.queryExecution().optimizedPlan()
+        assert not re.search(r"n_\d+#\d+ AS n_\d+", plan.toString())  # each doubles what is inferred from the signature
+        assert plan.constraints().size() < 200

@@ -271,13 +271,15 @@ def context_rules(spark, sf_dir):
 
 _BODY = f"SELECT thread_id, {de.without_boilerplate(DUCK, 'text')} AS body FROM (SELECT thread_id, string_agg(text, chr(10) ORDER BY ix) AS text FROM ({threads_sql()}) GROUP BY thread_id)"
 _XR_OUT = ["thread_id", "signature", *(f"CAST(n_{i} AS INT) AS n_{i}" for i in range(len(de.CORPUS_RULES)))]
+#: The same in Spark, where counts are INT. They keep their names from where the signature is made: it names them all, and what Spark infers from it doubles with each that is given a name anew, to millions of conditions in the driver.
+_XR_SPARK = ["thread_id", "signature", *(f"n_{i}" for i in range(len(de.CORPUS_RULES)))]
 
 
 def _body_counts(turns: DataFrame) -> DataFrame:
     """(thread_id, n_<i>, signature): the corpus rules on the threads' whole texts."""
     lines = F.array_sort(F.collect_list(F.struct("ix", "text")))
     t = turns.groupBy("thread_id").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
-    return _stepped(t.selectExpr("thread_id", f"{de.without_boilerplate(SPARK)} AS body"), de.corpus_counts(SPARK, "body"), _XR_OUT)
+    return _stepped(t.selectExpr("thread_id", f"{de.without_boilerplate(SPARK)} AS body"), de.corpus_counts(SPARK, "body"), _XR_SPARK)
 
 
 def _counted(turns: DataFrame) -> DataFrame:
@@ -297,9 +299,10 @@ def _counted(turns: DataFrame) -> DataFrame:
     masks = t.select("thread_id", "ix", "mark").join(send(found.select("mark", "tails", "heads")), "mark")
     seam = (F.col("tails").bitwiseAND(F.lead("heads").over(at)) != 0) | (F.col("ix") == F.lead("ix").over(at)) | F.col("ix").isNull()
     held = masks.select("thread_id", "mark", F.coalesce(seam, F.lit(False)).alias("seam")).join(send(found.select("mark", *counts)), "mark")
-    summed = written(held.groupBy("thread_id").agg(F.max("seam").alias("seam"), *(F.sum(c).cast("int").alias(c) for c in counts)))
+    # the id is a column of its own here: where both sides of a union have one column, Spark renames all of the other side's
+    summed = written(held.groupBy(F.col("thread_id").alias("thread_id")).agg(F.max("seam").alias("seam"), *(F.sum(c).cast("int").alias(c) for c in counts)))
     whole = _body_counts(turns.join(summed.where("seam").select("thread_id"), "thread_id", "left_semi"))
-    return _stepped(summed.where("NOT seam"), [de.corpus_signature()], _XR_OUT).unionByName(whole)
+    return _stepped(summed.where("NOT seam"), [de.corpus_signature()], _XR_SPARK).unionByName(whole)
 
 
 def _corpus(spark, sf_dir) -> DataFrame:
